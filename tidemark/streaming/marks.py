@@ -1,0 +1,107 @@
+"""First-seen rows on a stream: window cells, then one small state row per key.
+
+Rows are first reduced to cells by a windowed aggregate (combined on the map side), so the stateful
+step sees at most one row per key and window however hot the key is, and it sees them complete and
+in time order. Results therefore equal the batch form for all rows within the lateness bound.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tidemark.functions import clock
+
+
+class FirstCells(StatefulProcessor):
+    """Passes on the cells whose earliest row is first for the key."""
+
+    def __init__(self, reset: str, ttl_us: int | None, columns: Sequence[str]):
+        self.by_day = reset != "idle"
+        self.ttl_us = ttl_us
+        self.columns = list(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", T.StructType([
+            T.StructField("last_us", T.LongType()),
+            T.StructField("day", T.LongType()),
+            T.StructField("timer_ms", T.LongType()),
+        ]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        cells = pd.concat(list(rows)).sort_values("_first_us", kind="stable")
+        last_us, day, timer_ms = self.seen.get() if self.seen.exists() else (None, None, None)
+        keep, previous = [], []
+        for first, last, today in zip(cells["_first_us"], cells["_last_us"], cells["_day"]):
+            is_first = last_us is None
+            if not is_first and self.by_day and day != today:
+                is_first = True
+            if not is_first and self.ttl_us is not None and first - last_us >= self.ttl_us:
+                is_first = True
+            keep.append(is_first)
+            previous.append(day)
+            last_us = int(last) if last_us is None else max(last_us, int(last))
+            day = int(today)
+        expiry = cells["_expiry_ms"].iloc[-1]
+        expiry = None if pd.isna(expiry) else int(expiry)
+        if timer_ms is not None and timer_ms != expiry:
+            self.handle.deleteTimer(timer_ms)
+        if expiry is not None and timer_ms != expiry:
+            self.handle.registerTimer(expiry)
+        self.seen.update((last_us, day, expiry))
+        cells["_previous_day"] = pd.array(previous, dtype="Int32")
+        yield cells.loc[keep, self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_first_rows(
+    df: DataFrame, keys: Sequence[str], carry: Sequence[str], reset: str, ttl_us: int | None,
+    previous_day: bool, size: str, retention: str | None,
+) -> DataFrame:
+    from tidemark.operators.marks import cell_width_us
+
+    width = cell_width_us(clock.duration_us(size), ttl_us)
+    time = F.col("rt").cast("timestamp")
+    by_day = [] if reset == "idle" else ["_day"]
+    rows = df.select("rt", *keys, *carry, time.alias("_time"), clock.day_number(time).alias("_day"))
+    cells = (
+        rows.groupBy(F.window("rt", f"{width} microseconds").alias("_cell"), *keys, *by_day)
+        .agg(F.min(F.struct("_time", *carry)).alias("_first"), F.max("_time").alias("_last"))
+    )
+    day = F.col("_day") if by_day else clock.day_number(F.col("_first._time"))
+    # State outlives the last moment at which it can matter by one cell: a cell is emitted when it ends.
+    slack_ms = -(-width // 1000)
+    if reset == "idle":
+        expiry = F.unix_millis("_last") + (ttl_us // 1000 + slack_ms)
+    elif not previous_day:
+        expiry = F.unix_millis(F.date_add(F.to_date("_last"), 1).cast("timestamp")) + slack_ms
+    elif retention:
+        expiry = F.unix_millis("_last") + (clock.duration_us(retention) // 1000 + slack_ms)
+    else:
+        expiry = F.lit(None).cast("bigint")
+    flat = cells.select(
+        F.window_time("_cell").alias("rt"), *keys,
+        *[F.col(f"_first.{c}").alias(c) for c in carry],
+        F.unix_micros("_first._time").alias("_first_us"), F.unix_micros("_last").alias("_last_us"),
+        day.cast("int").alias("_day"), expiry.alias("_expiry_ms"),
+    )
+    columns = ["rt", *keys, *carry, "_day", "_previous_day"]
+    fields = [*(flat.schema[c] for c in columns[:-1]), T.StructField("_previous_day", T.IntegerType())]
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+    firsts = flat.groupBy(*keys).transformWithStateInPandas(
+        FirstCells(reset, ttl_us, columns), schema, "Append", "EventTime", eventTimeColumnName="rt"
+    )
+    extra = [F.col("_day").alias("day"), F.col("_previous_day").alias("previous_day")] if previous_day else []
+    return firsts.select("rt", *keys, *carry, *extra)

@@ -1,0 +1,69 @@
+"""Running subject totals on a stream of window rows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tidemark.functions import clock
+
+
+class SubjectTotals(StatefulProcessor):
+    """Adds each window row to the totals of its subject and emits the row with the totals so far.
+
+    One call holds the rows of one subject and one micro-batch: at most one per course and closed window.
+    """
+
+    def __init__(self, ttl_us: int, columns: list[str]):
+        self.ttl_us = ttl_us
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", T.StructType([
+            T.StructField("last_us", T.LongType()), T.StructField("day", T.LongType()),
+            T.StructField("ct", T.LongType()), T.StructField("user_ct", T.LongType()),
+            T.StructField("amount", T.DecimalType(38, 6)),
+        ]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["_at_us", "courseId"], kind="stable")
+        last_us, day, ct, user_ct, amount = self.totals.get() if self.totals.exists() else (None, None, 0, 0, 0)
+        cts, user_cts, amounts = [], [], []
+        for at, today, added in zip(frame["_at_us"], frame["_day"], frame["courseOrderAmount"]):
+            ct += 1
+            if last_us is None or day != today or at - last_us >= self.ttl_us:
+                user_ct += 1
+            if added is not None:
+                amount += added
+            last_us, day = int(at), int(today)
+            cts.append(ct)
+            user_cts.append(user_ct)
+            amounts.append(amount)
+        self.totals.update((last_us, day, ct, user_ct, amount))
+        frame["subOrderCt"], frame["subOrderUserCt"], frame["subOrderAmount"] = cts, user_cts, amounts
+        yield frame[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_subject_totals(rows: DataFrame, ttl_us: int) -> DataFrame:
+    flat = rows.select(
+        F.window_time("window").alias("rt"), F.col("window.start").alias("_start"), F.col("window.end").alias("_end"),
+        *[c for c in rows.columns if c not in ("window", "one", "courseOrderAmount")],
+        F.col("courseOrderAmount").cast("decimal(38,6)").alias("courseOrderAmount"),
+        F.unix_micros("at").alias("_at_us"), clock.day_number(F.col("at")).alias("_day"),
+    )
+    kept = [c for c in flat.columns if c not in ("_at_us", "_day")]
+    schema = T.StructType([T.StructField(c, flat.schema[c].dataType, True) for c in kept] + [
+        T.StructField("subOrderCt", T.LongType()), T.StructField("subOrderUserCt", T.LongType()),
+        T.StructField("subOrderAmount", T.DecimalType(38, 6)),
+    ])
+    totals = flat.groupBy("subjectId").transformWithStateInPandas(
+        SubjectTotals(ttl_us, schema.fieldNames()), schema, "Append", "EventTime", eventTimeColumnName="rt")
+    return totals.withColumn("window", F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")))
