@@ -15,6 +15,8 @@ from tidemark.functions import clock
 from tidemark.sources.topics import change_rows, log_rows
 
 DATABASE = "edu"
+_SPLITS: dict[tuple[str, str, str], int] = {}
+LARGE_TABLES = ("lineitem", "orders", "events", "documents")
 
 
 def _text(column: str | Column) -> Column:
@@ -29,7 +31,22 @@ class Tables:
         self.folder = folder
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        """A table; one with fewer input splits than cores is spread by its first column.
+
+        A file with a single row group is one split however many cores there are. Tables with enough
+        splits, as any large one, are left as they are.
+        """
+        df = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if table in LARGE_TABLES and self._splits(table, df) < cores:
+            return df.repartition(cores, df.columns[0])
+        return df
+
+    def _splits(self, table: str, df: DataFrame) -> int:
+        known = (self.spark.sparkContext.applicationId, self.folder, table)
+        if known not in _SPLITS:
+            _SPLITS[known] = df.rdd.getNumPartitions()
+        return _SPLITS[known]
 
     # --- order lines, as the order-detail topic holds them ---
 
@@ -136,9 +153,9 @@ class Tables:
     def logs(self) -> DataFrame:
         return log_rows(self.log_values())
 
-    # --- change log as JSON text, parsed like the real topic ---
+    # --- change log as JSON text, as the real topic holds it ---
 
-    def _change_values(self, rows: DataFrame, table: str, key: Column, data: dict[str, Column]) -> DataFrame:
+    def _changes(self, rows: DataFrame, table: str, key: Column, data: dict[str, Column]) -> DataFrame:
         kind = F.when(key % 10 == 0, "update").when(key % 10 == 1, "delete").otherwise("insert")
         return rows.select(F.to_json(F.struct(
             F.lit(DATABASE).alias("database"), F.lit(table).alias("table"), kind.alias("type"),
@@ -146,9 +163,6 @@ class Tables:
             F.struct(*[column.alias(name) for name, column in data.items()]).alias("data"),
         )).alias("value"))
 
-    def _changes(self, rows: DataFrame, table: str, key: Column, data: dict[str, Column]) -> DataFrame:
-        return change_rows(self._change_values(rows, table, key, data))
-
     def order_info_changes(self) -> DataFrame:
         return self._changes(self.read("orders"), "order_info", F.col("o_custkey"), {
             "id": F.col("o_orderkey"), "user_id": F.col("o_custkey"),
@@ -242,7 +256,7 @@ class Tables:
             (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) * 1000).alias("ts_ms"))
 
     def routed_changes(self) -> DataFrame:
-        parts = [self.event_changes(t) for t in ("user_info", "review_info", "comment_info", "cart_info")]
+        parts = [change_rows(self.event_changes(t)) for t in ("user_info", "review_info", "comment_info", "cart_info")]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)

@@ -53,7 +53,7 @@ def date_of_text(text: Column) -> Column:
 
 def text_to_time(text: Column) -> Column:
     """Event time of ``yyyy-MM-dd HH:mm:ss`` text; unreadable text gives null."""
-    return F.try_to_timestamp(text, F.lit(STAMP))
+    return text.try_cast("timestamp")
 
 
 def now_ms() -> Column:

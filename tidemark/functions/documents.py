@@ -10,10 +10,13 @@ def parse(df: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """Parse JSON text into the columns of ``schema``.
 
     Null text is dropped. Malformed text fails the job: a broken producer must not lose rows silently.
+    The row is unnested by a generator because Spark would otherwise push every later filter below the
+    projection and parse the text again for each of its conditions.
     """
-    parsed = F.from_json(F.col(column), schema, {"mode": "FAILFAST"})
+    text = F.col(column)
     rest = [F.col(c) for c in df.columns if c != column]
-    return df.filter(F.col(column).isNotNull()).select(*rest, parsed.alias("_row")).select(*rest, "_row.*")
+    parsed = F.from_json(text, schema, {"mode": "FAILFAST"})
+    return df.select(*rest, F.inline(F.when(text.isNotNull(), F.array(parsed))))
 
 
 def render(df: DataFrame, *keys: str) -> DataFrame:

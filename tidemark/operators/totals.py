@@ -31,10 +31,11 @@ def running_totals(
     """
     ttl_us = clock.duration_us(ttl)
     at = F.col(time)
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(time, *order)
+    # One struct key: null keys compare equal in it, and the join below reuses its partitioning.
+    inside = Window.partitionBy("_key", "_chunk").orderBy(time, *order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     rows = (
-        df.withColumn("_chunk", clock.slot(at, clock.duration_us(chunk)))
+        df.withColumns({"_key": F.struct(*keys), "_chunk": clock.slot(at, clock.duration_us(chunk))})
         .withColumn("_before", F.lag(time).over(inside))
         # The first row of a chunk is decided below, from the last row of the chunk before.
         .withColumn("_start", F.when(F.col("_before").isNull(), F.lit(0).cast("bigint"))
@@ -43,22 +44,18 @@ def running_totals(
     sums = {**totals, starts: "_start"}
     local = rows.withColumns({f"_local_{out}": F.sum(source).over(so_far) for out, source in sums.items()})
 
-    chunks = rows.groupBy(*keys, "_chunk").agg(
+    chunks = rows.groupBy("_key", "_chunk").agg(
         F.min(time).alias("_from"), F.max(time).alias("_to"),
         *[F.sum(source).alias(f"_sum_{out}") for out, source in sums.items()],
     )
-    by_key = Window.partitionBy(*keys).orderBy("_chunk")
+    by_key = Window.partitionBy("_key").orderBy("_chunk")
     earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
     opened = chunks.withColumn("_opens", _starts(F.lag("_to").over(by_key), F.col("_from"), ttl_us))
     opened = opened.withColumn(f"_sum_{starts}", F.col(f"_sum_{starts}") + F.col("_opens"))
-    offsets = opened.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"), "_opens",
-        *[F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_offset_{out}") for out in sums],
-    )
-    same = F.col("_chunk") == F.col("_k_chunk")
-    for key in keys:
-        same &= F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    joined = local.join(offsets, same, "inner")
+    offsets = opened.select("_key", "_chunk", "_opens", *[
+        F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_offset_{out}") for out in sums
+    ])
+    joined = local.join(offsets, ["_key", "_chunk"], "inner")
     out = {name: F.col(f"_local_{name}") + F.col(f"_offset_{name}") for name in sums}
     out[starts] = out[starts] + F.col("_opens")
     return joined.select(*df.columns, *[column.alias(name) for name, column in out.items()])

@@ -1,4 +1,7 @@
-"""Fact tables from the change log. Every function serves tables and streams alike."""
+"""Fact tables from the change log. Every function serves tables and streams alike.
+
+``changes`` is the change topic: its raw ``value`` text, or rows parsed by ``change_rows``.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +13,14 @@ from tidemark.functions import clock
 from tidemark.operators.joins import change_join
 from tidemark.operators.latest import latest_by_key
 from tidemark.operators.lookup import lookup_join
-from tidemark.sources.topics import with_event_time
+from tidemark.sources.topics import change_rows, with_event_time
 
 
 def inserted(changes: DataFrame, database: str, table: str, where: Column | None = None,
              with_pt: bool = False) -> DataFrame:
     """Inserted rows of one table, its ``data`` keys as string columns."""
-    rows = changes.filter(
+    rows = change_rows(changes, table) if "value" in changes.columns else changes
+    rows = rows.filter(
         (F.col("database") == database) & (F.col("table") == table) & (F.col("type") == "insert")
     )
     if where is not None:

@@ -42,8 +42,15 @@ class TopicReader:
         return spark.read.text(f"{self.folder}/{topic}")
 
 
-def change_rows(values: DataFrame) -> DataFrame:
-    """Change log rows plus ``pt``, the processing time of the batch."""
+def change_rows(values: DataFrame, table: str | None = None) -> DataFrame:
+    """Change log rows plus ``pt``, the processing time of the batch.
+
+    With ``table``, text that cannot name the table is dropped before parsing, so a job on one table
+    does not parse the whole topic. Text with a Unicode escape might spell the name and is kept.
+    """
+    if table is not None:
+        text = F.col("value")
+        values = values.filter(text.contains(table) | text.contains("\\u"))
     return documents.parse(values, schemas.CHANGE).withColumn("pt", F.current_timestamp())
 
 
