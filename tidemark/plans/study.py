@@ -13,6 +13,7 @@ from tidemark.operators.windows import stamped, sum_parts, tumble
 from tidemark.sources.topics import with_event_time
 
 VIEWER_IDLE = "1 hour"
+VIDEO_MEASURES = ("videoPlayCt", "palySec", "userCt")
 
 
 def _timed(rows: DataFrame) -> DataFrame:
@@ -25,12 +26,12 @@ def _distinct_per_window(rows: DataFrame, keys: list[str], who: str, out: str, s
     return pairs.select(F.window_time("window").alias("rt"), *keys, F.lit(1).alias(out))
 
 
-def papers(taken: DataFrame, courses: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None) -> DataFrame:
+def paper_measures(taken: DataFrame, size: str = names.WINDOW) -> DataFrame:
     """Exams taken, summed score and duration per paper; title and course are those of the first row."""
     rows = _timed(taken)
     first = F.min(F.struct(F.col("rt").cast("timestamp").alias("at"), F.col("course_id").cast("string").alias("course_id"),
                            "paper_title"))
-    windows = tumble(rows, {
+    return tumble(rows, {
         "userCount": F.count(F.lit(1)),
         "scoreCount": F.sum(F.col("score").try_cast(schemas.AMOUNT)),
         "durSecCount": F.sum(F.col("duration_sec").try_cast(schemas.AMOUNT)),
@@ -38,10 +39,18 @@ def papers(taken: DataFrame, courses: DataFrame, size: str = names.WINDOW, emit_
     }, ["paper_id"], size).select(
         "window", "userCount", "scoreCount", "durSecCount", F.col("paper_id").alias("paperId"),
         F.col("_first.paper_title").alias("paperTitle"), F.col("_first.course_id").alias("courseId"))
+
+
+def name_papers(windows: DataFrame, courses: DataFrame, emit_ts: Column | None = None) -> DataFrame:
     named = enrich(windows, courses, "courseId", {"courseName": "COURSE_NAME"})
     return stamped(named, schemas.RESULT_COLUMNS["dws_test_paper_course_window"], emit_ts)
 
 
+def papers(taken: DataFrame, courses: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None) -> DataFrame:
+    """The measures of every paper with the name of its course."""
+    return name_papers(paper_measures(taken, size), courses, emit_ts)
+
+
 def paper_users(taken: DataFrame, size: str = names.WINDOW) -> DataFrame:
     """Distinct users per paper and window."""
     part = _distinct_per_window(_timed(taken), ["paper_id"], "user_id", "userCount", size)
@@ -83,8 +92,7 @@ def question_accuracy(answers: DataFrame, size: str = names.WINDOW, emit_ts: Col
     return stamped(summed, ("stt", "edt", "questionId", *measures, "ts"), emit_ts)
 
 
-def reviews(added: DataFrame, courses: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None,
-            distinct_users: bool = False) -> DataFrame:
+def review_measures(added: DataFrame, size: str = names.WINDOW, distinct_users: bool = False) -> DataFrame:
     """Stars, reviews and top-star reviews per course; ``distinct_users`` counts users, not rows."""
     stars = F.col("review_stars").try_cast("bigint")
     rows = _timed(added).select(
@@ -96,14 +104,22 @@ def reviews(added: DataFrame, courses: DataFrame, size: str = names.WINDOW, emit
         parts = [rows.select("rt", "course_id", "reviewStartsCount"),
                  _distinct_per_window(rows, ["course_id"], "user_id", "userCt", size),
                  _distinct_per_window(best, ["course_id"], "user_id", "startsUserCt", size)]
-        windows = sum_parts(parts, measures, ["course_id"], size)
-    else:
-        windows = tumble(rows, {m: F.sum(m) for m in measures}, ["course_id"], size)
+        return sum_parts(parts, measures, ["course_id"], size)
+    return tumble(rows, {m: F.sum(m) for m in measures}, ["course_id"], size)
+
+
+def name_reviews(windows: DataFrame, courses: DataFrame, emit_ts: Column | None = None) -> DataFrame:
     named = enrich(windows, courses, "course_id", {"courseName": "COURSE_NAME"})
     return stamped(named.withColumnRenamed("course_id", "courseId"),
                    schemas.RESULT_COLUMNS["dws_course_user_review_window"], emit_ts)
 
 
+def reviews(added: DataFrame, courses: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None,
+            distinct_users: bool = False) -> DataFrame:
+    """The measures of every course under its name."""
+    return name_reviews(review_measures(added, size, distinct_users), courses, emit_ts)
+
+
 def review_rates(windows: DataFrame) -> DataFrame:
     """Average stars and share of top-star reviews per course over the stored windows."""
     return windows.groupBy("courseId").agg(
@@ -113,19 +129,26 @@ def review_rates(windows: DataFrame) -> DataFrame:
     )
 
 
-def video_plays(videos: DataFrame, video_dim: DataFrame, chapter_dim: DataFrame, size: str = names.WINDOW,
-                emit_ts: Column | None = None) -> DataFrame:
-    """Plays, seconds played and daily viewers per chapter."""
+def video_measures(videos: DataFrame, size: str = names.WINDOW) -> DataFrame:
+    """Plays, seconds played and daily viewers per video."""
     rows = with_event_time(videos, clock.ms_to_time(F.col("ts"))).select(
         "rt", F.col("common.uid").alias("uid"), F.col("appVideo.video_id").alias("video_id"),
         F.col("appVideo.play_sec").cast("bigint").alias("palySec"), F.lit(1).alias("videoPlayCt"))
     viewers = first_rows(rows, ["uid"], ["video_id"], reset="day_or_idle", ttl=VIEWER_IDLE, size=size)
     viewers = viewers.select("rt", "video_id", F.lit(1).alias("userCt"))
-    measures = ["videoPlayCt", "palySec", "userCt"]
-    # Per video first: the lookup of the chapter then runs once per video and window.
-    per_video = sum_parts([rows.drop("uid"), viewers], measures, ["video_id"], size)
-    with_chapter = enrich(per_video, video_dim, "video_id", {"chapterId": "CHAPTER_ID"})
-    per_chapter = with_chapter.select(F.window_time("window").alias("rt"), "chapterId", *measures)
-    summed = tumble(per_chapter, {m: F.sum(m) for m in measures}, ["chapterId"], size)
+    return sum_parts([rows.drop("uid"), viewers], list(VIDEO_MEASURES), ["video_id"], size)
+
+
+def name_chapters(windows: DataFrame, video_dim: DataFrame, chapter_dim: DataFrame,
+                  emit_ts: Column | None = None) -> DataFrame:
+    """Sum videos to chapters: the chapter is looked up once per video and window, its name once per chapter."""
+    with_chapter = enrich(windows, video_dim, "video_id", {"chapterId": "CHAPTER_ID"})
+    summed = with_chapter.groupBy("window", "chapterId").agg(*[F.sum(m).alias(m) for m in VIDEO_MEASURES])
     named = enrich(summed, chapter_dim, "chapterId", {"chapterName": "CHAPTER_NAME"})
     return stamped(named, schemas.RESULT_COLUMNS["dws_video_info_window"], emit_ts)
+
+
+def video_plays(videos: DataFrame, video_dim: DataFrame, chapter_dim: DataFrame, size: str = names.WINDOW,
+                emit_ts: Column | None = None) -> DataFrame:
+    """Plays, seconds played and daily viewers per chapter."""
+    return name_chapters(video_measures(videos, size), video_dim, chapter_dim, emit_ts)

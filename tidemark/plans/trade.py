@@ -59,8 +59,7 @@ def order_totals_by_user(details: DataFrame, size: str = names.WINDOW, emit_ts:
                    schemas.RESULT_COLUMNS["dws_trade_order_count_window"], emit_ts)
 
 
-def by_province(details: DataFrame, provinces: DataFrame, size: str = names.WINDOW,
-                emit_ts: Column | None = None) -> DataFrame:
+def province_measures(details: DataFrame, size: str = names.WINDOW) -> DataFrame:
     """Distinct orders, first-seen users and amount per province, over lines cleaned of duplicates by id."""
     lines = _timed(details).select("rt", "id", "order_id", "user_id", "province_id", _amount().alias("amount"))
     clean = first_rows(lines, ["id"], ["order_id", "user_id", "province_id", "amount"],
@@ -70,12 +69,21 @@ def by_province(details: DataFrame, provinces: DataFrame, size: str = names.WIND
     orders = orders.select(F.window_time("window").alias("rt"), "province_id", "orderAmount", F.lit(1).alias("orderCount"))
     users = first_rows(clean.drop("id"), ["user_id"], ["province_id"], reset="idle", ttl=USER_IDLE, size=size)
     users = users.select("rt", "province_id", F.lit(1).alias("userCount"))
-    summed = sum_parts([orders, users], ["orderCount", "userCount", "orderAmount"], ["province_id"], size)
-    named = enrich(summed, provinces, "province_id", {"provinceName": "NAME"})
+    return sum_parts([orders, users], ["orderCount", "userCount", "orderAmount"], ["province_id"], size)
+
+
+def name_provinces(windows: DataFrame, provinces: DataFrame, emit_ts: Column | None = None) -> DataFrame:
+    named = enrich(windows, provinces, "province_id", {"provinceName": "NAME"})
     return stamped(named.withColumnRenamed("province_id", "provinceId"),
                    schemas.RESULT_COLUMNS["dws_trade_province_order_window"], emit_ts)
 
 
+def by_province(details: DataFrame, provinces: DataFrame, size: str = names.WINDOW,
+                emit_ts: Column | None = None) -> DataFrame:
+    """The measures of every province under its name."""
+    return name_provinces(province_measures(details, size), provinces, emit_ts)
+
+
 def by_course_and_subject(details: DataFrame, courses: DataFrame, subjects: DataFrame, size: str = names.WINDOW,
                           per_detail: bool = False) -> DataFrame:
     """Orders per course and window, with running totals of the course's subject.

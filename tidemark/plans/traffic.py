@@ -65,13 +65,21 @@ def _visits(views: DataFrame, keys: list[str], measures: list[str], size: str) -
     return sum_parts([rows, devices, sessions], measures, keys, size)
 
 
-def by_source(pages: DataFrame, sources: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None) -> DataFrame:
-    """Visitors, sessions, pages, single-page sessions and time spent per traffic source."""
-    summed = _visits(_views(pages), ["sc"], ["uvCt", "svCt", "pageCt", "pageOneCt", "durSum"], size)
-    named = enrich(summed, sources, "sc", {"sourceName": "SOURCE_SITE"})
+def source_measures(pages: DataFrame, size: str = names.WINDOW) -> DataFrame:
+    """Visitors, sessions, pages, single-page sessions and time spent per traffic source id."""
+    return _visits(_views(pages), ["sc"], ["uvCt", "svCt", "pageCt", "pageOneCt", "durSum"], size)
+
+
+def name_sources(windows: DataFrame, sources: DataFrame, emit_ts: Column | None = None) -> DataFrame:
+    named = enrich(windows, sources, "sc", {"sourceName": "SOURCE_SITE"})
     return stamped(named, schemas.RESULT_COLUMNS["dws_traffic_source_window"], emit_ts)
 
 
+def by_source(pages: DataFrame, sources: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None) -> DataFrame:
+    """The measures of every traffic source under its name."""
+    return name_sources(source_measures(pages, size), sources, emit_ts)
+
+
 def by_time(pages: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None) -> DataFrame:
     """Visitors, sessions and pages per window."""
     summed = _visits(_views(pages), [], ["uvCt", "svCt", "pageCt"], size)

@@ -31,7 +31,7 @@ class TopicReader:
             options = self.kafka_options(topic, group, starting)
             records = spark.readStream.format("kafka").options(**options).load()
             return records.select(F.col("value").cast("string").alias("value"))
-        return spark.readStream.options(**self.options).text(f"{self.folder}/{topic}")
+        return spark.readStream.options(**self.options).text(f"{self.folder}/{topic}").select("value")
 
     def table(self, spark: SparkSession, topic: str) -> DataFrame:
         """The same topic as a bounded table, from the earliest to the latest offset."""
@@ -39,7 +39,7 @@ class TopicReader:
             options = self.kafka_options(topic, starting="earliest")
             records = spark.read.format("kafka").options(**options).load()
             return records.select(F.col("value").cast("string").alias("value"))
-        return spark.read.text(f"{self.folder}/{topic}")
+        return spark.read.text(f"{self.folder}/{topic}").select("value")
 
 
 def change_rows(values: DataFrame, table: str | None = None) -> DataFrame:

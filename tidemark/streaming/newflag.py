@@ -1,0 +1,53 @@
+"""Repair of the new-visitor flag on the raw log stream, with one small state row per device."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tidemark.functions import clock
+from tidemark.sources.topics import log_rows
+
+_HEAD = "common struct<mid:string, is_new:string>, ts bigint"
+
+
+class NewFlag(StatefulProcessor):
+    """The day on which a device counts as new (none if its first log did not claim so)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", T.StructType([T.StructField("new_day", T.IntegerType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.first.exists():
+            new_day = self.first.get()[0]
+        else:
+            # A device seen for the first time: its earliest row in this batch decides.
+            rows = list(rows)
+            claims = pd.concat([r[["ts", "is_new", "day"]] for r in rows])
+            claims = claims.sort_values(["ts", "is_new"], na_position="first", kind="stable").iloc[0]
+            new_day = int(claims["day"]) if claims["is_new"] == "1" else None
+            self.first.update((new_day,))
+        for frame in rows:
+            flag = frame["is_new"].copy()
+            claimed = flag == "1"
+            flag[claimed] = (frame["day"][claimed] == new_day).map({True: "1", False: "0"})
+            yield pd.DataFrame({"value": frame["value"], "fixed": flag})
+
+    def close(self) -> None:
+        pass
+
+
+def repaired_log_stream(values: DataFrame) -> DataFrame:
+    """Log rows of a stream of JSON ``value`` with ``common.is_new`` repaired."""
+    head = F.from_json("value", _HEAD, {"mode": "FAILFAST"})
+    keyed = values.select("value", F.inline(F.when(F.col("value").isNotNull(), F.array(head)))).select(
+        F.col("common.mid").alias("mid"), F.col("common.is_new").alias("is_new"), "ts",
+        clock.day_number(clock.ms_to_time(F.col("ts"))).alias("day"), "value")
+    fixed = keyed.groupBy("mid").transformWithStateInPandas(NewFlag(), "value string, fixed string", "Append", "None")
+    rows = log_rows(fixed)
+    return rows.withColumn("common", F.col("common").withField("is_new", F.col("fixed"))).drop("fixed")
