@@ -48,8 +48,10 @@ def first_rows(
     size: str = names.WINDOW,
     retention: str | None = None,
 ) -> DataFrame:
-    """First rows of ``df`` (event time ``rt``): columns ``rt``, ``keys``, ``carry``.
+    """First rows of ``df`` (event time ``rt``): columns ``rt``, ``at``, ``keys``, ``carry``.
 
+    ``at`` is the exact time of the first row. On a stream ``rt`` is the end of its cell, which lies in
+    the same window; so a result fed in again is compared by ``at``.
     ``previous_day`` adds ``day`` and ``previous_day`` (day numbers), the latter being the day of the
     key's first row before this one; it needs ``reset="day"``. On a stream ``size`` is the window the
     result is later summed in, and ``retention`` bounds how long ``previous_day`` is remembered.
@@ -92,4 +94,5 @@ def _batch_first_rows(df, keys, carry, reset, ttl_us, previous_day):
         gap = F.unix_micros("_first.rt") - F.unix_micros("_before")
         cells = cells.withColumn("_before", before).filter(F.col("_before").isNull() | (gap >= ttl_us))
     extra = ["day", "previous_day"] if previous_day else []
-    return cells.select(F.col("_first.rt").alias("rt"), *keys, *[F.col(f"_first.{c}").alias(c) for c in carry], *extra)
+    time = F.col("_first.rt")
+    return cells.select(time.alias("rt"), time.alias("at"), *keys, *[F.col(f"_first.{c}").alias(c) for c in carry], *extra)

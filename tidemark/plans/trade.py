@@ -62,12 +62,20 @@ def order_totals_by_user(details: DataFrame, size: str = names.WINDOW, emit_ts:
 def province_measures(details: DataFrame, size: str = names.WINDOW) -> DataFrame:
     """Distinct orders, first-seen users and amount per province, over lines cleaned of duplicates by id."""
     lines = _timed(details).select("rt", "id", "order_id", "user_id", "province_id", _amount().alias("amount"))
-    clean = first_rows(lines, ["id"], ["order_id", "user_id", "province_id", "amount"],
-                       reset="idle", ttl=DUPLICATE_IDLE, size=size)
+
+    def cleaned(branch: str) -> DataFrame:
+        carry = ["order_id", "user_id", "province_id", "amount"]
+        if not lines.isStreaming:
+            return first_rows(lines, ["id"], carry, reset="idle", ttl=DUPLICATE_IDLE, size=size)
+        # Two equal stateful branches of one stream get only one watermark between them; a constant
+        # tells them apart. A batch needs equal branches, which it computes once.
+        tagged = lines.withColumn("branch", F.lit(branch))
+        return first_rows(tagged, ["id"], [*carry, "branch"], reset="idle", ttl=DUPLICATE_IDLE, size=size)
+
     # One row per order first: distinct orders become a count, without a set of ids in any group.
-    orders = tumble(clean, {"orderAmount": F.sum("amount")}, ["province_id", "order_id"], size)
+    orders = tumble(cleaned("orders"), {"orderAmount": F.sum("amount")}, ["province_id", "order_id"], size)
     orders = orders.select(F.window_time("window").alias("rt"), "province_id", "orderAmount", F.lit(1).alias("orderCount"))
-    users = first_rows(clean.drop("id"), ["user_id"], ["province_id"], reset="idle", ttl=USER_IDLE, size=size)
+    users = first_rows(cleaned("users"), ["user_id"], ["province_id"], reset="idle", ttl=USER_IDLE, size=size)
     users = users.select("rt", "province_id", F.lit(1).alias("userCount"))
     return sum_parts([orders, users], ["orderCount", "userCount", "orderAmount"], ["province_id"], size)
 
@@ -101,7 +109,7 @@ def by_course_and_subject(details: DataFrame, courses: DataFrame, subjects: Data
     windows = tumble(clean, {
         "courseOrderUserCt": F.count(F.lit(1)),
         "courseOrderAmount": F.sum("amount"),
-        "_first": F.min(F.struct(F.col("rt").cast("timestamp").alias("at"), "course_name")),
+        "_first": F.min(F.struct("at", "course_name")),
     }, ["course_id"], size)
     # The subject depends on the course alone, so it is looked up once per course and window.
     windows = enrich(windows, courses, "course_id", {"subjectId": "SUBJECT_ID"})

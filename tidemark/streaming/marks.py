@@ -35,10 +35,10 @@ class FirstCells(StatefulProcessor):
         ]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        cells = pd.concat(list(rows)).sort_values("_first_us", kind="stable")
+        cells = pd.concat(list(rows)).sort_values("m_first_us", kind="stable")
         last_us, day, timer_ms = self.seen.get() if self.seen.exists() else (None, None, None)
         keep, previous = [], []
-        for first, last, today in zip(cells["_first_us"], cells["_last_us"], cells["_day"]):
+        for first, last, today in zip(cells["m_first_us"], cells["m_last_us"], cells["m_day"]):
             is_first = last_us is None
             if not is_first and self.by_day and day != today:
                 is_first = True
@@ -48,14 +48,14 @@ class FirstCells(StatefulProcessor):
             previous.append(day)
             last_us = int(last) if last_us is None else max(last_us, int(last))
             day = int(today)
-        expiry = cells["_expiry_ms"].iloc[-1]
+        expiry = cells["m_expiry_ms"].iloc[-1]
         expiry = None if pd.isna(expiry) else int(expiry)
         if timer_ms is not None and timer_ms != expiry:
             self.handle.deleteTimer(timer_ms)
         if expiry is not None and timer_ms != expiry:
             self.handle.registerTimer(expiry)
         self.seen.update((last_us, day, expiry))
-        cells["_previous_day"] = pd.array(previous, dtype="Int32")
+        cells["m_previous_day"] = pd.array(previous, dtype="Int32")
         yield cells.loc[keep, self.columns]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -73,7 +73,8 @@ def stream_first_rows(
     from tidemark.operators.marks import cell_width_us
 
     width = cell_width_us(clock.duration_us(size), ttl_us)
-    time = F.col("rt").cast("timestamp")
+    # Through microseconds, so that only ``rt`` counts as event time.
+    time = F.timestamp_micros(F.unix_micros("at" if "at" in df.columns else "rt"))
     by_day = [] if reset == "idle" else ["_day"]
     rows = df.select("rt", *keys, *carry, time.alias("_time"), clock.day_number(time).alias("_day"))
     cells = (
@@ -91,17 +92,18 @@ def stream_first_rows(
         expiry = F.unix_millis("_last") + (clock.duration_us(retention) // 1000 + slack_ms)
     else:
         expiry = F.lit(None).cast("bigint")
+    # Names in a pandas group must not start with an underscore.
     flat = cells.select(
-        F.window_time("_cell").alias("rt"), *keys,
+        F.window_time("_cell").alias("rt"), F.col("_first._time").alias("at"), *keys,
         *[F.col(f"_first.{c}").alias(c) for c in carry],
-        F.unix_micros("_first._time").alias("_first_us"), F.unix_micros("_last").alias("_last_us"),
-        day.cast("int").alias("_day"), expiry.alias("_expiry_ms"),
+        F.unix_micros("_first._time").alias("m_first_us"), F.unix_micros("_last").alias("m_last_us"),
+        day.cast("int").alias("m_day"), expiry.alias("m_expiry_ms"),
     )
-    columns = ["rt", *keys, *carry, "_day", "_previous_day"]
-    fields = [*(flat.schema[c] for c in columns[:-1]), T.StructField("_previous_day", T.IntegerType())]
+    columns = ["rt", "at", *keys, *carry, "m_day", "m_previous_day"]
+    fields = [*(flat.schema[c] for c in columns[:-1]), T.StructField("m_previous_day", T.IntegerType())]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
     firsts = flat.groupBy(*keys).transformWithStateInPandas(
         FirstCells(reset, ttl_us, columns), schema, "Append", "EventTime", eventTimeColumnName="rt"
     )
-    extra = [F.col("_day").alias("day"), F.col("_previous_day").alias("previous_day")] if previous_day else []
-    return firsts.select("rt", *keys, *carry, *extra)
+    extra = [F.col("m_day").alias("day"), F.col("m_previous_day").alias("previous_day")] if previous_day else []
+    return firsts.select("rt", "at", *keys, *carry, *extra)

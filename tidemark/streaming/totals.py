@@ -31,10 +31,10 @@ class SubjectTotals(StatefulProcessor):
         ]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["_at_us", "courseId"], kind="stable")
+        frame = pd.concat(list(rows)).sort_values(["m_at_us", "courseId"], kind="stable")
         last_us, day, ct, user_ct, amount = self.totals.get() if self.totals.exists() else (None, None, 0, 0, 0)
         cts, user_cts, amounts = [], [], []
-        for at, today, added in zip(frame["_at_us"], frame["_day"], frame["courseOrderAmount"]):
+        for at, today, added in zip(frame["m_at_us"], frame["m_day"], frame["courseOrderAmount"]):
             ct += 1
             if last_us is None or day != today or at - last_us >= self.ttl_us:
                 user_ct += 1
@@ -54,16 +54,16 @@ class SubjectTotals(StatefulProcessor):
 
 def stream_subject_totals(rows: DataFrame, ttl_us: int) -> DataFrame:
     flat = rows.select(
-        F.window_time("window").alias("rt"), F.col("window.start").alias("_start"), F.col("window.end").alias("_end"),
+        F.window_time("window").alias("rt"), F.col("window.start").alias("m_start"), F.col("window.end").alias("m_end"),
         *[c for c in rows.columns if c not in ("window", "one", "courseOrderAmount")],
         F.col("courseOrderAmount").cast("decimal(38,6)").alias("courseOrderAmount"),
-        F.unix_micros("at").alias("_at_us"), clock.day_number(F.col("at")).alias("_day"),
+        F.unix_micros("at").alias("m_at_us"), clock.day_number(F.col("at")).alias("m_day"),
     )
-    kept = [c for c in flat.columns if c not in ("_at_us", "_day")]
+    kept = [c for c in flat.columns if c not in ("m_at_us", "m_day")]
     schema = T.StructType([T.StructField(c, flat.schema[c].dataType, True) for c in kept] + [
         T.StructField("subOrderCt", T.LongType()), T.StructField("subOrderUserCt", T.LongType()),
         T.StructField("subOrderAmount", T.DecimalType(38, 6)),
     ])
     totals = flat.groupBy("subjectId").transformWithStateInPandas(
         SubjectTotals(ttl_us, schema.fieldNames()), schema, "Append", "EventTime", eventTimeColumnName="rt")
-    return totals.withColumn("window", F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")))
+    return totals.withColumn("window", F.struct(F.col("m_start").alias("start"), F.col("m_end").alias("end")))
