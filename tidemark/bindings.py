@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.functions import clock
 from tidemark.sources.topics import change_rows, log_rows
 
 DATABASE = "edu"
-_SPLITS: dict[tuple[str, str, str], int] = {}
+# Schema and number of splits per application and path: read from the files once, not for every query.
+_SHAPES: dict[tuple[str, str], tuple[T.StructType, int]] = {}
 LARGE_TABLES = ("lineitem", "orders", "events", "documents")
 
 
@@ -34,6 +36,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._frames: dict[str, DataFrame] = {}
 
     def read(self, table: str) -> DataFrame:
         """A table; one with fewer input splits than cores is spread by its first column.
@@ -41,17 +44,22 @@ class Tables:
         A file with a single row group is one split however many cores there are. Tables with enough
         splits, as any large one, are left as they are.
         """
-        df = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        if table not in self._frames:
+            self._frames[table] = self._load(table)
+        return self._frames[table]
+
+    def _load(self, table: str) -> DataFrame:
+        path = f"{self.folder}/{table}.parquet"
+        known = (self.spark.sparkContext.applicationId, path)
+        if known in _SHAPES:
+            schema, splits = _SHAPES[known]
+            df = self.spark.read.schema(schema).parquet(path)
+        else:
+            df = self.spark.read.parquet(path)
+            splits = df.rdd.getNumPartitions() if table in LARGE_TABLES else 0
+            _SHAPES[known] = df.schema, splits
         cores = self.spark.sparkContext.defaultParallelism
-        if table in LARGE_TABLES and self._splits(table, df) < cores:
-            return df.repartition(cores, df.columns[0])
-        return df
-
-    def _splits(self, table: str, df: DataFrame) -> int:
-        known = (self.spark.sparkContext.applicationId, self.folder, table)
-        if known not in _SPLITS:
-            _SPLITS[known] = df.rdd.getNumPartitions()
-        return _SPLITS[known]
+        return df.repartition(cores, df.columns[0]) if 0 < splits < cores else df
 
     # --- order lines, as the order-detail topic holds them ---
 
