@@ -84,6 +84,18 @@ def test_previous_day(spark):
     assert [g for _, g in gaps] == [None, 7, 8]
 
 
+def test_days_follow_the_session_zone(spark):
+    rows = [("a", datetime(2024, 1, 1, 15, 59), "x"), ("a", datetime(2024, 1, 1, 16, 1), "x")]
+    df = spark.createDataFrame([(k, int((t - datetime(1970, 1, 1)).total_seconds()), c) for k, t, c in rows],
+                               "k string, s bigint, c string").select("k", F.timestamp_seconds("s").alias("rt"), "c")
+    assert first_rows(df, ["k"]).count() == 1
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
+    try:
+        assert first_rows(df, ["k"]).count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_cells_fit_window_and_ttl():
     assert cell_width_us(10_000_000, 5_000_000) == 5_000_000
     assert cell_width_us(10_000_000, None) == 10_000_000

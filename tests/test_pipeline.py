@@ -339,6 +339,38 @@ def test_kafka_options():
     assert TopicWriter(servers="host:1").kafka_options("t") == {"kafka.bootstrap.servers": "host:1", "topic": "t"}
 
 
+def test_topic_writer_streams_to_a_folder(spark, tmp_path):
+    folder = str(tmp_path / "topics")
+    values(spark, [{"a": 1}, {"a": 2}]).coalesce(1).write.text(f"{folder}/in")
+    reader, writer = TopicReader(folder=folder), TopicWriter(folder=folder)
+    query = writer.stream(reader.stream(spark, "in"), "out", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert query.awaitTermination(60) and query.exception() is None
+    assert sorted(r.value for r in reader.table(spark, "out").collect()) == ['{"a": 1}', '{"a": 2}']
+
+
+def test_test_paper_job(spark, tmp_path):
+    folder = str(tmp_path / "topics")
+    values(spark, [change("test_exam", {"id": 5, "paper_id": 4, "score": 60})]).coalesce(1).write.text(f"{folder}/{names.CHANGE_TOPIC}")
+    reader, writer = TopicReader(folder=folder), TopicWriter(folder=folder)
+    papers = lambda: spark.createDataFrame([(4, "Java", 39)], "id bigint, paper_title string, course_id bigint")
+    query = jobs.start_test_papers(spark, reader, writer, papers, "edu", str(tmp_path / "ck"), available_now=True)
+    assert query.awaitTermination(60) and query.exception() is None
+    [record] = reader.table(spark, names.TEST_PAPER_TOPIC).collect()
+    assert json.loads(record.value) == {"id": "5", "paper_id": "4", "score": "60", "paper_title": "Java", "course_id": 39}
+
+
+def test_checkpoint_folder_comes_from_the_session(spark):
+    from tidemark.session import shared_folder
+
+    with pytest.raises(ValueError):
+        shared_folder(spark)
+    spark.conf.set("spark.checkpoint.dir", "/shared/ck/")
+    try:
+        assert shared_folder(spark) == "/shared/ck"
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
 # --- result tables ---
 
 def test_result_table_keeps_greatest_ts(spark, tmp_path):

@@ -38,9 +38,9 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); ``fallback`` serves only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
+        raise ValueError("spark.checkpoint.dir is not set; pass a folder that all executors share")
     return folder.rstrip("/")

@@ -1,7 +1,7 @@
 """The streaming jobs: topic in, plan, topic or table out.
 
-Each ``start_*`` function starts one query and returns it. State, offsets and outputs live under the
-folders given, which on a cluster are shared ones.
+Each ``start_*`` function starts one query and returns it. State and offsets live under ``checkpoints``,
+by default in the shared folder the cluster names in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from tidemark.functions import documents
 from tidemark.operators import routing
 from tidemark.operators.logsplit import split_logs
 from tidemark.plans import facts, study, trade, traffic, users
+from tidemark.session import shared_folder
 from tidemark.sinks.dims import DimStore
 from tidemark.sinks.results import ResultTable
 from tidemark.sinks.topics import TopicWriter, json_records
@@ -92,7 +93,7 @@ MEASURE_JOBS = {
 
 
 def start_measures(spark: SparkSession, name: str, reader: TopicReader, dims: DimReader, results: str,
-                   checkpoints: str, available_now: bool = False) -> StreamingQuery:
+                   checkpoints: str | None = None, available_now: bool = False) -> StreamingQuery:
     """Start one window job into its result table."""
     job = MEASURE_JOBS[name]
     rows = job.parse(reader.stream(spark, job.topic, f"{name}_group"))
@@ -102,7 +103,7 @@ def start_measures(spark: SparkSession, name: str, reader: TopicReader, dims: Di
     def write(batch: DataFrame, batch_id: int) -> None:
         table.append(job.finish(batch, dims), batch_id)
 
-    return _start(windows, write, f"{checkpoints}/{name}", available_now)
+    return _start(windows, write, checkpoints, name, available_now)
 
 
 # Fact job: topic, plan over the change topic, key of the record (none for plain appends).
@@ -118,16 +119,16 @@ FACT_JOBS = {
 
 
 def start_facts(spark: SparkSession, name: str, reader: TopicReader, writer: TopicWriter, database: str,
-                checkpoints: str, available_now: bool = False) -> StreamingQuery:
+                checkpoints: str | None = None, available_now: bool = False) -> StreamingQuery:
     """Start one fact job from the change topic into its fact topic."""
     topic, plan, keys = FACT_JOBS[name]
     records = json_records(plan(reader.stream(spark, names.CHANGE_TOPIC, f"{name}_group"), database), keys)
     return _start(records, lambda batch, batch_id: writer.write_batch(batch, topic, batch_id),
-                  f"{checkpoints}/{name}", available_now)
+                  checkpoints, name, available_now)
 
 
 def start_test_papers(spark: SparkSession, reader: TopicReader, writer: TopicWriter, papers: Callable[[], DataFrame],
-                      database: str, checkpoints: str, available_now: bool = False) -> StreamingQuery:
+                      database: str, checkpoints: str | None = None, available_now: bool = False) -> StreamingQuery:
     """Start the test-paper job; the paper table is looked up as it is at each micro-batch."""
     changes = reader.stream(spark, names.CHANGE_TOPIC, "test_papers_group")
 
@@ -135,11 +136,11 @@ def start_test_papers(spark: SparkSession, reader: TopicReader, writer: TopicWri
         records = json_records(facts.test_papers(batch, database, papers()))
         writer.write_batch(records, names.TEST_PAPER_TOPIC, batch_id)
 
-    return _start(changes, write, f"{checkpoints}/test_papers", available_now)
+    return _start(changes, write, checkpoints, "test_papers", available_now)
 
 
 def start_routing(spark: SparkSession, reader: TopicReader, writer: TopicWriter, store: DimStore,
-                  config: Callable[[], DataFrame], checkpoints: str, available_now: bool = False) -> StreamingQuery:
+                  config: Callable[[], DataFrame], checkpoints: str | None = None, available_now: bool = False) -> StreamingQuery:
     """Start the routing of the change topic; ``config`` gives the current feed at each micro-batch."""
     values = reader.stream(spark, names.CHANGE_TOPIC, "routing_group")
 
@@ -152,10 +153,10 @@ def start_routing(spark: SparkSession, reader: TopicReader, writer: TopicWriter,
         finally:
             changes.unpersist()
 
-    return _start(values, write, f"{checkpoints}/routing", available_now)
+    return _start(values, write, checkpoints, "routing", available_now)
 
 
-def start_log_split(spark: SparkSession, reader: TopicReader, writer: TopicWriter, checkpoints: str,
+def start_log_split(spark: SparkSession, reader: TopicReader, writer: TopicWriter, checkpoints: str | None = None,
                     available_now: bool = False) -> StreamingQuery:
     """Start the repair and split of the log topic into its six branch topics."""
     logs = repaired_log_stream(reader.stream(spark, names.LOG_TOPIC, "log_split_group"))
@@ -168,11 +169,13 @@ def start_log_split(spark: SparkSession, reader: TopicReader, writer: TopicWrite
         finally:
             kept.unpersist()
 
-    return _start(logs, write, f"{checkpoints}/log_split", available_now)
+    return _start(logs, write, checkpoints, "log_split", available_now)
 
 
-def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
-    writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoints: str | None, name: str,
+           available_now: bool) -> StreamingQuery:
+    folder = checkpoints or f"{shared_folder(df.sparkSession)}/tidemark"
+    writer = df.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/{name}").foreachBatch(write)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
