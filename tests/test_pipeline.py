@@ -362,13 +362,15 @@ def test_test_paper_job(spark, tmp_path):
 def test_checkpoint_folder_comes_from_the_session(spark):
     from tidemark.session import shared_folder
 
-    with pytest.raises(ValueError):
-        shared_folder(spark)
+    before = spark.conf.get("spark.checkpoint.dir", None)
     spark.conf.set("spark.checkpoint.dir", "/shared/ck/")
     try:
         assert shared_folder(spark) == "/shared/ck"
+        spark.conf.set("spark.checkpoint.dir", "")
+        with pytest.raises(ValueError):
+            shared_folder(spark)
     finally:
-        spark.conf.unset("spark.checkpoint.dir")
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
 
 
 # --- result tables ---
