@@ -359,18 +359,17 @@ def test_test_paper_job(spark, tmp_path):
     assert json.loads(record.value) == {"id": "5", "paper_id": "4", "score": "60", "paper_title": "Java", "course_id": 39}
 
 
-def test_checkpoint_folder_comes_from_the_session(spark):
+def test_checkpoint_folder_comes_from_the_session():
+    from types import SimpleNamespace
+
     from tidemark.session import shared_folder
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "/shared/ck/")
-    try:
-        assert shared_folder(spark) == "/shared/ck"
-        spark.conf.set("spark.checkpoint.dir", "")
-        with pytest.raises(ValueError):
-            shared_folder(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    def session(**conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: conf.get(key, default)))
+
+    assert shared_folder(session(**{"spark.checkpoint.dir": "/shared/ck/"})) == "/shared/ck"
+    with pytest.raises(ValueError):
+        shared_folder(session())
 
 
 # --- result tables ---
