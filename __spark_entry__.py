@@ -6,12 +6,16 @@ Wall-clock columns are dropped and amounts turned into rounded doubles, for comp
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 from tidemark import names
 from tidemark.bindings import DATABASE, Tables
 from tidemark.operators import routing

@@ -388,3 +388,15 @@ def test_result_table_keeps_greatest_ts(spark, tmp_path):
     assert table.read(spark, "2024-01-02").count() == 0
     compacted = table.compact(spark, str(tmp_path / "b"))
     assert [tuple(r)[2:] for r in compacted.versions(spark).select(*schemas.RESULT_COLUMNS[table.table]).collect()] == [(5, 20)]
+
+
+def test_result_rows_that_share_a_name_are_kept(spark, tmp_path):
+    def rows(ts, *items):
+        return spark.createDataFrame([("2024-01-01 00:00:00", "2024-01-01 00:00:10", name, n, 1, 1, 0, 5, ts) for name, n in items],
+                                     "stt string, edt string, sourceName string, uvCt bigint, svCt bigint, pageCt bigint, "
+                                     "pageOneCt bigint, durSum bigint, ts bigint")
+
+    table = ResultTable(str(tmp_path), "dws_traffic_source_window")
+    table.append(rows(1, (None, 9), ("web", 1)), 0)
+    table.append(rows(2, (None, 2), (None, 3)), 1)
+    assert sorted((str(r.sourceName), r.uvCt) for r in table.read(spark).collect()) == [("None", 2), ("None", 3), ("web", 1)]

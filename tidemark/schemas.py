@@ -89,5 +89,11 @@ RESULT_KEYS = {
     "dws_video_info_window": ("stt", "edt", "chapterName"),
 }
 
+# Tables whose key is a looked-up name: several sources or chapters may share one name, or have none.
+KEYED_BY_NAME = ("dws_traffic_source_window", "dws_video_info_window")
+
 AMOUNT = "decimal(22,6)"
-SINK_AMOUNT = "decimal(38,20)"
+SINK_# Tables whose key is a looked-up name: several sources or chapters may share one name, or have none.
+KEYED_BY_NAME = ("dws_traffic_source_window", "dws_video_info_window")
+
+AMOUNT = "decimal(38,20)"

@@ -43,10 +43,18 @@ class ResultTable:
         rows = self.versions(spark)
         if day is not None:
             rows = rows.filter(F.col("day") == F.lit(day).cast(rows.schema["day"].dataType))
+        if self.table in schemas.KEYED_BY_NAME:
+            return self._last_batch(rows).select(*schemas.RESULT_COLUMNS[self.table])
         values = [c for c in schemas.RESULT_COLUMNS[self.table] if c not in self.keys and c != "ts"]
         current = latest_by_key(rows.drop("day"), self.keys, ["ts", "batch_id", *values])
         return current.select(*schemas.RESULT_COLUMNS[self.table])
 
+    def _last_batch(self, rows: DataFrame) -> DataFrame:
+        """All rows a key got in its last batch, since rows of one batch may share a name."""
+        keyed = rows.withColumns({"_key": F.struct(*self.keys), "_at": F.struct("ts", "batch_id")})
+        last = keyed.groupBy("_key").agg(F.max("_at").alias("_at"))
+        return keyed.join(last, ["_key", "_at"], "left_semi")
+
     def compact(self, spark: SparkSession, folder: str) -> "ResultTable":
         target = ResultTable(folder, self.table)
         target.append(self.read(spark))
