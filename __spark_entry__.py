@@ -24,6 +24,14 @@ from tidemark.operators.logsplit import split_logs
 from tidemark.operators.visitors import repair_new_flag
 from tidemark.plans import facts, study, trade, traffic, users
 
+try:
+    import corpus_pipeline
+    from tidemark.llm import registry
+except ModuleNotFoundError as missing:  # these two may be absent as a whole; a fault inside them must show
+    if missing.name not in ("corpus_pipeline", "tidemark.llm"):
+        raise
+    corpus_pipeline = registry = None
+
 
 def _plain(df: DataFrame, *drop: str) -> DataFrame:
     kept = [c for c in df.columns if c not in drop]
@@ -69,7 +77,9 @@ def _dim_rows(t: Tables) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per job or operator; each takes (spark, folder)."""
+    added = {**registry.queries(), "pipeline": corpus_pipeline.run} if registry else {}
     return {
+        **added,
         # facts from the change log
         "cart_add_facts": _rows(lambda t: facts.cart_adds(t.event_changes("cart_info"), DATABASE).drop("pt")),
         "order_detail_facts": _rows(lambda t: facts.order_details(
@@ -269,10 +279,14 @@ _DIMS = f"""{_E}, k AS (SELECT *, {_kind('k')} AS type, CAST(floor(epoch(ts)) AS
 def oracle_sql() -> dict[str, str]:
     """The same results in SQL over the same tables."""
     hour, day, ten = "1 hour", "1 day", "10 seconds"
+    added = dict(registry.oracle_sql()) if registry else {}
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        added["pipeline"] = corpus_pipeline.ORACLE_SQL
     paper = f"""{_E}, q AS (SELECT {_t('k')} AS paper_id, CAST(k * 3 AS VARCHAR) AS course_id, 'paper ' || k AS title,
         CAST(value AS DECIMAL(18,2)) AS score, user_id, date_trunc('second', ts) AS rt FROM e)"""
     review = f"{_E}, q AS (SELECT CAST(k AS VARCHAR) AS course_id, user_id, user_id % 5 + 1 AS stars, date_trunc('second', ts) AS rt FROM e)"
     return {
+        **added,
         "cart_add_facts": f"""WITH {_E} SELECT {_t('event_id')} AS id, {_t('user_id')} AS user_id, {_t('k')} AS course_id,
             'course ' || k AS course_name, {_d('value')} AS cart_price, 's' || user_id AS session_id, {_s('ts')} AS create_time,
             CASE WHEN k % 2 = 0 THEN '1' END AS sold FROM e WHERE {_insert('k')}""",
