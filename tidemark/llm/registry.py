@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, exact_dedup
+from tidemark.llm import bpe, chat, exact_dedup, packing
 from tidemark.llm.common import prepare
 
 
@@ -18,14 +19,26 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
 
+def op2_bpe_coding(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encoded(spark, _table(spark, folder, "documents"), path, with_ids=False)
+
+
 def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.with_extra(spark, _table(spark, folder, "conversations"))))
 
 
+def op9_packing(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    return packing.digests(packing.packed(_table(spark, folder, "documents"), path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_bpe_coding": op2_bpe_coding,
         "op4_chat_formatting": op4_chat_formatting,
+        "op9_packing": op9_packing,
     }
 
 
