@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, exact_dedup, packing
+from tidemark.llm import bpe, chat, exact_dedup, packing, simhash
 from tidemark.llm.common import prepare
 
 
@@ -28,6 +28,10 @@ def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.with_extra(spark, _table(spark, folder, "conversations"))))
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op9_packing(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     return packing.digests(packing.packed(_table(spark, folder, "documents"), path))
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_bpe_coding": op2_bpe_coding,
         "op4_chat_formatting": op4_chat_formatting,
+        "op5_simhash": op5_simhash,
         "op9_packing": op9_packing,
     }
 
