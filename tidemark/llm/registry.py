@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact_dedup, packing, simhash
+from tidemark.llm import bpe, chat, exact_dedup, langid, packing, simhash, topk
 from tidemark.llm.common import prepare
 
 
@@ -24,6 +25,10 @@ def op2_bpe_coding(spark: SparkSession, folder: str, vocabulary: str | None = No
     return bpe.encoded(spark, _table(spark, folder, "documents"), path, with_ids=False)
 
 
+def op3_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.with_extra(spark, _table(spark, folder, "conversations"))))
 
@@ -32,6 +37,10 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predictions(_table(spark, folder, "documents"))
+
+
 def op9_packing(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     return packing.digests(packing.packed(_table(spark, folder, "documents"), path))
@@ -41,11 +50,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_bpe_coding": op2_bpe_coding,
+        "op3_topk_search": op3_topk_search,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_simhash": op5_simhash,
+        "op7_language_id": op7_language_id,
         "op9_packing": op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op4_chat_formatting": chat.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op3_topk_search": topk.SQL, "op4_chat_formatting": chat.SQL}
