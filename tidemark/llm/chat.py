@@ -21,13 +21,16 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\|])", "$1")
 
 
-def _blocks(turns: Column) -> Column:
-    """Runs of turns of one role: where each begins, then its texts gathered; linear in the number of turns."""
-    last = F.size(turns)
-    begins = F.filter(F.sequence(F.lit(0), last - 1), lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+def _begins(turns: Column) -> Column:
+    """Where runs of turns of one role begin."""
+    return F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+
+
+def _blocks(turns: Column, begins: Column) -> Column:
+    """The runs with their texts gathered; linear in the number of turns, as both arguments are plain columns."""
     return F.transform(begins, lambda b, k: F.struct(
         F.get(turns, b)["role"].alias("role"),
-        F.transform(F.slice(turns, b + 1, F.coalesce(F.get(begins, k + 1), last) - b), lambda t: t["text"]).alias("texts")))
+        F.transform(F.slice(turns, b + 1, F.coalesce(F.get(begins, k + 1), F.size(turns)) - b), lambda t: t["text"]).alias("texts")))
 
 
 def _segments(block: Column, learned: str) -> Column:
@@ -54,7 +57,8 @@ def formatted(turns: DataFrame, learned: str = LEARNED) -> DataFrame:
                  F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                  F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
     merged = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    blocks = merged.select("conv_id", _blocks(F.col("turns")).alias("blocks"))
+    runs = merged.select("conv_id", "turns", _begins(F.col("turns")).alias("begins"))
+    blocks = runs.select("conv_id", _blocks(F.col("turns"), F.col("begins")).alias("blocks"))
     parts = blocks.select("conv_id", F.flatten(F.transform("blocks", lambda b: _segments(b, learned))).alias("segments"))
     return parts.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
 

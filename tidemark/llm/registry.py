@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact_dedup, langid, packing, simhash, topk
+from tidemark.llm import bpe, chat, exact_dedup, langid, line_dedup, packing, simhash, topk
 from tidemark.llm.common import prepare
 
 
@@ -41,6 +41,10 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predictions(_table(spark, folder, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report(_table(spark, folder, "documents"))
+
+
 def op9_packing(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     return packing.digests(packing.packed(_table(spark, folder, "documents"), path))
@@ -54,9 +58,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_formatting": op4_chat_formatting,
         "op5_simhash": op5_simhash,
         "op7_language_id": op7_language_id,
+        "op8_line_dedup": op8_line_dedup,
         "op9_packing": op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op3_topk_search": topk.SQL, "op4_chat_formatting": chat.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op3_topk_search": topk.SQL, "op4_chat_formatting": chat.SQL,
+            "op8_line_dedup": line_dedup.SQL}
