@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact_dedup, langid, line_dedup, packing, simhash, topk
+from tidemark.llm import bpe, chat, exact_dedup, html_text, langid, line_dedup, packing, simhash, topk
 from tidemark.llm.common import prepare
 
 
@@ -50,6 +50,10 @@ def op9_packing(spark: SparkSession, folder: str, vocabulary: str | None = None)
     return packing.digests(packing.packed(_table(spark, folder, "documents"), path))
 
 
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extracted(_table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": op7_language_id,
         "op8_line_dedup": op8_line_dedup,
         "op9_packing": op9_packing,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
