@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact_dedup, html_text, langid, line_dedup, packing, simhash, topk
+from tidemark.llm import bpe, chat, exact_dedup, html_text, langid, line_dedup, packing, pitman_yor, simhash, topk
 from tidemark.llm.common import prepare
 
 
@@ -37,6 +37,10 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.scored(_table(spark, folder, "documents"), pitman_yor.trains())
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predictions(_table(spark, folder, "documents"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_topk_search": op3_topk_search,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_simhash": op5_simhash,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_language_id": op7_language_id,
         "op8_line_dedup": op8_line_dedup,
         "op9_packing": op9_packing,
