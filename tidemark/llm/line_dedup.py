@@ -23,30 +23,41 @@ LEADING = 2
 FIELD = "<*>"
 
 
-def _templates(tokens: Column) -> Column:
-    """array<struct<k1, k2>>: hashes of the line's templates."""
+def _once(value: Column) -> Column:
+    """The value by way of a generator: it is computed once per row, however often later columns name it."""
+    return F.explode(F.array(value))
+
+
+def _path(tokens: Column) -> Column:
+    """A line's token count, leading tokens and the hash of each of its parts; token i belongs to part floor(i * PARTS / n)."""
     n = F.size(tokens)
-    # Token i belongs to part floor(i * PARTS / n); this is where part p begins.
     begin = [F.ceil(F.lit(p) * n / PARTS).cast("int") for p in range(PARTS + 1)]
-    parts = [F.xxhash64(F.slice(tokens, begin[p] + 1, begin[p + 1] - begin[p])) for p in range(PARTS)]
-    path = [n, *(F.get(tokens, i) for i in range(LEADING))]
+    parts = [F.xxhash64(F.slice(tokens, begin[p] + 1, begin[p + 1] - begin[p])).alias(f"h{p}") for p in range(PARTS)]
+    return F.struct(n.alias("n"), *(F.get(tokens, i).alias(f"t{i}") for i in range(LEADING)), *parts)
+
+
+def _templates(line: Column) -> Column:
+    """array<struct<k1, k2>>: hashes of the line's templates, from its path."""
+    path = [line["n"], *(line[f"t{i}"] for i in range(LEADING))]
 
     def key(variable: int) -> Column:
-        seen = [*path, F.lit(variable), *(h for p, h in enumerate(parts) if p != variable)]
+        seen = [*path, F.lit(variable), *(line[f"h{p}"] for p in range(PARTS) if p != variable)]
         return F.struct(F.xxhash64(*seen).alias("k1"), F.hash(*seen).alias("k2"))
 
-    return F.when(n >= PART_TOKENS, F.array(*(key(p) for p in range(-1, PARTS)))).otherwise(F.array(key(-1)))
+    return F.when(line["n"] >= PART_TOKENS, F.array(*(key(p) for p in range(-1, PARTS)))).otherwise(F.array(key(-1)))
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """doc_id, tag, pos, k1, k2: every template of every line; ``tag`` tells texts of one id apart."""
     text = F.col(text_column).cast("string")
+    here = ("doc_id", "tag", "pos")
     lines = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    masked = F.regexp_replace("line", rf"(?<![^{BLANK}])[^{BLANK}0-9@]*+[0-9@][^{BLANK}]*+", FIELD)
-    tokens = lines.select("doc_id", "tag", "pos", F.filter(F.split(masked, rf"[{BLANK}]+", -1), lambda t: t != "").alias("tokens"))
+    masked = F.when(F.col("line").rlike("[0-9@]"), F.regexp_replace("line", rf"(?<![^{BLANK}])[^{BLANK}0-9@]*+[0-9@][^{BLANK}]*+", FIELD)).otherwise(F.col("line"))
+    tokens = lines.select(*here, _once(F.split(F.btrim(masked, F.lit(" \t\n\x0b\f\r")), rf"[{BLANK}]+", -1)).alias("tokens"))
     constant = F.size(F.array_remove("tokens", FIELD))
-    useful = tokens.where((constant >= CONSTANT_TOKENS) & (constant >= F.size("tokens") * CONSTANT_SHARE))
-    return useful.select("doc_id", "tag", "pos", F.explode(_templates(F.col("tokens"))).alias("k")).select("doc_id", "tag", "pos", "k.k1", "k.k2")
+    useful = tokens.where((F.size("tokens") >= CONSTANT_TOKENS) & (constant >= CONSTANT_TOKENS) & (constant >= F.size("tokens") * CONSTANT_SHARE))
+    paths = useful.select(*here, _once(_path(F.col("tokens"))).alias("path"))
+    return paths.select(*here, F.explode(_templates(F.col("path"))).alias("k")).select(*here, "k.k1", "k.k2")
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
