@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +28,38 @@ def prepare(spark: SparkSession) -> SparkSession:
         if folder is None and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    if not getattr(context, "_tidemark_shipped", False):
+        context._tidemark_shipped = True
+        context.addPyFile(_shared(spark, _package(), ".zip"))
     return spark
 
 
-def publish(spark: SparkSession, content: bytes, suffix: str) -> str:
-    """Put a file into the shared folder and let every executor fetch it; the name for ``SparkFiles.get``."""
-    prepare(spark)
-    name = f"{uuid.uuid4().hex}{suffix}"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir(), name)
-    stream = path.getFileSystem(conf).create(path, True)
+def _package() -> bytes:
+    """The whole package as a zip file, for workers that don't have it installed."""
+    root, out = Path(__file__).resolve().parent.parent, io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as file:
+        for path in sorted(root.rglob("*.py")):
+            file.write(path, path.relative_to(root.parent))
+    return out.getvalue()
+
+
+def _shared(spark: SparkSession, content: bytes, suffix: str) -> str:
+    """A new file in the shared folder; its path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir(), f"{uuid.uuid4().hex}{suffix}")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
     try:
         for at in range(0, len(content), 1 << 20):
             stream.write(bytearray(content[at:at + (1 << 20)]))
     finally:
         stream.close()
-    spark.sparkContext.addFile(path.toString())
-    return name
+    return path.toString()
+
+
+def publish(spark: SparkSession, content: bytes, suffix: str) -> str:
+    """Put a file into the shared folder and let every executor fetch it; the name for ``SparkFiles.get``."""
+    path = _shared(prepare(spark), content, suffix)
+    spark.sparkContext.addFile(path)
+    return path.rpartition("/")[2]
 
 
 def text_or_empty(column: str) -> Column:
