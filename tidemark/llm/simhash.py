@@ -114,7 +114,11 @@ def _lowest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what links within ``radius`` connect, between two blocks or inside one."""
+    """Edges that connect what links within ``radius`` connect, between two blocks or inside one.
+
+    Inside one block only ``left`` is read: the two sides of a join may have gathered it in different orders.
+    """
+    right = left if same else right
     every = left if same else np.concatenate([left, right])
     labels = np.arange(len(every))
     shift = 0 if same else len(left)
@@ -135,7 +139,7 @@ def links(vertices: DataFrame, radius: int) -> DataFrame:
     # One row per tile, 83,521 at most whatever the input: this broadcast has a proven bound.
     parts = F.broadcast(tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")))
     blocks = (tiled.join(parts, "tile").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
-              .groupBy("tile", "part").agg(F.collect_list("fp").alias("fps")))
+              .groupBy("tile", "part").agg(F.sort_array(F.collect_list("fp")).alias("fps")))
     left = blocks.select(F.col("tile").alias("own"), F.col("part").alias("own_part"), F.col("fps").alias("a"),
                          F.explode(_near_tiles(F.col("tile"), radius)).alias("tile"))
     right = blocks.select("tile", "part", F.col("fps").alias("b"))
