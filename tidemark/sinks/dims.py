@@ -42,7 +42,9 @@ class DimStore:
         schema = dim_schema(columns if isinstance(columns, str) else ",".join(columns))
         try:
             stored = spark.read.schema(_STORED + ", sink_table string, batch_id bigint").parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # only a store nobody has written to is empty
+                raise
             return spark.createDataFrame([], schema)
         rows = stored.filter(F.col("sink_table") == table).select("pk", "data", "ts", "xid", "batch_id")
         last = latest_by_key(rows, ["pk"], ["ts", "xid", "batch_id"])
