@@ -54,6 +54,10 @@ def _rows(job: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], D
     return lambda spark, folder: _plain(job(Tables(spark, folder)))
 
 
+# Parts of every record, the fields that the package itself doesn't know among them.
+_COMMON = "common struct<mid:string,is_new:string,extra:string>, ts bigint, trace struct<id:int>"
+
+
 def _json(df: DataFrame, schema: str) -> DataFrame:
     return df.select(F.from_json("value", schema).alias("r")).select("r.*")
 
@@ -104,18 +108,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "routing_unrouted": _rows(lambda t: _routed(t).unrouted.groupBy("table", "type").agg(F.count(F.lit(1)).alias("n"))),
         # application log
         "new_flag_repair": _rows(lambda t: repair_new_flag(t.logs()).select(
-            "ts", F.col("common.mid").alias("mid"), F.col("common.is_new").alias("is_new"))),
-        "page_branch": _branch(names.PAGE_TOPIC, "common struct<mid:string,is_new:string>, page struct<page_id:string,during_time:bigint>, ts bigint, displays string, actions string, err string",
-                               lambda d: d.select("common.mid", "common.is_new", "page.page_id", "page.during_time", "ts", "displays", "actions", "err")),
+            "ts", "mid", "is_new")),
+        "page_branch": _branch(names.PAGE_TOPIC, _COMMON + ", page struct<page_id:string,during_time:bigint,refer:int>, displays string, actions string, err string",
+                               lambda d: d.select("common.*", "page.*", "ts", "trace.id", "displays", "actions", "err")),
         "display_branch": _branch(names.DISPLAY_TOPIC, "item_type string, item string, order int, ts bigint, page_id string",
                                   lambda d: d),
         "action_branch": _branch(names.ACTION_TOPIC, "action_id string, item string, ts bigint, page_id string", lambda d: d),
-        "start_branch": _branch(names.START_TOPIC, "common struct<mid:string,is_new:string>, start struct<entry:string,loading_time:int>, appVideo struct<video_id:string>, ts bigint",
-                                lambda d: d.select("common.mid", "common.is_new", "start.entry", "start.loading_time", "appVideo.video_id", "ts")),
-        "video_branch": _branch(names.VIDEO_TOPIC, "common struct<mid:string,is_new:string>, appVideo struct<video_id:string,play_sec:bigint>, ts bigint",
-                                lambda d: d.select("common.mid", "common.is_new", "appVideo.video_id", "appVideo.play_sec", "ts")),
-        "error_branch": _branch(names.ERROR_TOPIC, "common struct<mid:string,is_new:string>, page struct<page_id:string>, err struct<error_code:int,msg:string>, ts bigint",
-                                lambda d: d.select("common.mid", "common.is_new", "page.page_id", "err.error_code", "err.msg", "ts")),
+        "start_branch": _branch(names.START_TOPIC, _COMMON + ", start struct<entry:string,loading_time:int>, appVideo struct<video_id:string,quality:decimal(18,2)>",
+                                lambda d: d.select("common.*", "start.*", "appVideo.*", "ts", "trace.id")),
+        "video_branch": _branch(names.VIDEO_TOPIC, _COMMON + ", appVideo struct<video_id:string,play_sec:bigint,quality:decimal(18,2)>",
+                                lambda d: d.select("common.*", "appVideo.*", "ts", "trace.id")),
+        "error_branch": _branch(names.ERROR_TOPIC, _COMMON + ", page struct<page_id:string,refer:int>, err struct<error_code:int,msg:string>",
+                                lambda d: d.select("common.*", "page.*", "err.*", "ts", "trace.id")),
         # traffic
         "keyword_counts": _windowed(lambda t: traffic.keyword_counts(t.searches())),
         "page_keyword_counts": _windowed(lambda t: traffic.keyword_counts(t.pages(), "1 hour")),
@@ -191,7 +195,8 @@ def _t(column: str) -> str:
 
 
 def _d(column: str) -> str:
-    return f"CAST(CAST({column} AS DECIMAL(18,2)) AS VARCHAR)"
+    """An amount as text without closing zeros, as a JSON number has none that count."""
+    return f"rtrim(rtrim(CAST(CAST({column} AS DECIMAL(18,2)) AS VARCHAR), '0'), '.')"
 
 
 def _s(column: str) -> str:
@@ -247,6 +252,8 @@ def _course_subject(key: str, tie: str) -> str:
       WINDOW r AS (PARTITION BY subject_id ORDER BY t0, course_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
+_SEEN = "mid, is_new, 'x' || k AS extra, ms AS ts, k AS id"
+_QUALITY = _num("CAST(value AS DECIMAL(18,2))")
 # The log records, with the repaired flag, as columns.
 _LOG = f"""{_E}, g AS (SELECT *, 'm' || user_id AS mid, CASE WHEN k % 4 = 3 THEN NULL WHEN k % 2 = 0 THEN '1' ELSE '0' END AS raw_new,
     (event_type IN ('view', 'click') OR (event_type = 'error' AND k % 2 = 0)) AS is_page,
@@ -320,26 +327,28 @@ def oracle_sql() -> dict[str, str]:
         "routing_dim_rows": f"WITH {_DIMS} SELECT * FROM d",
         "routing_dim_latest": f"""WITH {_DIMS} SELECT * FROM d
             QUALIFY row_number() OVER (PARTITION BY sink_table, pk ORDER BY ts DESC, xid DESC) = 1""",
-        "routing_fact_records": f"""WITH {_E} SELECT 'dwd_review_add' AS topic, '{{"id":"' || event_id || '","user_id":"' || user_id ||
-            '","create_time":"' || {_s('ts')} || '","course_id":"' || k || '","review_stars":"' || (user_id % 5 + 1) || '"}}' AS value
+        "routing_fact_records": f"""WITH {_E} SELECT 'dwd_review_add' AS topic, '{{"course_id":' || k || ',"create_time":"' || {_s('ts')} ||
+            '","id":' || event_id || ',"review_stars":' || (user_id % 5 + 1) || ',"user_id":' || user_id || '}}' AS value
             FROM e WHERE {_insert('k')}
-            UNION ALL SELECT 'dwd_cart_drop', '{{"id":"' || event_id || '","user_id":"' || user_id || '"}}' FROM e WHERE k % 10 = 1""",
+            UNION ALL SELECT 'dwd_cart_drop', '{{"cart_price":' || {_d('value')} || ',"id":' || event_id || ',"tag":{{"k":' || k ||
+            '}},"user_id":' || user_id || '}}' FROM e WHERE k % 10 = 1""",
         "routing_unrouted": f"""WITH {_E}, k AS (SELECT {_kind('k')} AS type FROM e), u AS (
             SELECT 'user_info' AS "table", type FROM k WHERE type = 'delete' UNION ALL SELECT 'review_info', type FROM k WHERE type = 'delete'
             UNION ALL SELECT 'comment_info', type FROM k UNION ALL SELECT 'cart_info', type FROM k WHERE type <> 'delete')
             SELECT "table", type, count(*) AS n FROM u GROUP BY 1, 2""",
         "new_flag_repair": f"WITH {_LOG} SELECT ms AS ts, mid, is_new FROM v",
-        "page_branch": f"""WITH {_LOG} SELECT mid, is_new, event_type AS page_id, CAST(floor(value) AS BIGINT) AS during_time, ms AS ts,
+        "page_branch": f"""WITH {_LOG} SELECT {_SEEN}, event_type AS page_id, CAST(floor(value) AS BIGINT) AS during_time, k + 1 AS refer,
             CAST(NULL AS VARCHAR) AS displays, CAST(NULL AS VARCHAR) AS actions, CAST(NULL AS VARCHAR) AS err
             FROM v WHERE is_page AND event_type <> 'signup' AND NOT is_video""",
         "display_branch": f"""WITH {_LOG} SELECT 'course_id' AS item_type, {_t('k')} AS item, k AS "order", ms AS ts, event_type AS page_id
             FROM v, (VALUES (1), (2)) AS twice(n) WHERE event_type = 'view'""",
         "action_branch": f"WITH {_LOG} SELECT 'add' AS action_id, {_t('k')} AS item, ms AS ts, event_type AS page_id FROM v WHERE event_type = 'click'",
-        "start_branch": f"""WITH {_LOG} SELECT mid, is_new, 'icon' AS entry, k AS loading_time, CASE WHEN is_video THEN {_t('k')} END AS video_id,
-            ms AS ts FROM v WHERE event_type = 'signup'""",
-        "video_branch": f"""WITH {_LOG} SELECT mid, is_new, {_t('k')} AS video_id, CAST(k AS BIGINT) AS play_sec, ms AS ts
+        "start_branch": f"""WITH {_LOG} SELECT {_SEEN}, 'icon' AS entry, k AS loading_time, CASE WHEN is_video THEN {_t('k')} END AS video_id,
+            CASE WHEN is_video THEN {_QUALITY} END AS quality FROM v WHERE event_type = 'signup'""",
+        "video_branch": f"""WITH {_LOG} SELECT {_SEEN}, {_t('k')} AS video_id, CAST(k AS BIGINT) AS play_sec, {_QUALITY} AS quality
             FROM v WHERE event_type = 'purchase'""",
-        "error_branch": f"""WITH {_LOG} SELECT mid, is_new, CASE WHEN is_page THEN event_type END AS page_id, k AS error_code, 'boom' AS msg, ms AS ts
+        "error_branch": f"""WITH {_LOG} SELECT {_SEEN}, CASE WHEN is_page THEN event_type END AS page_id, CASE WHEN is_page THEN k + 1 END AS refer,
+            k AS error_code, 'boom' AS msg
             FROM v WHERE event_type = 'error'""",
         "keyword_counts": f"""WITH x AS (SELECT make_timestamp((doc_id // 8 + 1704067200) * 1000000) AS rt,
               unnest(regexp_extract_all(lower(text), '[a-z0-9]+') || CASE WHEN regexp_matches(text, '[一-鿿]') THEN ['?'] ELSE [] END) AS keyword FROM documents),

@@ -19,7 +19,7 @@ from tidemark.sinks.dims import DimStore, dim_schema
 from tidemark.sinks.results import ResultTable
 from tidemark.sinks.topics import TopicWriter, json_records
 from tidemark.sources.tables import config_feed, config_snapshot
-from tidemark.sources.topics import TopicReader, change_rows, log_rows, page_maps
+from tidemark.sources.topics import TopicReader, change_rows, log_records, log_rows, page_maps
 from tidemark.streaming import jobs
 
 
@@ -41,13 +41,29 @@ def test_null_is_dropped_and_malformed_fails(spark):
 
 def test_text_is_parsed_once(spark):
     rows = change_rows(values(spark, [change("t", {"id": 1})])).filter("table = 't' and type = 'insert' and database = 'edu'")
-    plan = rows.select(F.col("data")["id"], F.col("data")["x"])._jdf.queryExecution().executedPlan().toString()
+    plan = rows.select(*[documents.text_of(F.col("data"), k) for k in ("id", "x")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json") == 1
 
 
-def test_prefilter_keeps_escaped_names(spark):
+def test_escaped_names_are_found_and_broken_text_of_other_tables_fails(spark):
     text = json.dumps(change("cart_info", {"id": 1})).replace("cart_info", "cart\\u005finfo")
     assert facts.inserted(values(spark, [text, change("other", {"id": 2})]), "edu", "cart_info").count() == 1
+    with pytest.raises(Exception, match="MALFORMED"):
+        facts.cart_adds(values(spark, [text, '{"table": "other", "data": {']), "edu").collect()
+    for broken in ("[1]", "5", '{"common": {'):
+        with pytest.raises(Exception, match="MALFORMED"):
+            log_records(values(spark, [broken])).collect()
+
+
+def test_numbers_may_come_as_text_and_keep_their_values(spark):
+    rows = [change("t", {"a": 12345678901234567890.0, "b": "200.00"}, ts="5", xid="7")]
+    text = json.dumps(rows[0]).replace("1.2345678901234567e+19", "12345678901234567890.12")
+    [row] = change_rows(values(spark, [text])).select("ts", "xid", F.to_json("data").alias("data")).collect()
+    assert tuple(row) == (5, 7, '{"a":12345678901234567890.12,"b":"200.00"}')
+    logs = log_rows(values(spark, [{"ts": "5", "page": {"during_time": "9"}}, {"ts": 6.0, "appVideo": {"play_sec": "x"}}]))
+    assert sorted((r.ts, r.during_time, r.play_sec) for r in logs.select("ts", "page.during_time", "appVideo.play_sec").collect()) == [
+        (5, 9, None), (6, None, None)]
+    assert log_records(values(spark, [{"ts": "5"}])).first().ts == 5
 
 
 # --- facts ---
@@ -91,16 +107,52 @@ def test_joined_facts(spark):
 
 
 def test_streamed_join_is_bounded_in_time(spark, tmp_path):
-    stamp, near, far = "2024-01-01 00:00:00", "2024-01-01 00:15:00", "2024-01-01 01:00:00"
-    rows = [change("order_detail", {"id": 1, "order_id": 7, "create_time": stamp}),
-            change("order_detail", {"id": 2, "order_id": 8, "create_time": stamp}),
-            change("order_info", {"id": 7, "create_time": near}), change("order_info", {"id": 8, "create_time": far})]
+    early, late = "2024-01-01 00:00:00", "2030-01-01 00:00:00"  # business times don't matter
+    rows = [change("order_detail", {"id": 1, "order_id": 7, "create_time": early}, ts=1000),
+            change("order_detail", {"id": 2, "order_id": 8, "create_time": early}, ts=1000),
+            change("order_info", {"id": 7, "create_time": late}, ts=1900), change("order_info", {"id": 8, "create_time": early}, ts=4600)]
     values(spark, rows).coalesce(1).write.text(str(tmp_path / "topics" / names.CHANGE_TOPIC))
-    reader, writer = TopicReader(folder=str(tmp_path / "topics")), TopicWriter(folder=str(tmp_path / "topics"))
-    query = jobs.start_facts(spark, "order_details", reader, writer, "edu", str(tmp_path / "ck"), available_now=True)
+    reader = TopicReader(folder=str(tmp_path / "topics"))
+
+    def run(folder, **options):
+        writer = TopicWriter(folder=str(tmp_path / folder))
+        query = jobs.start_facts(spark, "order_details", reader, writer, "edu", str(tmp_path / folder / "ck"), True, **options)
+        assert query.awaitTermination(120) and query.exception() is None
+        out = TopicReader(folder=str(tmp_path / folder)).table(spark, names.ORDER_DETAIL_TOPIC)
+        return sorted(json.loads(r.value)["id"] for r in out.collect())
+
+    assert run("a") == ["1"]
+    assert run("b", retention="2 hours") == ["1", "2"]
+
+
+FACT_ROWS = [
+    change("cart_info", {"id": 1, "cart_price": 200.5, "unknown": 1}), change("cart_info", {"id": 2}, type="delete"),
+    change("order_detail", {"id": 1, "order_id": 7, "final_amount": 5.25, "create_time": "2024-01-01 00:00:00"}),
+    change("order_detail", {"id": 2, "order_id": 7, "create_time": None}),
+    change("order_info", {"id": 7, "province_id": 3, "create_time": "2030-01-01 00:00:00"}),
+    change("payment_info", {"id": 1, "order_id": 7, "payment_status": 1602, "create_time": "2024-01-01 00:00:00"}),
+    change("test_exam", {"id": 5, "paper_id": 4, "score": 60, "create_time": "2024-01-01 00:00:00"}),
+    change("test_exam_question", {"id": 1, "exam_id": 5, "question_id": 1, "create_time": "2024-01-01 00:00:10"}),
+    change("review_info", {"id": 3, "course_id": 9, "review_stars": 5}), change("comment_info", {"id": 4, "chapter_id": 2}),
+    change("review_info", None), None,
+]
+
+
+@pytest.mark.parametrize("name", sorted(jobs.FACT_JOBS))
+def test_fact_stream_equals_batch(spark, tmp_path, name):
+    topic, plan, _ = jobs.FACT_JOBS[name]
+    folder = str(tmp_path / "topics")
+    values(spark, [r for r in FACT_ROWS if r]).coalesce(1).write.text(f"{folder}/{names.CHANGE_TOPIC}")
+    reader, writer = TopicReader(folder=folder), TopicWriter(folder=folder)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    query = jobs.start_facts(spark, name, reader, writer, "edu", str(tmp_path / "ck"), available_now=True)
     assert query.awaitTermination(120) and query.exception() is None
-    got = [json.loads(r.value)["id"] for r in reader.table(spark, names.ORDER_DETAIL_TOPIC).collect()]
-    assert got == ["1"]
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want = [json.loads(r.value) for r in json_records(plan(values(spark, FACT_ROWS), "edu").drop("pt")).collect()]
+    got = [json.loads(r.value) for r in reader.table(spark, topic).collect()]
+    for record in got:
+        record.pop("pt", None)
+    assert want and sorted(map(str, got)) == sorted(map(str, want))
 
 
 # --- routing ---
@@ -140,7 +192,7 @@ def test_routing(spark):
         ("dim_user_info", "1", (("id", "1"), ("level", "2"), ("name", "a"))),
     ]
     records = [(r.topic, json.loads(r.value)) for r in routing.topic_records(routed.facts).collect()]
-    assert records == [("dwd_review_add", {"id": "3", "stars": "5"})]
+    assert records == [("dwd_review_add", {"id": 3, "stars": 5})]
     assert sorted((r.table, r.type) for r in routed.unrouted.collect()) == [
         ("gone", "insert"), ("review_info", "delete"), ("user_info", "delete")]
 
@@ -168,8 +220,76 @@ def test_routing_job_updates_dimensions_and_topics(spark, tmp_path):
     got = sorted(tuple(r) for r in store.read(spark, "dim_user_info", "id,name").collect())
     assert got == [("1", "b"), ("2", None)]
     assert store.read(spark, "dim_live", ("code",)).count() == 1  # added while running
-    [record] = spark.read.text(f"{folder}/_routed").filter("topic = 'dwd_review_add'").collect()
-    assert json.loads(record.value) == {"id": "3", "stars": "5"}
+    [record] = reader.table(spark, names.REVIEW_ADD_TOPIC).collect()
+    assert json.loads(record.value) == {"id": 3, "stars": 5}
+
+
+def test_routed_topic_feeds_its_window_job(spark, tmp_path):
+    folder, stamp = str(tmp_path / "topics"), "2024-01-01 00:00:0"
+    review = config("review_info", "dwd", names.REVIEW_ADD_TOPIC, "id,user_id,course_id,review_stars,create_time", "insert")
+    rows = [change("review_info", {"id": n, "user_id": n, "course_id": 7, "review_stars": n, "create_time": f"{stamp}{n}"}) for n in (4, 5)]
+    far = change("review_info", {"id": 9, "user_id": 9, "course_id": 8, "review_stars": 1, "create_time": "2030-01-01 00:00:00"})
+    values(spark, [*rows, far]).coalesce(1).write.text(f"{folder}/{names.CHANGE_TOPIC}")
+    reader, writer, store = TopicReader(folder=folder), TopicWriter(folder=folder), DimStore(str(tmp_path / "dims"))
+    courses = spark.createDataFrame([("7", "Java", "1")], "id string, course_name string, subject_id string")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    for query in (lambda: jobs.start_routing(spark, reader, writer, store, lambda: feed(spark, ("c", review, 0)), str(tmp_path / "ck"), True),
+                  lambda: jobs.start_measures(spark, "course_reviews", reader, lambda name, columns: courses.select(*columns),
+                                              str(tmp_path / "out"), str(tmp_path / "ck"), True)):
+        running = query()
+        assert running.awaitTermination(120) and running.exception() is None
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    got = ResultTable(str(tmp_path / "out"), "dws_course_user_review_window").read(spark).collect()
+    assert [(r.courseName, r.reviewStartsCount, r.userCt, r.startsUserCt) for r in got] == [("Java", 9, 2, 1)]
+
+
+def dim_rows(spark, *rows):
+    return spark.createDataFrame([(t, k, {"id": k, "name": n}, ts, ts) for t, k, n, ts in rows],
+                                 "sink_table string, pk string, data map<string,string>, ts bigint, xid bigint")
+
+
+def test_dim_store_replays_compacts_and_reports(spark, tmp_path):
+    store = DimStore(str(tmp_path / "dims"))
+
+    def current(table):
+        return sorted(tuple(r) for r in store.read(spark, table, "id,name").collect())
+
+    store.upsert(dim_rows(spark, ("a", "1", "x", 1), ("b", "1", "y", 1)), 0, "r")
+    store.upsert(dim_rows(spark, ("a", "1", "x", 1)), 0, "r")  # repeated, under a configuration without b
+    assert (current("a"), current("b")) == ([("1", "x")], [])
+    store.upsert(dim_rows(spark, ("a", "1", "z", 2), ("a", "2", "w", 2)), 0, "new checkpoint")
+    store.upsert(dim_rows(spark, ("a", "3", "v", 3)), 1, "r")
+    before = current("a")
+    assert before == [("1", "z"), ("2", "w"), ("3", "v")]
+    store.compact(spark)
+    assert current("a") == before
+    store.upsert(dim_rows(spark, ("a", "3", "u", 4)), 2, "r")
+    store.compact(spark)
+    store.vacuum(spark)
+    assert current("a") == [("1", "z"), ("2", "w"), ("3", "u")]
+    assert not (tmp_path / "dims" / "run=r" / "batch_id=0").exists() and (tmp_path / "dims" / "run=r" / "batch_id=2").exists()
+    with pytest.raises(Exception, match="no key in a row of a"):
+        store.upsert(dim_rows(spark, ("a", None, "u", 5)), 3, "r")
+    assert len(current("a")) == 3  # a batch that failed is not read
+    (tmp_path / "dims" / "run=r" / "batch_id=2" / "sink_table=a" / "part-broken.parquet").write_text("broken")
+    with pytest.raises(Exception):
+        current("a")
+
+
+def test_repeated_topic_batches_stay_and_runs_are_apart(spark, tmp_path):
+    writer, reader = TopicWriter(folder=str(tmp_path)), TopicReader(folder=str(tmp_path))
+
+    def routed(*rows):
+        return spark.createDataFrame(list(rows), "topic string, value string")
+
+    writer.write_routed(routed(("dwd_review_add", "1"), ("dwd_user_register", "2")), 0, "a")
+    writer.write_routed(routed(("dwd_review_add", "changed")), 0, "a")
+    writer.write_routed(routed(("dwd_review_add", "3")), 0, "b")
+    assert sorted(r.value for r in reader.table(spark, "dwd_review_add").collect()) == ["1", "3"]
+    assert [r.value for r in reader.table(spark, "dwd_user_register").collect()] == ["2"]
+    for run in "aab":
+        writer.write_batch(values(spark, [{"r": run}]), "t", 0, run)
+    assert reader.table(spark, "t").count() == 2
 
 
 def test_dim_schema():
@@ -187,8 +307,8 @@ PAGE = {"page_id": "home", "during_time": 5}
 
 
 def flags(spark, rows):
-    fixed = repair_new_flag(log_rows(values(spark, rows)))
-    return [r.is_new for r in fixed.orderBy("ts").select("common.is_new").collect()]
+    fixed = repair_new_flag(log_records(values(spark, rows)))
+    return [r.is_new for r in fixed.orderBy("ts").select("is_new").collect()]
 
 
 def test_new_flag_repair(spark):
@@ -223,10 +343,27 @@ def check_split(branches):
 
 
 def test_log_split(spark):
-    branches = split_logs(repair_new_flag(log_rows(values(spark, SPLIT))))
+    branches = split_logs(repair_new_flag(log_records(values(spark, SPLIT))))
     check_split({topic: [r.value for r in df.collect()] for topic, df in branches.items()})
 
 
+def test_unknown_fields_survive_the_split(spark):
+    extra = {"n": 1, "deep": [1.5, {"a": "b"}]}
+    common = {"mid": "m", "is_new": "1", "extra_c": extra}
+    rows = [
+        {"common": common, "ts": 1, "page": {"page_id": "p", "refer": extra}, "top": extra, "displays": [{"x": extra}], "err": {"e": extra}},
+        {"common": {**common, "is_new": "0"}, "ts": 2, "start": {"entry": "i", "more": extra}, "top": extra},
+        {"common": {"mid": "m", "is_new": "1"}, "ts": DAY, "appVideo": {"video_id": 8, "quality": 12345678901234567}, "top": None},
+    ]
+    branches = split_logs(repair_new_flag(log_records(values(spark, rows))))
+    got = {topic: [json.loads(r.value) for r in df.collect()] for topic, df in branches.items()}
+    page = {k: v for k, v in rows[0].items() if k not in ("displays", "err")}
+    assert got[names.PAGE_TOPIC] == [page] and got[names.ERROR_TOPIC] == [rows[0]] and got[names.START_TOPIC] == [rows[1]]
+    assert got[names.DISPLAY_TOPIC] == [{"x": extra, "ts": 1, "page_id": "p"}]
+    video = {"common": {"mid": "m", "is_new": "0"}, "ts": DAY, "appVideo": rows[2]["appVideo"]}  # flag repaired, null left out
+    assert got[names.VIDEO_TOPIC] == [video]
+
+
 def test_log_job(spark, tmp_path):
     folder = str(tmp_path / "topics")
     reader, writer = TopicReader(folder=folder), TopicWriter(folder=folder)
@@ -329,7 +466,8 @@ def test_json_records_and_fields(spark):
     df = spark.createDataFrame([("1", None)], "id string, v string")
     assert [tuple(r) for r in json_records(df, ("id",)).collect()] == [('{"id":"1"}', '{"id":"1"}')]
     row = spark.range(1).select(F.parse_json(F.lit('{"a":1,"ts":2}')).alias("v"))
-    assert row.select(documents.put_fields(F.col("v"), ts=F.lit(5)).alias("x")).first().x == '{"a":1,"ts":5}'
+    fields = documents.put_fields(documents.fields_of(F.col("v")), ts=F.lit(5))
+    assert row.select(F.to_json(fields).alias("x")).first().x == '{"a":1,"ts":5}'
 
 
 def test_kafka_options():
@@ -384,6 +522,8 @@ def test_result_table_keeps_greatest_ts(spark, tmp_path):
     table.append(rows((4, 10)), 1)
     table.append(rows((4, 10)), 1)  # the same batch again
     assert table.versions(spark).count() == 2
+    table.append(rows((3, 5)), 0, "new checkpoint")
+    assert table.versions(spark).count() == 3  # another checkpoint counts its batches anew and replaces nothing
     assert [r.registerCt for r in table.read(spark, "2024-01-01").collect()] == [5]
     assert table.read(spark, "2024-01-02").count() == 0
     compacted = table.compact(spark, str(tmp_path / "b"))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.functions import clock
-from tidemark.sources.topics import change_rows, log_rows
+from tidemark.sources.topics import change_rows, log_records
 
 DATABASE = "edu"
 # Schema and number of splits per application and path: read from the files once, not for every query.
@@ -146,25 +146,30 @@ class Tables:
     # --- application log as JSON text, parsed like the real topic ---
 
     def log_values(self) -> DataFrame:
+        """Records with fields that no schema of this package names, at every level."""
         k, kind = F.col("k"), F.col("event_type")
         page = kind.isin("view", "click") | (kind == "error") & (k % 2 == 0)
         item = F.struct(F.lit("course_id").alias("item_type"), _text("k").alias("item"), k.alias("order"))
         return _once(self.events(), F.to_json(F.struct(
             F.struct(F.concat(F.lit("m"), "user_id").alias("mid"), _text("user_id").alias("uid"),
-                     F.when(k % 4 != 3, F.when(k % 2 == 0, "1").otherwise("0")).alias("is_new")).alias("common"),
+                     F.when(k % 4 != 3, F.when(k % 2 == 0, "1").otherwise("0")).alias("is_new"),
+                     F.concat(F.lit("x"), "k").alias("extra")).alias("common"),
+            F.struct(k.alias("id")).alias("trace"),
             F.unix_millis("ts").alias("ts"),
-            F.when(page, F.struct(kind.alias("page_id"), F.floor("value").cast("bigint").alias("during_time"))).alias("page"),
+            F.when(page, F.struct(kind.alias("page_id"), F.floor("value").cast("bigint").alias("during_time"),
+                                  (k + 1).alias("refer"))).alias("page"),
             F.when(kind == "view", F.array(item, item)).alias("displays"),
             F.when(kind == "click", F.array(F.struct(F.lit("add").alias("action_id"), _text("k").alias("item"),
                                                      F.lit(7).alias("ts")))).alias("actions"),
             F.when(kind == "signup", F.struct(F.lit("icon").alias("entry"), k.alias("loading_time"))).alias("start"),
             F.when((kind == "purchase") | (kind == "signup") & (k % 2 == 0), F.struct(
-                k.cast("bigint").alias("play_sec"), _text("k").alias("video_id"))).alias("appVideo"),
+                k.cast("bigint").alias("play_sec"), _text("k").alias("video_id"),
+                F.col("value").cast("decimal(18,2)").alias("quality"))).alias("appVideo"),
             F.when(kind == "error", F.struct(k.alias("error_code"), F.lit("boom").alias("msg"))).alias("err"),
         )))
 
     def logs(self) -> DataFrame:
-        return log_rows(self.log_values())
+        return log_records(self.log_values())
 
     # --- change log as JSON text, as the real topic holds it ---
 
@@ -179,7 +184,7 @@ class Tables:
     def order_info_changes(self) -> DataFrame:
         return self._changes(self.read("orders"), "order_info", F.col("o_custkey"), {
             "id": F.col("o_orderkey"), "user_id": F.col("o_custkey"),
-            "origin_amount": _text(F.col("o_totalprice").cast("decimal(18,2)")), "order_status": F.col("o_orderstatus"),
+            "origin_amount": F.col("o_totalprice").cast("decimal(18,2)"), "order_status": F.col("o_orderstatus"),
             "trade_body": F.col("o_orderpriority"), "session_id": F.concat(F.lit("s"), "o_custkey"),
             "province_id": F.col("o_custkey") % 25, "create_time": clock.stamp(F.col("o_orderdate")),
             "expire_time": clock.stamp(F.col("o_orderdate") + F.expr("interval 15 minutes")),
@@ -189,16 +194,16 @@ class Tables:
         return self._changes(self.read("lineitem"), "order_detail", F.col("l_partkey"), {
             "id": F.concat_ws("-", "l_orderkey", "l_linenumber"), "course_id": F.col("l_partkey"),
             "course_name": F.concat(F.lit("course "), "l_partkey"), "order_id": F.col("l_orderkey"),
-            "user_id": F.col("l_suppkey"), "origin_amount": _text(F.col("l_extendedprice").cast("decimal(18,2)")),
-            "coupon_reduce": _text(F.col("l_discount").cast("decimal(18,2)")),
-            "final_amount": _text(F.col("l_extendedprice").cast("decimal(18,2)")),
+            "user_id": F.col("l_suppkey"), "origin_amount": F.col("l_extendedprice").cast("decimal(18,2)"),
+            "coupon_reduce": F.col("l_discount").cast("decimal(18,2)"),
+            "final_amount": F.col("l_extendedprice").cast("decimal(18,2)"),
             "create_time": clock.stamp(F.col("l_shipdate")), "update_time": clock.stamp(F.col("l_shipdate")),
         })
 
     def payment_changes(self) -> DataFrame:
         return self._changes(self.read("orders"), "payment_info", F.col("o_custkey"), {
             "id": F.col("o_orderkey"), "order_id": F.col("o_orderkey"),
-            "total_amount": _text(F.col("o_totalprice").cast("decimal(18,2)")), "trade_body": F.col("o_orderpriority"),
+            "total_amount": F.col("o_totalprice").cast("decimal(18,2)"), "trade_body": F.col("o_orderpriority"),
             "payment_type": F.col("o_orderstatus"),
             "payment_status": F.when(F.col("o_orderstatus") == "F", "1602").otherwise("1601"),
             "create_time": clock.stamp(F.col("o_orderdate")), "callback_content": F.lit("ok"),
@@ -208,7 +213,7 @@ class Tables:
     def exam_changes(self) -> DataFrame:
         return self._changes(self.read("orders"), "test_exam", F.col("o_custkey"), {
             "id": F.col("o_orderkey"), "paper_id": F.col("o_custkey"), "user_id": F.col("o_custkey"),
-            "score": _text(F.col("o_totalprice").cast("decimal(18,2)")), "duration_sec": F.col("o_orderkey") % 3600,
+            "score": F.col("o_totalprice").cast("decimal(18,2)"), "duration_sec": F.col("o_orderkey") % 3600,
             "create_time": clock.stamp(F.col("o_orderdate")),
             "submit_time": clock.stamp(F.col("o_orderdate") + F.expr("interval 20 minutes")),
         })
@@ -218,7 +223,7 @@ class Tables:
             "id": F.concat_ws("-", "l_orderkey", "l_linenumber"), "exam_id": F.col("l_orderkey"),
             "paper_id": F.col("l_suppkey"), "question_id": F.col("l_partkey"), "user_id": F.col("l_suppkey"),
             "answer": F.col("l_linestatus"), "is_correct": F.when(F.col("l_returnflag") == "R", "1").otherwise("0"),
-            "score": _text(F.col("l_quantity").cast("decimal(18,2)")), "create_time": clock.stamp(F.col("l_shipdate")),
+            "score": F.col("l_quantity").cast("decimal(18,2)"), "create_time": clock.stamp(F.col("l_shipdate")),
         })
 
     def event_changes(self, table: str) -> DataFrame:
@@ -226,8 +231,9 @@ class Tables:
         common = {"id": F.col("event_id"), "user_id": F.col("user_id"), "create_time": clock.stamp(F.col("ts"))}
         data = {
             "cart_info": {"course_id": F.col("k"), "course_name": F.concat(F.lit("course "), "k"),
-                          "cart_price": _text(F.col("value").cast("decimal(18,2)")),
-                          "session_id": F.concat(F.lit("s"), "user_id"), "sold": F.when(F.col("k") % 2 == 0, "1")},
+                          "cart_price": F.col("value").cast("decimal(18,2)"),
+                          "session_id": F.concat(F.lit("s"), "user_id"), "sold": F.when(F.col("k") % 2 == 0, "1"),
+                          "tag": F.struct(F.col("k"))},
             "review_info": {"course_id": F.col("k"), "review_txt": F.col("event_type"),
                             "review_stars": F.col("user_id") % 5 + 1},
             "comment_info": {"chapter_id": F.col("k") % 7, "course_id": F.col("k"), "comment_txt": F.col("event_type")},
@@ -244,7 +250,7 @@ class Tables:
             ("r", 0, None, ("review_info", "insert", "dwd_review_add", "dwd", "id,user_id,course_id,review_stars,create_time", None, None)),
             ("r", 0, None, ("comment_info", "insert", "dwd_interaction_comment_add", "dwd", "id,comment_txt", None, None)),
             ("d", 3, ("comment_info", "insert", "dwd_interaction_comment_add", "dwd", "id,comment_txt", None, None), None),
-            ("r", 0, None, ("cart_info", "delete", "dwd_cart_drop", "dwd", "id,user_id", None, None)),
+            ("r", 0, None, ("cart_info", "delete", "dwd_cart_drop", "dwd", "id,user_id,cart_price,tag", None, None)),
         ]
         feed = self.spark.createDataFrame(rows, (
             "op string, ts_ms bigint, "

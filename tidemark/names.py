@@ -28,6 +28,7 @@ REVIEW_ADD_TOPIC = "dwd_review_add"
 COMMENT_ADD_TOPIC = "dwd_interaction_comment_add"
 USER_REGISTER_TOPIC = "dwd_user_register"
 VIP_CHANGE_TOPIC = "dwd_vip_change_detail_add"
+ROUTED_TOPICS = (FAVOR_ADD_TOPIC, REVIEW_ADD_TOPIC, COMMENT_ADD_TOPIC, USER_REGISTER_TOPIC, VIP_CHANGE_TOPIC)
 
 # Code values tested by the jobs
 PAYMENT_DONE = "1602"

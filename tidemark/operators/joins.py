@@ -10,7 +10,8 @@ def change_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     """Inner equi-join of two change sets; columns of ``left`` as they are, of ``right`` prefixed ``r_``.
 
     Bounded tables join on the key alone, and AQE splits a hot key. Streams need event time ``rt`` on
-    both sides and join partners at most ``retention`` apart, so that join state can be dropped.
+    both sides, the time of the change, and join partners at most ``retention`` apart, so that join state
+    can be dropped.
     """
     right = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
     match = F.col(left_key) == F.col(f"r_{right_key}")

@@ -7,16 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 50_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting, at most one row beyond the bound.
-
-    A larger table is returned without a hint, and Spark joins it by shuffle with hot keys split by AQE.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
 
 def enrich(df: DataFrame, dim: DataFrame, key: str | Column, fields: Mapping[str, str], dim_key: str = "id") -> DataFrame:
     """Left join a dimension and copy ``fields`` (output name to dimension column).

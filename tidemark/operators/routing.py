@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import names
+from tidemark.functions import documents
 from tidemark.operators.latest import latest_by_key
-from tidemark.operators.lookup import broadcast_if_small
 
 DIM = "dim"
 FACT = "dwd"
@@ -45,7 +45,7 @@ def fold_config(feed: DataFrame) -> DataFrame:
 
 
 def keep_columns(data: Column, columns: Column) -> Column:
-    """``data`` reduced to the keys listed in comma-separated ``columns``."""
+    """The map ``data`` reduced to the keys listed in comma-separated ``columns``."""
     wanted = F.split(columns, ",")
     return F.map_filter(data, lambda key, _: F.array_contains(wanted, key))
 
@@ -53,20 +53,21 @@ def keep_columns(data: Column, columns: Column) -> Column:
 def route(changes: DataFrame, config: DataFrame) -> Routed:
     """Send each change to its dimension, its fact, both, or neither.
 
-    Both branches prune the original ``data``. The configuration is broadcast once its size is checked.
+    Both branches prune the original ``data``. Facts keep the types of its values; dimensions hold text, as
+    their columns are text. Spark picks the joins by the configuration's measured size.
     """
-    config = broadcast_if_small(config)
     dim_config = config.filter(F.col("kind") == DIM).drop("kind", "route_type")
     fact_config = config.filter(F.col("kind") == FACT).drop("kind")
     dim_rows = changes.filter(F.col("type").isin(*names.DIM_CHANGE_TYPES))
     same_table = F.col("table") == F.col("route_table")
     same_change = same_table & (F.col("type") == F.col("route_type"))
 
-    pruned = keep_columns(F.col("data"), F.col("sink_columns"))
+    text = F.try_variant_get("data", "$", "map<string,string>")
     tagged = ["sink_table", "table", "type", "ts", "xid"]
     dims = dim_rows.join(dim_config, same_table, "inner").select(
-        *tagged, F.col("data")[F.col("sink_pk")].alias("pk"), pruned.alias("data"))
-    facts = changes.join(fact_config, same_change, "inner").select(*tagged, pruned.alias("data"))
+        *tagged, text[F.col("sink_pk")].alias("pk"), keep_columns(text, F.col("sink_columns")).alias("data"))
+    facts = changes.join(fact_config, same_change, "inner").select(
+        *tagged, keep_columns(documents.fields_of(F.col("data")), F.col("sink_columns")).alias("data"))
 
     dim_change = F.col("type").isin(*names.DIM_CHANGE_TYPES)
     unrouted = (

@@ -13,22 +13,22 @@ from tidemark.functions import clock
 
 
 def repair_new_flag(logs: DataFrame) -> DataFrame:
-    """``logs`` (columns ``common``, ``ts``) with ``common.is_new`` repaired; for bounded tables.
+    """``logs`` (columns ``mid``, ``is_new``, ``ts``) with ``is_new`` repaired; for bounded tables.
 
     Only rows that claim to be new are joined, by device and day; the others pass untouched. The first
     row per device is a partial aggregate, so a hot device is not gathered in one place.
     """
-    claim = F.col("common.is_new") == "1"
+    claim = F.col("is_new") == "1"
     claims = logs.filter(claim)
     others = logs.filter(~F.coalesce(claim, F.lit(False)))
     time = clock.ms_to_time(F.col("ts"))
     first = (
-        logs.select(F.col("common.mid").alias("_mid"), F.col("ts").alias("_ts"), F.col("common.is_new").alias("_new"))
+        logs.select(F.col("mid").alias("_mid"), F.col("ts").alias("_ts"), F.col("is_new").alias("_new"))
         .groupBy("_mid").agg(F.min(F.struct("_ts", "_new")).alias("_first"))
         .filter(F.col("_first._new") == "1")
         .select("_mid", F.to_date(clock.ms_to_time(F.col("_first._ts"))).alias("_new_day"))
     )
-    same = (F.col("common.mid") == F.col("_mid")) & (F.to_date(time) == F.col("_new_day"))
+    same = (F.col("mid") == F.col("_mid")) & (F.to_date(time) == F.col("_new_day"))
     flag = F.when(F.col("_mid").isNull(), F.lit("0")).otherwise(F.lit("1"))
-    repaired = claims.join(first, same, "left").withColumn("common", F.col("common").withField("is_new", flag))
+    repaired = claims.join(first, same, "left").withColumn("is_new", flag)
     return repaired.select(*logs.columns).unionByName(others)

@@ -9,38 +9,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import names, schemas
-from tidemark.functions import clock
+from tidemark.functions import documents
 from tidemark.operators.joins import change_join
 from tidemark.operators.latest import latest_by_key
 from tidemark.operators.lookup import lookup_join
 from tidemark.sources.topics import change_rows, with_event_time
 
 
-def inserted(changes: DataFrame, database: str, table: str, where: Column | None = None,
-             with_pt: bool = False) -> DataFrame:
-    """Inserted rows of one table, its ``data`` keys as string columns."""
-    rows = change_rows(changes, table) if "value" in changes.columns else changes
+def inserted(changes: DataFrame, database: str, table: str, where: Column | None = None, *extra: str) -> DataFrame:
+    """Inserted rows of one table, its ``data`` keys as string columns, and the ``extra`` columns of the change."""
+    rows = change_rows(changes, schemas.CHANGED_ROW) if "value" in changes.columns else changes
     rows = rows.filter(
         (F.col("database") == database) & (F.col("table") == table) & (F.col("type") == "insert")
     )
     if where is not None:
         rows = rows.filter(where)
-    columns = [F.col("data")[k].alias(k) for k in schemas.FACT_KEYS[table]]
-    return rows.select(*columns, "pt") if with_pt else rows.select(*columns)
+    fields = ", ".join(f"{k}: string" for k in schemas.FACT_KEYS[table])
+    row = F.try_variant_get("data", "$", f"struct<{fields}>").alias("_row")
+    return rows.select(row, *extra).select("_row.*", *extra)
 
 
-def _timed(rows: DataFrame) -> DataFrame:
-    return with_event_time(rows, clock.text_to_time(F.col("create_time")))
+def _timed(changes: DataFrame, database: str, table: str, where: Column | None = None) -> DataFrame:
+    """Inserted rows with ``rt``, the time of the change itself: partners are written close together, whatever
+    business times they carry."""
+    rows = inserted(changes, database, table, where, "ts")
+    return with_event_time(rows, F.timestamp_seconds("ts")).drop("ts")
 
 
 def cart_adds(changes: DataFrame, database: str) -> DataFrame:
-    return inserted(changes, database, "cart_info", with_pt=True)
+    return inserted(changes, database, "cart_info", None, "pt")
 
 
 def order_details(changes: DataFrame, database: str, retention: str = names.JOIN_RETENTION) -> DataFrame:
     """Order lines with their order."""
-    lines = _timed(inserted(changes, database, "order_detail"))
-    orders = _timed(inserted(changes, database, "order_info"))
+    lines = _timed(changes, database, "order_detail")
+    orders = _timed(changes, database, "order_info")
     return change_join(lines, orders, "order_id", "id", retention).select(
         "id", "course_id", "course_name", "order_id", "user_id", "coupon_reduce", "final_amount", "create_time",
         F.col("r_origin_amount").alias("origin_amount"), F.col("r_order_status").alias("order_status"),
@@ -51,9 +54,9 @@ def order_details(changes: DataFrame, database: str, retention: str = names.JOIN
 
 def paid_details(changes: DataFrame, database: str, retention: str = names.JOIN_RETENTION) -> DataFrame:
     """Order lines with their successful payment."""
-    lines = _timed(inserted(changes, database, "order_detail"))
-    done = F.col("data")["payment_status"] == names.PAYMENT_DONE
-    payments = _timed(inserted(changes, database, "payment_info", done))
+    lines = _timed(changes, database, "order_detail")
+    done = documents.text_of(F.col("data"), "payment_status") == names.PAYMENT_DONE
+    payments = _timed(changes, database, "payment_info", done)
     return change_join(lines, payments, "order_id", "order_id", retention).select(
         "id", "course_id", "course_name", "order_id", "user_id", "origin_amount", "coupon_reduce", "final_amount",
         "create_time", "update_time", F.col("r_total_amount").alias("total_amount"),
@@ -65,8 +68,8 @@ def paid_details(changes: DataFrame, database: str, retention: str = names.JOIN_
 
 def exams(changes: DataFrame, database: str, retention: str = names.JOIN_RETENTION) -> DataFrame:
     """Finished exams, one row per answered question."""
-    taken = _timed(inserted(changes, database, "test_exam"))
-    answers = _timed(inserted(changes, database, "test_exam_question"))
+    taken = _timed(changes, database, "test_exam")
+    answers = _timed(changes, database, "test_exam_question")
     return change_join(taken, answers, "id", "exam_id", retention).select(
         "id", "paper_id", "user_id", "score", "duration_sec", "create_time", "submit_time",
         F.col("r_question_id").alias("question_id"), F.col("r_answer").alias("answer"),
@@ -82,8 +85,8 @@ def upserted(facts: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
 
 def exam_questions(changes: DataFrame, database: str, retention: str = names.SHORT_JOIN_RETENTION) -> DataFrame:
     """Answered questions with the score and duration of their exam."""
-    answers = _timed(inserted(changes, database, "test_exam_question"))
-    taken = _timed(inserted(changes, database, "test_exam"))
+    answers = _timed(changes, database, "test_exam_question")
+    taken = _timed(changes, database, "test_exam")
     return change_join(answers, taken, "exam_id", "id", retention).select(
         "id", "exam_id", "paper_id", "question_id", "user_id", "answer", "is_correct",
         F.col("score").alias("question_score"), F.col("r_score").alias("paper_score"),

@@ -1,22 +1,23 @@
 """Input schemas and the column order of every result table."""
 
-# Change log: one JSON object per row change. ``ts`` (seconds) and ``xid`` give the change order.
-CHANGE = (
-    "database string, table string, type string, "
-    "data map<string,string>, old map<string,string>, ts bigint, xid bigint"
-)
+# Numbers are read as text and then cast, as a producer may write them either way.
+# Change log: one JSON object per row change. ``ts`` (seconds) and ``xid`` give the change order. Row values
+# stay VARIANT, so that numbers and nested values keep their types.
+CHANGE = "database string, table string, type string, data variant, old variant, ts string, xid string"
+# What a fact job reads of a change.
+CHANGED_ROW = "database string, table string, type string, data variant, ts string"
 
-# Application log. Parts whose fields are open are kept as VARIANT, so nothing is lost on re-emission.
+# What the window jobs read of the application log. The log split carries whole records instead.
 LOG = (
     "common struct<ar:string, ba:string, ch:string, is_new:string, md:string, mid:string, os:string, "
     "sc:string, sid:string, uid:string, vc:string>, "
-    "ts bigint, "
-    "page struct<during_time:bigint, item:string, item_type:string, last_page_id:string, page_id:string>, "
-    "displays array<variant>, actions array<variant>, start variant, "
-    "appVideo struct<play_sec:bigint, position_sec:bigint, video_id:string>, err variant"
+    "ts string, "
+    "page struct<during_time:string, item:string, item_type:string, last_page_id:string, page_id:string>, "
+    "appVideo struct<play_sec:string, position_sec:string, video_id:string>"
 )
+LOG_NUMBERS = (("page", "during_time"), ("appVideo", "play_sec"), ("appVideo", "position_sec"))
 
-PAGE_MAPS = "common map<string,string>, page map<string,string>, ts bigint"
+PAGE_MAPS = "common map<string,string>, page map<string,string>, ts string"
 
 CONFIG_COLUMNS = (
     "source_table", "source_type", "sink_table", "sink_type", "sink_columns", "sink_pk", "sink_extend",

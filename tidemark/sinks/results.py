@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.operators.latest import latest_by_key
+from tidemark.sinks.batches import TABLE_RUN, batch_folder
 
 
 def sink_row(df: DataFrame, table: str) -> DataFrame:
@@ -22,8 +23,9 @@ def sink_row(df: DataFrame, table: str) -> DataFrame:
 class ResultTable:
     """Parquet table under ``folder``, split by batch and by the day of ``stt``.
 
-    A repeated batch replaces itself, so a restarted stream leaves no doubles. Nothing is rewritten on
-    append; ``read`` resolves versions, and ``compact`` writes the resolved rows to another folder.
+    A repeated batch replaces itself, so a restarted stream leaves no doubles; ``run`` tells the batches of
+    one checkpoint from those of another. Nothing is rewritten on append; ``read`` resolves versions, and
+    ``compact`` writes the resolved rows to another folder.
     """
 
     def __init__(self, folder: str, table: str):
@@ -31,9 +33,9 @@ class ResultTable:
         self.table = table
         self.keys = schemas.RESULT_KEYS[table]
 
-    def append(self, df: DataFrame, batch_id: int = 0) -> None:
+    def append(self, df: DataFrame, batch_id: int = 0, run: str = TABLE_RUN) -> None:
         rows = sink_row(df, self.table).withColumn("day", F.substring("stt", 1, 10))
-        rows.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/batch_id={batch_id}")
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/{batch_folder(run, batch_id)}")
 
     def versions(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
@@ -46,12 +48,12 @@ class ResultTable:
         if self.table in schemas.KEYED_BY_NAME:
             return self._last_batch(rows).select(*schemas.RESULT_COLUMNS[self.table])
         values = [c for c in schemas.RESULT_COLUMNS[self.table] if c not in self.keys and c != "ts"]
-        current = latest_by_key(rows.drop("day"), self.keys, ["ts", "batch_id", *values])
+        current = latest_by_key(rows.drop("day", "run"), self.keys, ["ts", "batch_id", *values])
         return current.select(*schemas.RESULT_COLUMNS[self.table])
 
     def _last_batch(self, rows: DataFrame) -> DataFrame:
         """All rows a key got in its last batch, since rows of one batch may share a name."""
-        keyed = rows.withColumns({"_key": F.struct(*self.keys), "_at": F.struct("ts", "batch_id")})
+        keyed = rows.withColumns({"_key": F.struct(*self.keys), "_at": F.struct("ts", "run", "batch_id")})
         last = keyed.groupBy("_key").agg(F.max("_at").alias("_at"))
         return keyed.join(last, ["_key", "_at"], "left_semi")
 

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.functions import documents
+from tidemark.sinks.batches import TABLE_RUN, batch_folder, is_complete
 
 
 @dataclass(frozen=True)
@@ -34,21 +34,29 @@ class TopicWriter:
             return writer.format("kafka").options(**self.kafka_options(topic))
         return writer.format("text").option("path", f"{self.folder}/{topic}")
 
-    def write_batch(self, values: DataFrame, topic: str, batch_id: int) -> None:
-        """Rows of one micro-batch to one topic; repeating a batch in a folder replaces it."""
+    def write_batch(self, values: DataFrame, topic: str, batch_id: int, run: str = TABLE_RUN) -> None:
+        """Rows of one micro-batch to one topic.
+
+        In a folder a batch that was written whole is left as it is when repeated, as streams that read the
+        folder would take new files for new records; one that was not is replaced. ``run`` tells the batches
+        of one checkpoint from those of another.
+        """
         if self.servers:
             values.write.format("kafka").options(**self.kafka_options(topic)).save()
-        else:
-            values.select("value").write.mode("overwrite").text(f"{self.folder}/{topic}/batch_id={batch_id}")
+            return
+        path = f"{self.folder}/{topic}/{batch_folder(run, batch_id)}"
+        if not is_complete(values.sparkSession, path):
+            values.select("value").write.mode("overwrite").text(path)
 
-    def write_routed(self, records: DataFrame, batch_id: int) -> None:
-        """Rows (``topic``, ``value``) to the topic each names, all topics in one job."""
+    def write_routed(self, records: DataFrame, batch_id: int, run: str = TABLE_RUN) -> None:
+        """Rows (``topic``, ``value``) to the topic each names, all topics in one job; repeats as ``write_batch``."""
         if self.servers:
             records.write.format("kafka").options(**self.kafka_options()).save()
-        else:
-            (records.select("value", F.col("topic"), F.lit(batch_id).alias("batch_id"))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("topic", "batch_id").text(f"{self.folder}/_routed"))
+            return
+        path = f"{self.folder}/_routed/{batch_folder(run, batch_id)}"
+        if not is_complete(records.sparkSession, path):
+            (records.select("value", "topic").write.mode("overwrite").option("partitionOverwriteMode", "static")
+             .partitionBy("topic").text(path))
 
 
 def json_records(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

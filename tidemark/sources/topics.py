@@ -13,11 +13,22 @@ from tidemark.functions import clock, documents
 
 @dataclass(frozen=True)
 class TopicReader:
-    """Where topics live: Kafka ``servers``, or ``folder`` with one sub-folder of JSON lines per topic."""
+    """Where topics live: Kafka ``servers``, or ``folder`` with one sub-folder of JSON lines per topic.
+
+    In folder form ``routed`` topics are also looked for where the routing job puts all of its topics.
+    """
 
     servers: str | None = None
     folder: str | None = None
     options: dict[str, str] = field(default_factory=dict)
+    routed: tuple[str, ...] = names.ROUTED_TOPICS
+
+    def _files(self, reader, topic: str) -> DataFrame:
+        reader = reader.options(**self.options)
+        if topic not in self.routed:
+            return reader.text(f"{self.folder}/{topic}").select("value")
+        either = f"{self.folder}/{{{topic},_routed/run=*/batch_id=*/topic={topic}}}"
+        return reader.option("recursiveFileLookup", "true").text(either).select("value")
 
     def kafka_options(self, topic: str, group: str | None = None, starting: str = "latest") -> dict[str, str]:
         picked = {"kafka.bootstrap.servers": self.servers or "", "subscribe": topic, "startingOffsets": starting}
@@ -31,7 +42,7 @@ class TopicReader:
             options = self.kafka_options(topic, group, starting)
             records = spark.readStream.format("kafka").options(**options).load()
             return records.select(F.col("value").cast("string").alias("value"))
-        return spark.readStream.options(**self.options).text(f"{self.folder}/{topic}").select("value")
+        return self._files(spark.readStream, topic)
 
     def table(self, spark: SparkSession, topic: str) -> DataFrame:
         """The same topic as a bounded table, from the earliest to the latest offset."""
@@ -39,35 +50,47 @@ class TopicReader:
             options = self.kafka_options(topic, starting="earliest")
             records = spark.read.format("kafka").options(**options).load()
             return records.select(F.col("value").cast("string").alias("value"))
-        return spark.read.text(f"{self.folder}/{topic}").select("value")
+        return self._files(spark.read, topic)
 
 
-def change_rows(values: DataFrame, table: str | None = None) -> DataFrame:
-    """Change log rows plus ``pt``, the processing time of the batch.
-
-    With ``table``, text that cannot name the table is dropped before parsing, so a job on one table
-    does not parse the whole topic. Text with a Unicode escape might spell the name and is kept.
-    """
-    if table is not None:
-        text = F.col("value")
-        values = values.filter(text.contains(table) | text.contains("\\u"))
-    return documents.parse(values, schemas.CHANGE).withColumn("pt", F.current_timestamp())
+def change_rows(values: DataFrame, schema: str = schemas.CHANGE) -> DataFrame:
+    """Change log rows plus ``pt``, the processing time of the batch; malformed text fails whatever its table."""
+    rows = documents.parse(values, schema).withColumn("pt", F.current_timestamp())
+    return rows.withColumns({c: documents.whole_number(F.col(c)) for c in ("ts", "xid") if c in rows.columns})
 
 
 def log_rows(values: DataFrame) -> DataFrame:
-    """Application log rows; a JSON null in an open field counts as absent."""
-    rows = documents.parse(values, schemas.LOG)
-    return rows.withColumns({
-        name: F.when(documents.present(F.col(name)), F.col(name)) for name in ("start", "err")
-    })
+    """Application log rows as the window jobs read them."""
+    rows = documents.parse(values, schemas.LOG).withColumn("ts", documents.whole_number(F.col("ts")))
+    for part, name in schemas.LOG_NUMBERS:
+        number = documents.whole_number(F.col(part)[name])
+        rows = rows.withColumn(part, F.when(F.col(part).isNotNull(), F.col(part).withField(name, number)))
+    return rows
+
+
+def log_records(values: DataFrame) -> DataFrame:
+    """Whole application log records (VARIANT ``record``) with the fields that repair and split ask for.
+
+    Other columns of ``values`` are kept. Text that is malformed or no object fails the job.
+    """
+    records, record = documents.parse_objects(values), F.col("record")
+    return records.select(
+        "*", documents.text_of(record, "common", "mid").alias("mid"),
+        documents.text_of(record, "common", "is_new").alias("is_new"),
+        F.try_variant_get(record, "$.ts", "bigint").alias("ts"))
 
 
 def page_maps(values: DataFrame) -> DataFrame:
     """Page log with map columns and the event time ``rt``, watermarked on a stream."""
-    rows = documents.parse(values, schemas.PAGE_MAPS)
+    rows = page_rows(values)
     return with_event_time(rows, clock.ms_to_time(F.col("ts")))
 
 
+def page_rows(values: DataFrame) -> DataFrame:
+    """Page log with map columns."""
+    return documents.parse(values, schemas.PAGE_MAPS).withColumn("ts", documents.whole_number(F.col("ts")))
+
+
 def with_event_time(rows: DataFrame, time, lateness: str = names.LATENESS) -> DataFrame:
     """Add the event time ``rt``; on a stream also the bound on out-of-order rows."""
     timed = rows.withColumn("rt", time.cast("timestamp"))

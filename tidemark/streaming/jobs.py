@@ -18,10 +18,11 @@ from tidemark.operators import routing
 from tidemark.operators.logsplit import split_logs
 from tidemark.plans import facts, study, trade, traffic, users
 from tidemark.session import shared_folder
+from tidemark.sinks.batches import run_of
 from tidemark.sinks.dims import DimStore
 from tidemark.sinks.results import ResultTable
 from tidemark.sinks.topics import TopicWriter, json_records
-from tidemark.sources.topics import TopicReader, change_rows, log_rows
+from tidemark.sources.topics import TopicReader, change_rows, log_rows, page_rows
 from tidemark.streaming.newflag import repaired_log_stream
 
 # Reads a dimension by name with the columns wanted.
@@ -61,7 +62,7 @@ class MeasureJob:
 
 
 MEASURE_JOBS = {
-    "keyword_counts": MeasureJob(names.PAGE_TOPIC, "dws_traffic_keyword_page_view_window", _rows(schemas.PAGE_MAPS),
+    "keyword_counts": MeasureJob(names.PAGE_TOPIC, "dws_traffic_keyword_page_view_window", page_rows,
                                  traffic.keyword_counts),
     "page_visitors": MeasureJob(names.PAGE_TOPIC, "dws_traffic_page_view_window", log_rows, traffic.page_visitors),
     "traffic_by_source": MeasureJob(names.PAGE_TOPIC, "dws_traffic_source_window", log_rows, traffic.source_measures,
@@ -101,7 +102,7 @@ def start_measures(spark: SparkSession, name: str, reader: TopicReader, dims: Di
     table = ResultTable(results, job.table)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.append(job.finish(batch, dims), batch_id)
+        table.append(job.finish(batch, dims), batch_id, run_of(batch))
 
     return _start(windows, write, checkpoints, name, available_now)
 
@@ -119,11 +120,16 @@ FACT_JOBS = {
 
 
 def start_facts(spark: SparkSession, name: str, reader: TopicReader, writer: TopicWriter, database: str,
-                checkpoints: str | None = None, available_now: bool = False) -> StreamingQuery:
-    """Start one fact job from the change topic into its fact topic."""
+                checkpoints: str | None = None, available_now: bool = False, retention: str | None = None) -> StreamingQuery:
+    """Start one fact job from the change topic into its fact topic.
+
+    ``retention`` sets how far apart in time a joining job's partners may be written.
+    """
     topic, plan, keys = FACT_JOBS[name]
-    records = json_records(plan(reader.stream(spark, names.CHANGE_TOPIC, f"{name}_group"), database), keys)
-    return _start(records, lambda batch, batch_id: writer.write_batch(batch, topic, batch_id),
+    options = {"retention": retention} if retention else {}
+    facts_rows = plan(reader.stream(spark, names.CHANGE_TOPIC, f"{name}_group"), database, **options)
+    return _start(json_records(facts_rows, keys),
+                  lambda batch, batch_id: writer.write_batch(batch, topic, batch_id, run_of(batch)),
                   checkpoints, name, available_now)
 
 
@@ -134,7 +140,7 @@ def start_test_papers(spark: SparkSession, reader: TopicReader, writer: TopicWri
 
     def write(batch: DataFrame, batch_id: int) -> None:
         records = json_records(facts.test_papers(batch, database, papers()))
-        writer.write_batch(records, names.TEST_PAPER_TOPIC, batch_id)
+        writer.write_batch(records, names.TEST_PAPER_TOPIC, batch_id, run_of(batch))
 
     return _start(changes, write, checkpoints, "test_papers", available_now)
 
@@ -145,13 +151,14 @@ def start_routing(spark: SparkSession, reader: TopicReader, writer: TopicWriter,
     values = reader.stream(spark, names.CHANGE_TOPIC, "routing_group")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        changes = change_rows(batch).persist()
+        changes, routes, run = change_rows(batch).persist(), routing.fold_config(config()).persist(), run_of(batch)
         try:
-            routed = routing.route(changes, routing.fold_config(config()))
-            store.upsert(routed.dims, batch_id)
-            writer.write_routed(routing.topic_records(routed.facts), batch_id)
+            routed = routing.route(changes, routes)
+            store.upsert(routed.dims, batch_id, run)
+            writer.write_routed(routing.topic_records(routed.facts), batch_id, run)
         finally:
             changes.unpersist()
+            routes.unpersist()
 
     return _start(values, write, checkpoints, "routing", available_now)
 
@@ -165,7 +172,7 @@ def start_log_split(spark: SparkSession, reader: TopicReader, writer: TopicWrite
         kept = batch.persist()
         try:
             for topic, values in split_logs(kept).items():
-                writer.write_batch(values, topic, batch_id)
+                writer.write_batch(values, topic, batch_id, run_of(batch))
         finally:
             kept.unpersist()
 

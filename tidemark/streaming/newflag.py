@@ -11,10 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions import clock
-from tidemark.sources.topics import log_rows
-
-_HEAD = "common struct<mid:string, is_new:string>, ts bigint"
-
+from tidemark.sources.topics import log_records
 
 class NewFlag(StatefulProcessor):
     """The day on which a device counts as new (none if its first log did not claim so)."""
@@ -43,11 +40,8 @@ class NewFlag(StatefulProcessor):
 
 
 def repaired_log_stream(values: DataFrame) -> DataFrame:
-    """Log rows of a stream of JSON ``value`` with ``common.is_new`` repaired."""
-    head = F.from_json("value", _HEAD, {"mode": "FAILFAST"})
-    keyed = values.select("value", F.inline(F.when(F.col("value").isNotNull(), F.array(head)))).select(
-        F.col("common.mid").alias("mid"), F.col("common.is_new").alias("is_new"), "ts",
-        clock.day_number(clock.ms_to_time(F.col("ts"))).alias("day"), "value")
+    """``log_records`` of a stream of JSON ``value`` with ``is_new`` repaired."""
+    keyed = log_records(values.withColumn("text", F.col("value"))).select(
+        "mid", "is_new", "ts", clock.day_number(clock.ms_to_time(F.col("ts"))).alias("day"), F.col("text").alias("value"))
     fixed = keyed.groupBy("mid").transformWithStateInPandas(NewFlag(), "value string, fixed string", "Append", "None")
-    rows = log_rows(fixed)
-    return rows.withColumn("common", F.col("common").withField("is_new", F.col("fixed"))).drop("fixed")
+    return log_records(fixed).withColumn("is_new", F.col("fixed")).drop("fixed")
