@@ -279,3 +279,12 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.where(F.length("text") != F.col("n_chars")).count() == 0
     pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert pieces.select("doc_id").distinct().count() == docs.count()
+
+
+def test_lexicon_takes_whole_levels_of_frequency(spark):
+    counted = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate([100, 99, 40, 7, 7, 7, 1, 1])], "word string, n bigint")
+    chosen = lambda size: sorted(bpe.frequent_words(counted, size))
+    assert chosen(8) == [f"w{i}" for i in range(8)]
+    assert chosen(5) == ["w0", "w1", "w2"]  # three words of 7 don't fit whole
+    assert chosen(1) == []  # 100 and 99 share a level
+    assert bpe.frequent_words(counted.limit(0), 5) == []

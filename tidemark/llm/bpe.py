@@ -28,6 +28,8 @@ from tidemark.llm.common import clean, flat, gather, prepare, publish, strings
 
 #: Words in the lexicon, at most; bounds the driver's work and the file.
 LEXICON_WORDS = 1 << 17
+#: Levels of frequency in an octave, of which the lexicon takes whole ones.
+LEVELS = 16
 #: Distinct words that a worker counts or remembers before it lets go of them; bounds its memory.
 HELD_WORDS = 1 << 19
 
@@ -246,10 +248,26 @@ class Lexicon:
         return found
 
 
+def frequent_words(counted: DataFrame, size: int) -> list[str]:
+    """The most frequent words, whole levels of frequency at a time, ``size`` at most.
+
+    The driver gets one row per level, under 64 * ``LEVELS`` whatever the corpus, and then only the chosen words.
+    Words of a level that doesn't fit whole are left to exact merging.
+    """
+    level = F.floor(F.log2("n") * LEVELS).cast("int")
+    held = counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()
+    total, lowest = 0, None
+    for r in sorted(held, key=lambda r: -r.level):
+        total += r.words
+        if total > size:
+            break
+        lowest = r.level
+    return [] if lowest is None else [r.word for r in counted.where(level >= lowest).select("word").collect()]
+
+
 def publish_lexicon(spark: SparkSession, docs: DataFrame, path: str, text_column: str = "text", size: int = LEXICON_WORDS) -> str:
     """Count, choose and compile the frequent words; the file's name for ``SparkFiles.get``."""
-    top = word_counts(docs, path, text_column).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
-    words = sorted(r.word.encode() for r in top)
+    words = sorted(word.encode() for word in frequent_words(word_counts(docs, path, text_column).checkpoint(), size))
     return publish(spark, compile_lexicon(words, [vocabulary(path).merge(w) for w in words]), ".lexicon")
 
 
