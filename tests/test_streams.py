@@ -102,3 +102,34 @@ def test_stream_equals_batch(spark, topics, tmp_path, name):
     want = sorted(map(str, expected.collect()))
     got = sorted(map(str, actual.collect()))
     assert want and got == want
+
+
+def write_rows(spark, folder, topic, *files):
+    for i, rows in enumerate(files):
+        spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.text(f"{folder}/{topic}/part={i}")
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    def signed_up(*times):
+        return [f'{{"create_time": "2024-01-01 {t}"}}' for t in times]
+
+    # 00:00:08 comes late, but its window is open still; 00:00:09 comes when it was emitted.
+    write_rows(spark, str(tmp_path), names.USER_REGISTER_TOPIC, signed_up("00:00:01", "00:00:11"), signed_up("00:00:08"),
+               signed_up("00:01:00"), signed_up("00:01:01"), signed_up("00:00:09"), signed_up("10:00:00"))
+    reader = TopicReader(folder=str(tmp_path), options={"maxFilesPerTrigger": "1"})
+    query = jobs.start_measures(spark, "user_registrations", reader, None, str(tmp_path / "out"), str(tmp_path / "ck"), True)
+    assert query.awaitTermination(120) and query.exception() is None
+    got = ResultTable(str(tmp_path / "out"), "dws_user_user_register_window").read(spark).collect()
+    assert sorted((r.stt[11:], r.registerCt) for r in got) == [("00:00:00", 2), ("00:00:10", 1), ("00:01:00", 2)]
+
+
+def test_logins_forget_users_after_the_retention(spark, tmp_path):
+    def login(user, day):
+        return [f'{{"common": {{"uid": "{user}"}}, "page": {{}}, "ts": {day * 86_400_000}}}']
+
+    write_rows(spark, str(tmp_path), names.PAGE_TOPIC, login("a", 1), login("b", 15), login("a", 20), login("x", 40))
+    reader = TopicReader(folder=str(tmp_path), options={"maxFilesPerTrigger": "1"})
+    query = jobs.start_measures(spark, "user_logins", reader, None, str(tmp_path / "out"), str(tmp_path / "ck"), True, retention="9 days")
+    assert query.awaitTermination(120) and query.exception() is None
+    got = ResultTable(str(tmp_path / "out"), "dws_user_user_login_window").read(spark).collect()
+    assert {r.stt[:10]: (r.uuCt, r.backCt) for r in got}["1970-01-21"] == (1, 0)  # a was away for 19 days, but is forgotten

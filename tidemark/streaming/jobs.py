@@ -94,11 +94,14 @@ MEASURE_JOBS = {
 
 
 def start_measures(spark: SparkSession, name: str, reader: TopicReader, dims: DimReader, results: str,
-                   checkpoints: str | None = None, available_now: bool = False) -> StreamingQuery:
-    """Start one window job into its result table."""
+                   checkpoints: str | None = None, available_now: bool = False, **options) -> StreamingQuery:
+    """Start one window job into its result table.
+
+    ``options`` go to the job's plan, as ``retention`` for the logins, which else remember a user for ever.
+    """
     job = MEASURE_JOBS[name]
     rows = job.parse(reader.stream(spark, job.topic, f"{name}_group"))
-    windows = job.measures(rows, *[dims(*d) for d in job.static_dims])
+    windows = job.measures(rows, *[dims(*d) for d in job.static_dims], **options)
     table = ResultTable(results, job.table)
 
     def write(batch: DataFrame, batch_id: int) -> None:
