@@ -34,14 +34,15 @@ CELLS = 1 << 14
 
 # HTML's void elements, elements whose content isn't text, and elements that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = ("script", "style", "noscript", "template", "svg", "iframe", "object")
+RAW, HIDDEN_TAGS = ("script", "style", "iframe"), ("script", "style", "noscript", "template", "svg", "iframe", "object")
 BLOCK = frozenset(("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary "
                    "table tbody td textarea tfoot th thead title tr ul").split())
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(HIDDEN_TAGS) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|([^<]+|<)", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|([^<]+|<)", re.S)
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -75,24 +76,49 @@ def blocks_of(page: str | None) -> list[Block]:
         state["links"] -= sum(tag == "a" for tag, _ in stack[at:])
         del stack[at:]
 
-    for m in _TOKEN.finditer(page or ""):
-        text = m[8]
+    page, at_char, hidden = page or "", 0, None  # hidden: where in the stack the outermost hidden element is
+    while at_char < len(page):
+        m = _TOKEN.match(page, at_char)
+        at_char = m.end()
+        text = m[7]
         if text:
-            text = html.unescape(text)
-            parts.append(text)
-            if state["links"]:
-                state["linked"] += len(text.strip())
+            if hidden is None:
+                text = html.unescape(text)
+                parts.append(text)
+                if state["links"]:
+                    state["linked"] += len(text.strip())
             continue
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        if m[2] or m[5]:
+        attributes = m[3] or m[6] or ""
+        if m[1] or m[4]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if hidden is not None:
+                if at is not None and at >= hidden:
+                    del stack[at:]
+                    hidden = None if at == hidden else hidden
+                    continue
+                if at is None:
+                    continue
+                del stack[hidden:]  # its container ends, and so does a hidden element without an end tag
+                hidden = None
             if at is not None:
                 close(at)
             elif tag in BLOCK:
                 flush()
             continue
+        empty = attributes.endswith("/")
+        if tag in RAW and not (empty and any(t == "svg" for t, _ in stack)):
+            at_char = _RAW_ENDS[tag].search(page, at_char).end()
+            continue
+        if hidden is not None or tag in HIDDEN_TAGS:
+            # A slash closes svg and what is in it; the other hidden elements end by a tag, as in browsers.
+            if tag in VOID or empty and (tag == "svg" or hidden is not None):
+                continue
+            hidden = len(stack) if hidden is None else hidden
+            stack.append((tag, ()))
+            continue
         if tag in BLOCK:
             flush()
             _close_open(stack, tag, close)
@@ -101,7 +127,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in VOID:
             continue
         names = [tag]
-        for found in _NAMES.finditer(m[4] or m[7] or ""):
+        for found in _NAMES.finditer(attributes):
             names += ["." + p for p in _PARTS.findall((found[1] or found[2] or found[3] or "").lower())]
         stack.append((tag, tuple(names)))
         state["links"] += tag == "a"
