@@ -62,6 +62,14 @@ def publish(spark: SparkSession, content: bytes, suffix: str) -> str:
     return path.rpartition("/")[2]
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, read again by whatever needs them, whole if an executor is lost."""
+    spark = prepare(rows.sparkSession)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

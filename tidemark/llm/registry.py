@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact_dedup, html_text, langid, line_dedup, packing, pitman_yor, simhash, topk
+from tidemark.llm import bpe, chat, decontaminate, exact_dedup, html_text, langid, line_dedup, packing, pitman_yor, simhash, topk
 from tidemark.llm.common import prepare
 
 
@@ -58,6 +58,10 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extracted(_table(spark, folder, "pages"))
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -70,9 +74,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_packing": op9_packing,
         "op10_html_extraction": op10_html_extraction,
+        "op11_decontamination": op11_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_exact_dedup": exact_dedup.SQL, "op3_topk_search": topk.SQL, "op4_chat_formatting": chat.SQL,
-            "op8_line_dedup": line_dedup.SQL}
+            "op8_line_dedup": line_dedup.SQL, "op11_decontamination": decontaminate.SQL}
