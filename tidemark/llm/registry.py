@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, exact_dedup, html_text, langid, line_dedup, packing, pitman_yor, simhash, topk
+from tidemark.llm import alignment, bpe, chat, decontaminate, exact_dedup, html_text, langid, line_dedup, packing, pitman_yor, simhash, topk
 from tidemark.llm.common import prepare
 
 
@@ -62,6 +62,11 @@ def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digests(decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")))
 
 
+def op12_alignment(spark: SparkSession, folder: str, vocabulary: str | None = None, model: str | None = None) -> DataFrame:
+    path_a = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    return alignment.linked(_table(spark, folder, "documents"), path_a, model or public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_html_extraction": op10_html_extraction,
         "op11_decontamination": op11_decontamination,
+        "op12_alignment": op12_alignment,
     }
 
 
