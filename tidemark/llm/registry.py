@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import alignment, bpe, chat, decontaminate, exact_dedup, html_text, langid, line_dedup, packing, pitman_yor, simhash, topk
+from tidemark.llm import alignment, bpe, chat, decontaminate, exact_dedup, html_text, langid, line_dedup, packing, pitman_yor, simhash, topk, whitening
 from tidemark.llm.common import prepare
 
 
@@ -67,6 +67,10 @@ def op12_alignment(spark: SparkSession, folder: str, vocabulary: str | None = No
     return alignment.linked(_table(spark, folder, "documents"), path_a, model or public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(_table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_html_extraction": op10_html_extraction,
         "op11_decontamination": op11_decontamination,
         "op12_alignment": op12_alignment,
+        "op13_whitening": op13_whitening,
     }
 
 
