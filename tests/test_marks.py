@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.marks import cell_width_us, first_rows
-from tidemark.operators.totals import running_totals
+from tidemark.operators.marks import Mark, count_marks, first_rows, mark_cells
+from tidemark.operators.totals import last_totals, running_totals
 from tidemark.plans import trade, traffic, users
+from tidemark.streaming import state
 
 D1, D2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
 
@@ -96,12 +98,6 @@ def test_days_follow_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def test_cells_fit_window_and_ttl():
-    assert cell_width_us(10_000_000, 5_000_000) == 5_000_000
-    assert cell_width_us(10_000_000, None) == 10_000_000
-    assert cell_width_us(10_000_000, 3_000_000) == 2_500_000
-
-
 def test_bad_options(spark):
     df = frame(spark, [("a", D1, "x")])
     for options in ({"reset": "week"}, {"reset": "idle"}, {"reset": "day", "ttl": "1 day"},
@@ -120,6 +116,66 @@ def test_rows_are_reduced_before_the_shuffle(spark):
     assert plan.index("partial_min") > plan.index("_slot")
 
 
+@pytest.mark.parametrize("reset,ttl", [("idle", 86400), ("idle", 36000), ("day_or_idle", 3600)])
+def test_a_key_with_cells_on_a_thousand_days(spark, reset, ttl):
+    rng = random.Random(11)
+    rows = [("hot", at(day * 86400 + second), "x") for day in range(1000) if rng.random() < 0.8
+            for second in {0, 86399, *(rng.randint(0, 86399) for _ in range(3))} if rng.random() < 0.7]
+    df = frame(spark, rows)
+    assert firsts(df, reset=reset, ttl=f"{ttl} seconds") == replay(rows, reset, ttl)
+    # No window is by the key alone: it is cut into chunks of a day.
+    plan = first_rows(df, ["k"], ["c"], reset=reset, ttl=f"{ttl} seconds")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Window \[lag.*\[key#\d+, role#\d+, _chunk#\d+L?(, _day#\d+)?\], \[_slot", plan)
+
+
+def test_one_scan_whatever_is_counted(spark, tmp_path):
+    spark.range(100).selectExpr("timestamp_seconds(id) AS rt", "id % 7 AS a", "id % 5 AS b", "id % 3 AS g", "1 AS n").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    marks = [Mark("days", ("a",)), Mark("idle", ("b",), "idle", "1 day", ("n",)), Mark("distinct", ("g", "a"), "window")]
+    windows = count_marks(mark_cells(df, marks, ["g"], {"rows": F.lit(1)}), marks, ["g"])
+    plan = windows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan and plan.count("Exchange hashpartitioning") == 3
+    got = {(r.window.start.second // 10, r.g): (r.rows, r.days, r.idle, r.distinct) for r in windows.where("window.start < timestamp'1970-01-01 00:00:10'").collect()}
+    assert got == {(0, 0): (4, 3, 2, 4), (0, 1): (3, 2, 2, 3), (0, 2): (3, 2, 1, 3)}
+
+
+@pytest.mark.parametrize("reset,ttl", [("day", None), ("idle", "5 seconds"), ("day_or_idle", "1 hour")])
+def test_batches_with_memory_equal_one_table(spark, tmp_path, monkeypatch, reset, ttl):
+    monkeypatch.setattr(state, "SNAPSHOT_EVERY", 2)
+    rng = random.Random(5)
+    step = 2 if ttl == "5 seconds" else 7200
+    rows = [(rng.choice(["a", "b", "c", None]), at(10 * (i * step // 10) + rng.randint(0, 9)), "x") for i in range(100)]
+    mark = [Mark("n", ("k",), reset, ttl)]
+    whole = {r.window.start: r.n for r in count_marks(mark_cells(frame(spark, rows), mark), mark).collect()}
+    got, size = {}, 20
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    for number in range(5):
+        part = frame(spark, [r for r in rows if number == _batch_of(rows, r, size)])
+        for _ in range(2 if number == 3 else 1):  # a batch that is repeated changes nothing
+            cells = apart(part, mark)
+            low = cells.agg(F.unix_micros(F.min("first.at")).alias("low")).first()["low"]
+            memory = state.BatchMemory(str(tmp_path), "r", number, spark, low)
+            found = {r.window.start: r.n for r in count_marks(cells, mark, memory=memory, name="m").collect()}
+            memory.commit()
+        got |= found
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == whole
+    assert len(list((tmp_path / "m" / "versions" / "run=r").iterdir())) <= 4  # older ones are in the snapshot
+
+
+def apart(df, mark):
+    """Several cells to a slot, as a stream's aggregate gives them for several windows."""
+    odd = F.pmod(F.floor(F.unix_timestamp("rt") / 10), F.lit(2)) == 1
+    return mark_cells(df.where(odd), mark).unionByName(mark_cells(df.where(~odd), mark))
+
+
+def _batch_of(rows, row, size):
+    """Batches hold whole windows, as those of a stream do."""
+    starts = [min(int((r[1] - D1).total_seconds()) // 10 for r in rows[i:i + size]) for i in range(0, len(rows), size)]
+    window = int((row[1] - D1).total_seconds()) // 10
+    return max(i for i, s in enumerate(starts) if s <= window)
+
+
 # --- running totals ---
 
 @pytest.mark.parametrize("chunk", ["1 second", "1 minute", "1 hour", "1 day"])
@@ -139,6 +195,21 @@ def test_running_totals_equal_replay(spark, chunk):
     assert got == want
 
 
+def test_running_totals_go_on_from_the_last_row(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), at(i * 977), f"c{i:03}", i) for i in range(90)]
+    make = lambda part: spark.createDataFrame(part, "k string, t timestamp, c string, n bigint")
+    options = dict(starts="starts", ttl="20 minutes")
+    want = {r.c: (r.total, r.starts) for r in running_totals(make(rows), ["k"], "t", ["c"], {"total": "n"}, **options).collect()}
+    got, before = {}, None
+    for i in range(0, 90, 30):
+        out = running_totals(make(rows[i:i + 30]), ["k"], "t", ["c"], {"total": "n"}, before=before, **options)
+        got |= {r.c: (r.total, r.starts) for r in out.collect()}
+        last = last_totals(out, ["k"], "t", ["c"], ["total", "starts"])
+        before = spark.createDataFrame(last.collect(), last.schema)
+    assert got == want
+
+
 # --- jobs on literal rows ---
 
 def page(mid, ts, uid=None, sid=None, sc="1", page_id="home", last=None, kind=None, dur=1):

@@ -386,6 +386,42 @@ def test_log_job(spark, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_log_job_with_a_hot_device_and_without_devices(spark, tmp_path):
+    folder = str(tmp_path / "topics")
+    reader, writer = TopicReader(folder=folder), TopicWriter(folder=folder)
+    hot = (spark.range(100_000).selectExpr(
+        """format_string('{"common":{"mid":"hot","is_new":"1"},"page":{"page_id":"home"},"ts":%d}', id * 1000) AS value"""))
+    none = spark.range(1000).selectExpr(
+        """format_string('{"common":{"mid":null,"is_new":"1"},"page":{"page_id":"home"},"ts":%d}', id * 1000) AS value""")
+    hot.union(none).repartition(4).write.text(f"{folder}/{names.LOG_TOPIC}")
+    query = jobs.start_log_split(spark, reader, writer, str(tmp_path / "ck"), available_now=True)
+    assert query.awaitTermination(180) and query.exception() is None
+    got = reader.table(spark, names.PAGE_TOPIC).selectExpr("get_json_object(value, '$.common.mid') AS mid", "get_json_object(value, '$.common.is_new') AS new",
+                                                           "get_json_object(value, '$.ts') < 86400000 AS today").groupBy("mid", "new", "today").count().collect()
+    # The hot device is new on its first day alone; logs without a device are never known to be new.
+    assert {tuple(r) for r in got} == {("hot", "1", True, 86400), ("hot", "0", False, 13600), (None, "0", True, 1000)}
+    # One small row per device is all that is remembered, no text.
+    state = spark.read.parquet(f"{tmp_path}/ck/log_split-state/devices/versions")
+    assert sorted(map(str, (r.mid for r in state.collect()))) == ["None", "hot"] and "value" not in state.columns
+
+
+def test_log_job_forgets_devices_after_the_retention(spark, tmp_path):
+    folder = str(tmp_path / "topics")
+    reader, writer = TopicReader(folder=folder), TopicWriter(folder=folder)
+
+    def run(*rows):
+        values(spark, list(rows)).coalesce(1).write.mode("append").text(f"{folder}/{names.LOG_TOPIC}")
+        query = jobs.start_log_split(spark, reader, writer, str(tmp_path / "ck"), available_now=True, retention="2 days")
+        assert query.awaitTermination(180) and query.exception() is None
+
+    run(log(1, "a", "0", page=PAGE), log(1, "b", "0", page=PAGE))
+    run(log(DAY, "a", "1", page=PAGE))  # renews a
+    run(log(3 * DAY - 1, "a", "1", page=PAGE), log(3 * DAY, "b", "1", page=PAGE))
+    pages = [json.loads(r.value) for r in reader.table(spark, names.PAGE_TOPIC).collect()]
+    assert sorted((p["ts"], p["common"]["mid"], p["common"]["is_new"]) for p in pages if p["ts"] > 1) == [
+        (DAY, "a", "0"), (3 * DAY - 1, "a", "0"), (3 * DAY, "b", "1")]
+
+
 # --- lookups, keyed tables, measures ---
 
 def test_enrich_keeps_misses(spark):

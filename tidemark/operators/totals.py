@@ -19,39 +19,42 @@ def _starts(before: Column, time: Column, ttl_us: int) -> Column:
 
 def running_totals(
     df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], totals: Mapping[str, str],
-    starts: str, ttl: str, chunk: str = "1 hour",
+    starts: str, ttl: str, chunk: str = "1 hour", before: DataFrame | None = None,
 ) -> DataFrame:
     """Add running sums per key in ``(time, *order)`` order.
 
     ``totals`` maps each output to the column it sums; ``starts`` names one more output, the running
     count of rows that are first of their day or come at least ``ttl`` after the row before them.
+    ``before`` holds the last row of each key so far (``keys``, ``time``, outputs), from which sums go on.
 
     A prefix sum in two levels: inside (key, chunk of time), then over the chunk sums of a key, of which
-    there are only as many as chunks in the data's time span. A hot key is spread over its chunks.
+    there are only as many as chunks in the data's time span. A hot key is spread over its chunks. A chunk's
+    sums are those of its last row, so rows are summed once; only the small chunk table is joined to them.
     """
     ttl_us = clock.duration_us(ttl)
     at = F.col(time)
     # One struct key: null keys compare equal in it, and the join below reuses its partitioning.
     inside = Window.partitionBy("_key", "_chunk").orderBy(time, *order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rows = (
+    sums = {**totals, starts: "_start"}
+    local = (
         df.withColumns({"_key": F.struct(*keys), "_chunk": clock.slot(at, clock.duration_us(chunk))})
-        .withColumn("_before", F.lag(time).over(inside))
+        .withColumns({"_before": F.lag(time).over(inside), "_ends": F.lead(time).over(inside).isNull(), "_from": F.first(time).over(so_far)})
         # The first row of a chunk is decided below, from the last row of the chunk before.
         .withColumn("_start", F.when(F.col("_before").isNull(), F.lit(0).cast("bigint"))
                     .otherwise(_starts(F.col("_before"), at, ttl_us)))
+        .withColumns({f"_local_{out}": F.sum(source).over(so_far) for out, source in sums.items()})
     )
-    sums = {**totals, starts: "_start"}
-    local = rows.withColumns({f"_local_{out}": F.sum(source).over(so_far) for out, source in sums.items()})
-
-    chunks = rows.groupBy("_key", "_chunk").agg(
-        F.min(time).alias("_from"), F.max(time).alias("_to"),
-        *[F.sum(source).alias(f"_sum_{out}") for out, source in sums.items()],
-    )
-    by_key = Window.partitionBy("_key").orderBy("_chunk")
+    chunks = local.where("_ends").select("_key", "_chunk", "_from", at.alias("_to"), *[F.col(f"_local_{out}").alias(f"_sum_{out}") for out in sums])
+    if before is not None:
+        # What was before comes ahead of every chunk and matches no row.
+        chunks = chunks.unionByName(before.select(
+            F.struct(*keys).alias("_key"), F.lit(None).cast("bigint").alias("_chunk"), at.alias("_from"), at.alias("_to"),
+            *[F.col(out).alias(f"_sum_{out}") for out in sums]))
+    by_key = Window.partitionBy("_key").orderBy(F.asc_nulls_first("_chunk"))
     earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    opened = chunks.withColumn("_opens", _starts(F.lag("_to").over(by_key), F.col("_from"), ttl_us))
-    opened = opened.withColumn(f"_sum_{starts}", F.col(f"_sum_{starts}") + F.col("_opens"))
+    opens = F.when(F.col("_chunk").isNull(), F.lit(0)).otherwise(_starts(F.lag("_to").over(by_key), F.col("_from"), ttl_us))
+    opened = chunks.withColumn("_opens", opens).withColumn(f"_sum_{starts}", F.col(f"_sum_{starts}") + F.col("_opens"))
     offsets = opened.select("_key", "_chunk", "_opens", *[
         F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_offset_{out}") for out in sums
     ])
@@ -59,3 +62,9 @@ def running_totals(
     out = {name: F.col(f"_local_{name}") + F.col(f"_offset_{name}") for name in sums}
     out[starts] = out[starts] + F.col("_opens")
     return joined.select(*df.columns, *[column.alias(name) for name, column in out.items()])
+
+
+def last_totals(totals: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], outputs: Sequence[str]) -> DataFrame:
+    """The last row of each key with its running sums, as ``before`` takes it; combined on the map side."""
+    last = F.max_by(F.struct(time, *outputs), F.struct(time, *order)).alias("_last")
+    return totals.groupBy(*keys).agg(last).select(*keys, "_last.*")

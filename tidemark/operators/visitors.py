@@ -12,23 +12,42 @@ from pyspark.sql import functions as F
 from tidemark.functions import clock
 
 
-def repair_new_flag(logs: DataFrame) -> DataFrame:
-    """``logs`` (columns ``mid``, ``is_new``, ``ts``) with ``is_new`` repaired; for bounded tables.
+#: What is remembered of a device: its first log, and the time of its last.
+FIRST_LOG = "mid string, first struct<ts:bigint,is_new:string>, last bigint"
 
-    Only rows that claim to be new are joined, by device and day; the others pass untouched. The first
-    row per device is a partial aggregate, so a hot device is not gathered in one place.
+
+def first_logs(logs: DataFrame) -> DataFrame:
+    """The first log of each device (``first``: time and claim) and the time of its last, from a narrow projection.
+
+    A partial aggregate: a device leaves each map task as one row, however many logs it has.
+    """
+    return logs.select("mid", "ts", "is_new").groupBy("mid").agg(
+        F.min(F.struct("ts", "is_new")).alias("first"), F.max("ts").alias("last"))
+
+
+def with_known(found: DataFrame, known: DataFrame | None) -> DataFrame:
+    """First logs of a micro-batch, as ``known`` has them for devices that were there before."""
+    if known is None:
+        return found
+    before = known.select(F.col("mid").alias("_mid"), F.col("first").alias("_first"))
+    return found.join(before, F.col("mid").eqNullSafe(F.col("_mid")), "left").select("mid", F.coalesce("_first", "first").alias("first"), "last")
+
+
+def repair_new_flag(logs: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """``logs`` (columns ``mid``, ``is_new``, ``ts``) with ``is_new`` repaired.
+
+    Only rows that claim to be new are joined, by device and day; the others pass untouched. ``first`` gives the
+    first logs if they are known from elsewhere, as on a stream.
     """
     claim = F.col("is_new") == "1"
     claims = logs.filter(claim)
     others = logs.filter(~F.coalesce(claim, F.lit(False)))
     time = clock.ms_to_time(F.col("ts"))
-    first = (
-        logs.select(F.col("mid").alias("_mid"), F.col("ts").alias("_ts"), F.col("is_new").alias("_new"))
-        .groupBy("_mid").agg(F.min(F.struct("_ts", "_new")).alias("_first"))
-        .filter(F.col("_first._new") == "1")
-        .select("_mid", F.to_date(clock.ms_to_time(F.col("_first._ts"))).alias("_new_day"))
+    new_on = (
+        (first_logs(logs) if first is None else first).filter(F.col("first.is_new") == "1")
+        .select(F.col("mid").alias("_mid"), F.to_date(clock.ms_to_time(F.col("first.ts"))).alias("_new_day"))
     )
     same = (F.col("mid") == F.col("_mid")) & (F.to_date(time) == F.col("_new_day"))
     flag = F.when(F.col("_mid").isNull(), F.lit("0")).otherwise(F.lit("1"))
-    repaired = claims.join(first, same, "left").withColumn("is_new", flag)
+    repaired = claims.join(new_on, same, "left").withColumn("is_new", flag)
     return repaired.select(*logs.columns).unionByName(others)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import names, schemas
 from tidemark.functions import clock
 from tidemark.operators.lookup import enrich
-from tidemark.operators.marks import first_rows
+from tidemark.operators.marks import Mark, Memory, count_marks, mark_cells
 from tidemark.operators.windows import stamped, sum_parts, tumble
 from tidemark.sources.topics import with_event_time
 
@@ -129,14 +129,20 @@ def review_rates(windows: DataFrame) -> DataFrame:
     )
 
 
-def video_measures(videos: DataFrame, size: str = names.WINDOW) -> DataFrame:
-    """Plays, seconds played and daily viewers per video."""
+VIEWERS = (Mark("userCt", ("uid",), "day_or_idle", VIEWER_IDLE),)
+
+
+def video_cells(videos: DataFrame, size: str = names.WINDOW) -> DataFrame:
+    """Cells of viewers with plays and seconds played."""
     rows = with_event_time(videos, clock.ms_to_time(F.col("ts"))).select(
         "rt", F.col("common.uid").alias("uid"), F.col("appVideo.video_id").alias("video_id"),
-        F.col("appVideo.play_sec").cast("bigint").alias("palySec"), F.lit(1).alias("videoPlayCt"))
-    viewers = first_rows(rows, ["uid"], ["video_id"], reset="day_or_idle", ttl=VIEWER_IDLE, size=size)
-    viewers = viewers.select("rt", "video_id", F.lit(1).alias("userCt"))
-    return sum_parts([rows.drop("uid"), viewers], list(VIDEO_MEASURES), ["video_id"], size)
+        F.col("appVideo.play_sec").cast("bigint").alias("play_sec"))
+    return mark_cells(rows, VIEWERS, ["video_id"], {"videoPlayCt": F.lit(1), "palySec": F.col("play_sec")}, size)
+
+
+def video_windows(cells: DataFrame, size: str = names.WINDOW, memory: Memory | None = None) -> DataFrame:
+    """Plays, seconds played and daily viewers per video."""
+    return count_marks(cells, VIEWERS, ["video_id"], size, memory)
 
 
 def name_chapters(windows: DataFrame, video_dim: DataFrame, chapter_dim: DataFrame,
@@ -151,4 +157,4 @@ def name_chapters(windows: DataFrame, video_dim: DataFrame, chapter_dim: DataFra
 def video_plays(videos: DataFrame, video_dim: DataFrame, chapter_dim: DataFrame, size: str = names.WINDOW,
                 emit_ts: Column | None = None) -> DataFrame:
     """Plays, seconds played and daily viewers per chapter."""
-    return name_chapters(video_measures(videos, size), video_dim, chapter_dim, emit_ts)
+    return name_chapters(video_windows(video_cells(videos, size), size), video_dim, chapter_dim, emit_ts)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemark import names, schemas
 from tidemark.functions import clock, words
 from tidemark.operators.lookup import enrich
-from tidemark.operators.marks import first_rows
-from tidemark.operators.windows import stamped, sum_parts, tumble
+from tidemark.operators.marks import Mark, Memory, count_marks, mark_cells
+from tidemark.operators.windows import stamped, tumble
 from tidemark.sources.topics import with_event_time
 
 IDLE = "1 day"
@@ -32,16 +32,26 @@ def keyword_counts(pages: DataFrame, size: str = names.WINDOW, emit_ts: Column |
                    clock.now_seconds() if emit_ts is None else emit_ts)
 
 
+PAGE_VISITORS = (Mark(None, ("mid", "page_id"), carry=("homeUvCt", "goodDetailUvCt")),)
+
+
+def page_visitor_cells(pages: DataFrame, size: str = names.WINDOW, home: str = names.HOME_PAGE, detail: str = names.DETAIL_PAGE) -> DataFrame:
+    """Cells of the devices on the home page and on the detail page."""
+    seen = _timed(pages).select("rt", F.col("common.mid").alias("mid"), F.col("page.page_id").alias("page_id"))
+    on_home = F.col("page_id") == home
+    seen = seen.filter(F.col("page_id").isin(home, detail)).withColumns({
+        "homeUvCt": F.when(on_home, 1).otherwise(0), "goodDetailUvCt": F.when(on_home, 0).otherwise(1)})
+    return mark_cells(seen, PAGE_VISITORS, size=size)
+
+
+def page_visitor_windows(cells: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None, memory: Memory | None = None) -> DataFrame:
+    return stamped(count_marks(cells, PAGE_VISITORS, (), size, memory), schemas.RESULT_COLUMNS["dws_traffic_page_view_window"], emit_ts)
+
+
 def page_visitors(pages: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None,
                   home: str = names.HOME_PAGE, detail: str = names.DETAIL_PAGE) -> DataFrame:
     """Daily unique devices of the home page and of the detail page."""
-    seen = _timed(pages).select("rt", F.col("common.mid").alias("mid"), F.col("page.page_id").alias("page_id"))
-    firsts = first_rows(seen.filter(F.col("page_id").isin(home, detail)), ["mid", "page_id"], size=size)
-    counted = tumble(firsts, {
-        "homeUvCt": F.sum(F.when(F.col("page_id") == home, 1).otherwise(0)),
-        "goodDetailUvCt": F.sum(F.when(F.col("page_id") == home, 0).otherwise(1)),
-    }, size=size)
-    return stamped(counted, schemas.RESULT_COLUMNS["dws_traffic_page_view_window"], emit_ts)
+    return page_visitor_windows(page_visitor_cells(pages, size, home, detail), size, emit_ts)
 
 
 def _views(pages: DataFrame) -> DataFrame:
@@ -55,19 +65,19 @@ def _views(pages: DataFrame) -> DataFrame:
     )
 
 
-def _visits(views: DataFrame, keys: list[str], measures: list[str], size: str) -> DataFrame:
-    """Devices, sessions and pages per window; first rows are added to the row sums, not joined."""
-    one = F.lit(1)
-    devices = first_rows(views, ["mid"], keys, reset="idle", ttl=IDLE, size=size).withColumn("uvCt", one)
-    opening = ["pageOneCt"] if "pageOneCt" in measures else []
-    sessions = first_rows(views, ["sid"], [*keys, *opening], reset="idle", ttl=IDLE, size=size).withColumn("svCt", one)
-    rows = views.select("rt", *keys, *[m for m in measures if m in ("pageCt", "durSum")])
-    return sum_parts([rows, devices, sessions], measures, keys, size)
+_DEVICES = Mark("uvCt", ("mid",), "idle", IDLE)
+VISITS = (_DEVICES, Mark("svCt", ("sid",), "idle", IDLE, ("pageOneCt",)))
+PLAIN_VISITS = (_DEVICES, Mark("svCt", ("sid",), "idle", IDLE))
+
 
+def source_cells(pages: DataFrame, size: str = names.WINDOW, by: str = "sc") -> DataFrame:
+    """Cells of devices and sessions with pages and time spent, by traffic source (or another column)."""
+    return mark_cells(_views(pages), VISITS, [by], {"pageCt": F.col("pageCt"), "durSum": F.col("durSum")}, size)
 
-def source_measures(pages: DataFrame, size: str = names.WINDOW) -> DataFrame:
+
+def source_windows(cells: DataFrame, size: str = names.WINDOW, memory: Memory | None = None, by: str = "sc") -> DataFrame:
     """Visitors, sessions, pages, single-page sessions and time spent per traffic source id."""
-    return _visits(_views(pages), ["sc"], ["uvCt", "svCt", "pageCt", "pageOneCt", "durSum"], size)
+    return count_marks(cells, VISITS, [by], size, memory)
 
 
 def name_sources(windows: DataFrame, sources: DataFrame, emit_ts: Column | None = None) -> DataFrame:
@@ -77,17 +87,24 @@ def name_sources(windows: DataFrame, sources: DataFrame, emit_ts: Column | None
 
 def by_source(pages: DataFrame, sources: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None) -> DataFrame:
     """The measures of every traffic source under its name."""
-    return name_sources(source_measures(pages, size), sources, emit_ts)
+    return name_sources(source_windows(source_cells(pages, size), size), sources, emit_ts)
+
+
+def time_cells(pages: DataFrame, size: str = names.WINDOW) -> DataFrame:
+    """Cells of devices and sessions with pages."""
+    return mark_cells(_views(pages), PLAIN_VISITS, (), {"pageCt": F.col("pageCt")}, size)
+
+
+def time_windows(cells: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None, memory: Memory | None = None) -> DataFrame:
+    return stamped(count_marks(cells, PLAIN_VISITS, (), size, memory), schemas.RESULT_COLUMNS["dws_traffic_time_window"], emit_ts)
 
 
 def by_time(pages: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None) -> DataFrame:
     """Visitors, sessions and pages per window."""
-    summed = _visits(_views(pages), [], ["uvCt", "svCt", "pageCt"], size)
-    return stamped(summed, schemas.RESULT_COLUMNS["dws_traffic_time_window"], emit_ts)
+    return time_windows(time_cells(pages, size), size, emit_ts)
 
 
 def by_visitor_kind(pages: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None) -> DataFrame:
     """The measures of ``by_source`` split by the new-visitor flag."""
-    measures = ["uvCt", "svCt", "pageCt", "pageOneCt", "durSum"]
-    summed = _visits(_views(pages), ["is_new"], measures, size)
-    return stamped(summed, ("stt", "edt", "is_new", *measures, "ts"), emit_ts)
+    windows = source_windows(source_cells(pages, size, "is_new"), size, by="is_new")
+    return stamped(windows, ("stt", "edt", "is_new", "uvCt", "svCt", "pageCt", "pageOneCt", "durSum", "ts"), emit_ts)

@@ -21,7 +21,7 @@ def sink_row(df: DataFrame, table: str) -> DataFrame:
 
 
 class ResultTable:
-    """Parquet table under ``folder``, split by batch and by the day of ``stt``.
+    """Parquet table under ``folder``, split by batch; a batch covers little time, so files are skipped by their range of ``stt``.
 
     A repeated batch replaces itself, so a restarted stream leaves no doubles; ``run`` tells the batches of
     one checkpoint from those of another. Nothing is rewritten on append; ``read`` resolves versions, and
@@ -34,21 +34,20 @@ class ResultTable:
         self.keys = schemas.RESULT_KEYS[table]
 
     def append(self, df: DataFrame, batch_id: int = 0, run: str = TABLE_RUN) -> None:
-        rows = sink_row(df, self.table).withColumn("day", F.substring("stt", 1, 10))
-        rows.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/{batch_folder(run, batch_id)}")
+        sink_row(df, self.table).write.mode("overwrite").parquet(f"{self.path}/{batch_folder(run, batch_id)}")
 
     def versions(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
 
     def read(self, spark: SparkSession, day: str | None = None) -> DataFrame:
-        """Current rows; with ``day`` only that day's folders are read."""
+        """Current rows; with ``day`` those whose window starts on it."""
         rows = self.versions(spark)
         if day is not None:
-            rows = rows.filter(F.col("day") == F.lit(day).cast(rows.schema["day"].dataType))
+            rows = rows.filter(F.col("stt").startswith(day))
         if self.table in schemas.KEYED_BY_NAME:
             return self._last_batch(rows).select(*schemas.RESULT_COLUMNS[self.table])
         values = [c for c in schemas.RESULT_COLUMNS[self.table] if c not in self.keys and c != "ts"]
-        current = latest_by_key(rows.drop("day", "run"), self.keys, ["ts", "batch_id", *values])
+        current = latest_by_key(rows.drop("run"), self.keys, ["ts", "batch_id", *values])
         return current.select(*schemas.RESULT_COLUMNS[self.table])
 
     def _last_batch(self, rows: DataFrame) -> DataFrame:

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark import names, schemas
-from tidemark.functions import documents
-from tidemark.operators import routing
+from tidemark.functions import clock, documents
+from tidemark.operators import routing, visitors
 from tidemark.operators.logsplit import split_logs
 from tidemark.plans import facts, study, trade, traffic, users
 from tidemark.session import shared_folder
@@ -22,8 +24,8 @@ from tidemark.sinks.batches import run_of
 from tidemark.sinks.dims import DimStore
 from tidemark.sinks.results import ResultTable
 from tidemark.sinks.topics import TopicWriter, json_records
-from tidemark.sources.topics import TopicReader, change_rows, log_rows, page_rows
-from tidemark.streaming.newflag import repaired_log_stream
+from tidemark.sources.topics import TopicReader, change_rows, log_records, log_rows, page_rows
+from tidemark.streaming.state import BatchMemory, Versions
 
 # Reads a dimension by name with the columns wanted.
 DimReader = Callable[[str, tuple[str, ...]], DataFrame]
@@ -46,50 +48,67 @@ def _rows(schema: str) -> Callable[[DataFrame], DataFrame]:
     return lambda values: documents.parse(values, schema)
 
 
+def _as_they_are(windows: DataFrame, dims: DimReader, memory: BatchMemory) -> DataFrame:
+    return windows
+
+
 @dataclass(frozen=True)
 class MeasureJob:
-    """``measures`` runs on the stream; ``finish`` runs per micro-batch and reads dimensions afresh.
-
-    Both by default pass rows on; ``static_dims`` are joined inside the stream and read at its start.
-    """
+    """``cells`` runs on the stream and is its only stateful operator: rows of closed windows, complete. ``results`` turns
+    those of a micro-batch into rows of ``table``, with the dimensions as they are then and what earlier ones left in
+    ``memory``."""
 
     topic: str
     table: str
     parse: Callable[[DataFrame], DataFrame]
-    measures: Callable[..., DataFrame]
-    finish: Callable[[DataFrame, DimReader], DataFrame] = lambda windows, dims: windows
-    static_dims: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    cells: Callable[[DataFrame], DataFrame]
+    results: Callable[..., DataFrame] = _as_they_are
+
+
+def _marked(windows: Callable[..., DataFrame], **fixed) -> Callable[..., DataFrame]:
+    """Results that need no dimension."""
+    return lambda cells, dims, memory, **options: windows(cells, memory=memory, **fixed, **options)
 
 
 MEASURE_JOBS = {
     "keyword_counts": MeasureJob(names.PAGE_TOPIC, "dws_traffic_keyword_page_view_window", page_rows,
                                  traffic.keyword_counts),
-    "page_visitors": MeasureJob(names.PAGE_TOPIC, "dws_traffic_page_view_window", log_rows, traffic.page_visitors),
-    "traffic_by_source": MeasureJob(names.PAGE_TOPIC, "dws_traffic_source_window", log_rows, traffic.source_measures,
-                                    lambda w, dims: traffic.name_sources(w, dims(*SOURCE_DIM))),
-    "traffic_by_time": MeasureJob(names.PAGE_TOPIC, "dws_traffic_time_window", log_rows, traffic.by_time),
-    "user_logins": MeasureJob(names.PAGE_TOPIC, "dws_user_user_login_window", log_rows, users.logins),
+    "page_visitors": MeasureJob(names.PAGE_TOPIC, "dws_traffic_page_view_window", log_rows, traffic.page_visitor_cells,
+                                _marked(traffic.page_visitor_windows)),
+    "traffic_by_source": MeasureJob(names.PAGE_TOPIC, "dws_traffic_source_window", log_rows, traffic.source_cells,
+                                    lambda c, dims, memory: traffic.name_sources(traffic.source_windows(c, memory=memory), dims(*SOURCE_DIM))),
+    "traffic_by_time": MeasureJob(names.PAGE_TOPIC, "dws_traffic_time_window", log_rows, traffic.time_cells,
+                                  _marked(traffic.time_windows)),
+    "user_logins": MeasureJob(names.PAGE_TOPIC, "dws_user_user_login_window", log_rows, users.login_cells,
+                              _marked(users.login_windows)),
     "user_registrations": MeasureJob(names.USER_REGISTER_TOPIC, "dws_user_user_register_window",
                                      _rows("create_time string"), users.registrations),
     "cart_users": MeasureJob(names.CART_ADD_TOPIC, "dws_trade_cart_add_uu_window",
-                             _rows(schemas.strings(schemas.FACT_KEYS["cart_info"])), trade.cart_users),
-    "order_users": MeasureJob(names.ORDER_DETAIL_TOPIC, "dws_trade_order_window", _rows(_DETAIL), trade.order_users),
+                             _rows(schemas.strings(schemas.FACT_KEYS["cart_info"])), partial(trade.user_cells, trade.CART_USERS),
+                             _marked(trade.cart_user_windows)),
+    "order_users": MeasureJob(names.ORDER_DETAIL_TOPIC, "dws_trade_order_window", _rows(_DETAIL),
+                              partial(trade.user_cells, trade.ORDER_USERS), _marked(trade.order_user_windows)),
     "order_totals": MeasureJob(names.ORDER_DETAIL_TOPIC, "dws_trade_order_count_window", _rows(_DETAIL),
-                               trade.order_totals),
+                               trade.order_cells, _marked(trade.order_total_windows)),
+    "order_totals_by_user": MeasureJob(names.ORDER_DETAIL_TOPIC, "dws_trade_order_count_window", _rows(_DETAIL),
+                                       partial(trade.order_cells, by_user=True), _marked(trade.order_total_windows, by_user=True)),
     "orders_by_province": MeasureJob(names.ORDER_DETAIL_TOPIC, "dws_trade_province_order_window", _rows(_DETAIL),
-                                     trade.province_measures,
-                                     lambda w, dims: trade.name_provinces(w, dims(*PROVINCE_DIM))),
-    "orders_by_course_subject": MeasureJob(names.ORDER_DETAIL_TOPIC, "dws_trade_course_subject_order_window",
-                                           _rows(_DETAIL), trade.by_course_and_subject,
-                                           static_dims=(COURSE_DIM, SUBJECT_DIM)),
+                                     partial(trade.line_cells, trade.LINES),
+                                     lambda c, dims, memory: trade.name_provinces(trade.province_windows(c, memory=memory), dims(*PROVINCE_DIM))),
+    "orders_by_course_subject": MeasureJob(names.ORDER_DETAIL_TOPIC, "dws_trade_course_subject_order_window", _rows(_DETAIL),
+                                           partial(trade.line_cells, trade.COURSE_LINES),
+                                           lambda c, dims, memory: trade.course_windows(c, dims(*COURSE_DIM), dims(*SUBJECT_DIM), memory=memory)),
+    "orders_by_course_subject_per_detail": MeasureJob(
+        names.ORDER_DETAIL_TOPIC, "dws_trade_course_subject_order_window", _rows(_DETAIL), partial(trade.line_cells, trade.DETAIL_LINES),
+        lambda c, dims, memory: trade.course_windows(c, dims(*COURSE_DIM), dims(*SUBJECT_DIM), per_detail=True, memory=memory)),
     "papers_by_course": MeasureJob(names.TEST_PAPER_TOPIC, "dws_test_paper_course_window", _rows(_PAPER),
                                    study.paper_measures,
-                                   lambda w, dims: study.name_papers(w, dims(*COURSE_DIM))),
+                                   lambda w, dims, memory: study.name_papers(w, dims(*COURSE_DIM))),
     "course_reviews": MeasureJob(names.REVIEW_ADD_TOPIC, "dws_course_user_review_window", _rows(_REVIEW),
                                  study.review_measures,
-                                 lambda w, dims: study.name_reviews(w, dims(*COURSE_DIM))),
-    "video_plays": MeasureJob(names.VIDEO_TOPIC, "dws_video_info_window", log_rows, study.video_measures,
-                              lambda w, dims: study.name_chapters(w, dims(*VIDEO_DIM), dims(*CHAPTER_DIM))),
+                                 lambda w, dims, memory: study.name_reviews(w, dims(*COURSE_DIM))),
+    "video_plays": MeasureJob(names.VIDEO_TOPIC, "dws_video_info_window", log_rows, study.video_cells,
+                              lambda c, dims, memory: study.name_chapters(study.video_windows(c, memory=memory), dims(*VIDEO_DIM), dims(*CHAPTER_DIM))),
 }
 
 
@@ -97,17 +116,30 @@ def start_measures(spark: SparkSession, name: str, reader: TopicReader, dims: Di
                    checkpoints: str | None = None, available_now: bool = False, **options) -> StreamingQuery:
     """Start one window job into its result table.
 
-    ``options`` go to the job's plan, as ``retention`` for the logins, which else remember a user for ever.
+    ``options`` go to the job's results, as ``retention`` for the logins, which else remember a user for ever.
     """
     job = MEASURE_JOBS[name]
     rows = job.parse(reader.stream(spark, job.topic, f"{name}_group"))
-    windows = job.measures(rows, *[dims(*d) for d in job.static_dims], **options)
     table = ResultTable(results, job.table)
+    state = f"{_folder(spark, checkpoints)}/{name}-state"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.append(job.finish(batch, dims), batch_id, run_of(batch))
+        run = run_of(batch)
+        if "role" not in batch.columns:  # plain windows: nothing is read twice
+            table.append(job.results(batch, dims, None, **options), batch_id, run)
+            return
+        # Several actions read the cells; unpersisted, the stream's own state would be run again for each.
+        cells = batch.persist()
+        try:
+            low = cells.agg(F.unix_micros(F.min("first.at")).alias("low")).first()["low"]
+            if low is not None:
+                memory = BatchMemory(state, run, batch_id, batch.sparkSession, low)
+                table.append(job.results(cells, dims, memory, **options), batch_id, run)
+                memory.commit()
+        finally:
+            cells.unpersist()
 
-    return _start(windows, write, checkpoints, name, available_now)
+    return _start(job.cells(rows), write, checkpoints, name, available_now)
 
 
 # Fact job: topic, plan over the change topic, key of the record (none for plain appends).
@@ -167,24 +199,49 @@ def start_routing(spark: SparkSession, reader: TopicReader, writer: TopicWriter,
 
 
 def start_log_split(spark: SparkSession, reader: TopicReader, writer: TopicWriter, checkpoints: str | None = None,
-                    available_now: bool = False) -> StreamingQuery:
-    """Start the repair and split of the log topic into its six branch topics."""
-    logs = repaired_log_stream(reader.stream(spark, names.LOG_TOPIC, "log_split_group"))
+                    available_now: bool = False, retention: str | None = None) -> StreamingQuery:
+    """Start the repair and split of the log topic into its six branch topics.
+
+    A device is remembered by its first log, for ``retention`` after its last one if that is given, else for ever.
+    """
+    values = reader.stream(spark, names.LOG_TOPIC, "log_split_group")
+    state = f"{_folder(spark, checkpoints)}/log_split-state"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
+        run = run_of(batch)
+        logs, found, repaired = log_records(batch).persist(), None, None
+        devices = Versions(f"{state}/devices", run, visitors.FIRST_LOG, ("mid",))
         try:
-            for topic, values in split_logs(kept).items():
-                writer.write_batch(values, topic, batch_id, run_of(batch))
+            found = visitors.first_logs(logs).persist()
+            low = found.agg(F.min("first.ts")).first()[0]
+            alive = F.lit(True)
+            if retention and low is not None:
+                alive = F.col("last") >= low - clock.duration_us(retention) // 1000
+            known = devices.latest(batch.sparkSession, batch_id, found)
+            if known is not None:
+                known = known.where(alive)
+            first = visitors.with_known(found, known)
+            repaired = visitors.repair_new_flag(logs, first).persist()
+            for topic, records in split_logs(repaired).items():
+                writer.write_batch(records, topic, batch_id, run)
+            if not retention and known is not None:  # first logs never change: only those of new devices are written
+                first = first.join(known.select(F.col("mid").alias("_old")), F.col("mid").eqNullSafe(F.col("_old")), "left_anti")
+            devices.commit(first, batch_id, lambda rows: rows.where(alive))
         finally:
-            kept.unpersist()
+            for held in (logs, found, repaired):
+                if held is not None:
+                    held.unpersist()
+
+    return _start(values, write, checkpoints, "log_split", available_now)
+
 
-    return _start(logs, write, checkpoints, "log_split", available_now)
+def _folder(spark: SparkSession, checkpoints: str | None) -> str:
+    return checkpoints or f"{shared_folder(spark)}/tidemark"
 
 
 def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoints: str | None, name: str,
            available_now: bool) -> StreamingQuery:
-    folder = checkpoints or f"{shared_folder(df.sparkSession)}/tidemark"
+    folder = _folder(df.sparkSession, checkpoints)
     writer = df.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/{name}").foreachBatch(write)
     if available_now:
         writer = writer.trigger(availableNow=True)
