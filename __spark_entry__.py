@@ -87,14 +87,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # facts from the change log
         "cart_add_facts": _rows(lambda t: facts.cart_adds(t.event_changes("cart_info"), DATABASE).drop("pt")),
         "order_detail_facts": _rows(lambda t: facts.order_details(
-            t.order_detail_changes().unionByName(t.order_info_changes()), DATABASE)),
+            t.change_log(t.order_detail_changes(), t.order_info_changes()), DATABASE)),
         "paid_detail_facts": _rows(lambda t: facts.paid_details(
-            t.order_detail_changes().unionByName(t.payment_changes()), DATABASE)),
-        "exam_facts": _rows(lambda t: facts.exams(t.exam_changes().unionByName(t.exam_question_changes()), DATABASE)),
+            t.change_log(t.order_detail_changes(), t.payment_changes()), DATABASE)),
+        "exam_facts": _rows(lambda t: facts.exams(t.change_log(t.exam_changes(), t.exam_question_changes()), DATABASE)),
         "exam_upserts": _rows(lambda t: facts.upserted(
-            facts.exams(t.exam_changes().unionByName(t.exam_question_changes()), DATABASE))),
+            facts.exams(t.change_log(t.exam_changes(), t.exam_question_changes()), DATABASE))),
         "exam_question_facts": _rows(lambda t: facts.exam_questions(
-            t.exam_changes().unionByName(t.exam_question_changes()), DATABASE)),
+            t.change_log(t.exam_changes(), t.exam_question_changes()), DATABASE)),
         "test_paper_facts": _rows(lambda t: facts.test_papers(t.exam_changes(), DATABASE, t.test_papers())),
         "course_review_facts": _rows(lambda t: facts.course_reviews(t.event_changes("review_info"), DATABASE)),
         "chapter_comment_facts": _rows(lambda t: facts.chapter_comments(t.event_changes("comment_info"), DATABASE)),

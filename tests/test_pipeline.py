@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemark import names, schemas
@@ -15,12 +16,14 @@ from tidemark.operators.logsplit import split_logs
 from tidemark.operators.lookup import enrich
 from tidemark.operators.visitors import repair_new_flag
 from tidemark.plans import facts, study, traffic
+from tidemark.sinks.changes import ChangeLog
 from tidemark.sinks.dims import DimStore, dim_schema
 from tidemark.sinks.results import ResultTable
 from tidemark.sinks.topics import TopicWriter, json_records
 from tidemark.sources.tables import config_feed, config_snapshot
 from tidemark.sources.topics import TopicReader, change_rows, log_records, log_rows, page_maps
 from tidemark.streaming import jobs
+from tidemark.streaming.drops import DropCounter
 
 
 def values(spark, rows):
@@ -140,7 +143,7 @@ FACT_ROWS = [
 
 @pytest.mark.parametrize("name", sorted(jobs.FACT_JOBS))
 def test_fact_stream_equals_batch(spark, tmp_path, name):
-    topic, plan, _ = jobs.FACT_JOBS[name]
+    topic, plan, _, _ = jobs.FACT_JOBS[name]
     folder = str(tmp_path / "topics")
     values(spark, [r for r in FACT_ROWS if r]).coalesce(1).write.text(f"{folder}/{names.CHANGE_TOPIC}")
     reader, writer = TopicReader(folder=folder), TopicWriter(folder=folder)
@@ -155,6 +158,60 @@ def test_fact_stream_equals_batch(spark, tmp_path, name):
     assert want and sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_change_log_is_parsed_once_and_read_by_table(spark, tmp_path):
+    topics, log = str(tmp_path / "topics"), ChangeLog(str(tmp_path / "log"))
+    values(spark, [r for r in FACT_ROWS if r]).coalesce(1).write.text(f"{topics}/{names.CHANGE_TOPIC}")
+    reader, writer = TopicReader(folder=topics), TopicWriter(folder=str(tmp_path / "out"))
+    assert log.rows(spark).count() == 0
+    query = jobs.start_change_log(spark, reader, log, str(tmp_path / "ck"), available_now=True)
+    assert query.awaitTermination(120) and query.exception() is None
+    assert log.rows(spark).count() == len(FACT_ROWS) - 1
+    plan = facts.order_details(log.rows(spark), "edu")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in text and text.count("table#") and text.count("PartitionFilters: [isnotnull(table") == 2
+    assert [r.id for r in plan.collect()] == ["1", "2"]
+    query = jobs.start_facts(spark, "order_details", log, writer, "edu", str(tmp_path / "ck"), available_now=True)
+    assert query.awaitTermination(120) and query.exception() is None
+    got = [json.loads(r.value) for r in TopicReader(folder=str(tmp_path / "out")).table(spark, names.ORDER_DETAIL_TOPIC).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, (json.loads(r.value) for r in json_records(plan).collect())))
+    # A batch that is repeated leaves its files as they are.
+    before = sorted(str(f) for f in (tmp_path / "log").rglob("*.parquet"))
+    run = next((tmp_path / "log").iterdir()).name.partition("=")[2]
+    log.append(values(spark, [FACT_ROWS[0]]), 0, run)
+    assert sorted(str(f) for f in (tmp_path / "log").rglob("*.parquet")) == before
+
+
+def test_rows_that_are_left_out_are_counted(spark, tmp_path):
+    def lines(*ids_orders, ts):
+        return [change("order_detail", {"id": i, "order_id": o}, ts=ts) for i, o in ids_orders]
+
+    def orders(*ids, ts):
+        return [change("order_info", {"id": i}, ts=ts) for i in ids]
+
+    batches = [lines((1, 7), (2, 8), (3, 9), (4, None), ts=1000) + orders(7, 20, 21, ts=1010), orders(8, ts=1020),
+               lines((5, 50), ts=100_000) + orders(50, ts=100_000), lines((6, 60), ts=200_000) + orders(61, ts=200_000)]
+    folder = str(tmp_path / "topics")
+    for i, rows in enumerate(batches):
+        values(spark, rows).coalesce(1).write.text(f"{folder}/{names.CHANGE_TOPIC}/part={i}")
+    drops = DropCounter()
+    spark.streams.addListener(drops)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        query = jobs.start_facts(spark, "order_details", TopicReader(folder=folder, options={"maxFilesPerTrigger": "1"}), TopicWriter(folder=str(tmp_path / "out")),
+                                 "edu", str(tmp_path / "ck"), available_now=True)
+        assert query.awaitTermination(180) and query.exception() is None
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(drops)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    got = drops.counts[str(query.id)]
+    # The last line and order may yet find a partner.
+    assert (got["matched"], got["unmatched_left"], got["unmatched_right"]) == (3, 2, 2)
+    table = facts.order_details(values(spark, [r for rows in batches for r in rows]), "edu", counted="counted")
+    seen = Observation("table")
+    assert table.observe(seen, F.count(F.lit(1)).alias("n")).count() == 3 and seen.get["n"] == 3
+
+
 # --- routing ---
 
 def config(source, kind, sink, columns, type=None, pk=None):

@@ -11,6 +11,7 @@ from tidemark.sinks.results import ResultTable, sink_row
 from tidemark.sinks.topics import json_records
 from tidemark.sources.topics import TopicReader
 from tidemark.streaming import jobs
+from tidemark.streaming.drops import DropCounter
 
 FOLDER = "/root/testdata/sf0.001"
 FAR_MS, FAR_TEXT = 4_000_000_000_000, "2096-10-02 07:06:40"
@@ -127,3 +128,30 @@ def test_logins_forget_users_after_the_retention(spark, tmp_path):
     assert query.awaitTermination(120) and query.exception() is None
     got = ResultTable(str(tmp_path / "out"), "dws_user_user_login_window").read(spark).collect()
     assert {r.stt[:10]: (r.uuCt, r.backCt) for r in got}["1970-01-21"] == (1, 0)  # a was away for 19 days, but is forgotten
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    write_rows(spark, str(tmp_path), names.USER_REGISTER_TOPIC, *[[f'{{"create_time": "2024-01-01 {t}"}}'] for t in ("00:01:00", "00:01:01", "00:00:09", "10:00:00")])
+    reader, drops = TopicReader(folder=str(tmp_path), options={"maxFilesPerTrigger": "1"}), DropCounter()
+    spark.streams.addListener(drops)
+    try:
+        query = jobs.start_measures(spark, "user_registrations", reader, None, str(tmp_path / "out"), str(tmp_path / "ck"), True)
+        assert query.awaitTermination(120) and query.exception() is None
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(drops)
+    assert drops.counts[str(query.id)]["late"] == 1
+
+
+def test_repeated_records_are_counted_once(spark, tmp_path):
+    def line(i, second):
+        return f'{{"id": "{i}", "order_id": "o{i}", "user_id": "u", "final_amount": "2", "create_time": "2024-01-01 00:00:{second:02}"}}'
+
+    write_rows(spark, str(tmp_path), names.ORDER_DETAIL_TOPIC, [line(1, 1), line(1, 1), line(2, 2)], [line(1, 1), line(3, 3), line(3, 4)],
+               ['{"id": "far", "order_id": "far", "user_id": "u", "final_amount": "0", "create_time": "2096-01-01 00:00:00"}'])
+    reader = TopicReader(folder=str(tmp_path), options={"maxFilesPerTrigger": "1"})
+    for name, options, lines in (("plain", {}, 6), ("once", {"unique": ("id",)}, 4)):
+        query = jobs.start_measures(spark, "order_totals", reader, None, str(tmp_path / name), str(tmp_path / f"{name}-ck"), True, **options)
+        assert query.awaitTermination(120) and query.exception() is None
+        [row] = [r for r in ResultTable(str(tmp_path / name), "dws_trade_order_count_window").read(spark).collect() if r.stt < "2096"]
+        assert (row.orderCount, row.userCount, float(row.totalAmount)) == (lines, 3, 2.0 * lines)

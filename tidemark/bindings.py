@@ -7,12 +7,16 @@ application log, exams, reviews and videos, ``documents`` the searched text; ``p
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.functions import clock
+from tidemark.session import scratch_folder
+from tidemark.sinks.changes import ChangeLog
 from tidemark.sources.topics import change_rows, log_records
 
 DATABASE = "edu"
@@ -181,6 +185,11 @@ class Tables:
             F.struct(*[column.alias(name) for name, column in data.items()]).alias("data"),
         )))
 
+    def change_log(self, *parts: DataFrame) -> DataFrame:
+        """Change text of several tables as one topic, parsed once and read by table."""
+        values = reduce(DataFrame.unionByName, parts)
+        return ChangeLog(scratch_folder(self.spark)).append(values).rows(self.spark)
+
     def order_info_changes(self) -> DataFrame:
         return self._changes(self.read("orders"), "order_info", F.col("o_custkey"), {
             "id": F.col("o_orderkey"), "user_id": F.col("o_custkey"),

@@ -40,11 +40,11 @@ def cart_adds(changes: DataFrame, database: str) -> DataFrame:
     return inserted(changes, database, "cart_info", None, "pt")
 
 
-def order_details(changes: DataFrame, database: str, retention: str = names.JOIN_RETENTION) -> DataFrame:
+def order_details(changes: DataFrame, database: str, retention: str = names.JOIN_RETENTION, counted: str | None = None) -> DataFrame:
     """Order lines with their order."""
     lines = _timed(changes, database, "order_detail")
     orders = _timed(changes, database, "order_info")
-    return change_join(lines, orders, "order_id", "id", retention).select(
+    return change_join(lines, orders, "order_id", "id", retention, counted).select(
         "id", "course_id", "course_name", "order_id", "user_id", "coupon_reduce", "final_amount", "create_time",
         F.col("r_origin_amount").alias("origin_amount"), F.col("r_order_status").alias("order_status"),
         F.col("r_trade_body").alias("trade_body"), F.col("r_session_id").alias("session_id"),
@@ -52,12 +52,12 @@ def order_details(changes: DataFrame, database: str, retention: str = names.JOIN
     )
 
 
-def paid_details(changes: DataFrame, database: str, retention: str = names.JOIN_RETENTION) -> DataFrame:
+def paid_details(changes: DataFrame, database: str, retention: str = names.JOIN_RETENTION, counted: str | None = None) -> DataFrame:
     """Order lines with their successful payment."""
     lines = _timed(changes, database, "order_detail")
     done = documents.text_of(F.col("data"), "payment_status") == names.PAYMENT_DONE
     payments = _timed(changes, database, "payment_info", done)
-    return change_join(lines, payments, "order_id", "order_id", retention).select(
+    return change_join(lines, payments, "order_id", "order_id", retention, counted).select(
         "id", "course_id", "course_name", "order_id", "user_id", "origin_amount", "coupon_reduce", "final_amount",
         "create_time", "update_time", F.col("r_total_amount").alias("total_amount"),
         F.col("r_trade_body").alias("trade_body"), F.col("r_payment_type").alias("payment_type"),
@@ -66,11 +66,11 @@ def paid_details(changes: DataFrame, database: str, retention: str = names.JOIN_
     )
 
 
-def exams(changes: DataFrame, database: str, retention: str = names.JOIN_RETENTION) -> DataFrame:
+def exams(changes: DataFrame, database: str, retention: str = names.JOIN_RETENTION, counted: str | None = None) -> DataFrame:
     """Finished exams, one row per answered question."""
     taken = _timed(changes, database, "test_exam")
     answers = _timed(changes, database, "test_exam_question")
-    return change_join(taken, answers, "id", "exam_id", retention).select(
+    return change_join(taken, answers, "id", "exam_id", retention, counted).select(
         "id", "paper_id", "user_id", "score", "duration_sec", "create_time", "submit_time",
         F.col("r_question_id").alias("question_id"), F.col("r_answer").alias("answer"),
         F.col("r_is_correct").alias("is_correct"),
@@ -83,11 +83,11 @@ def upserted(facts: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     return latest_by_key(facts, keys, ["create_time", *[c for c in rest if c != "create_time"]])
 
 
-def exam_questions(changes: DataFrame, database: str, retention: str = names.SHORT_JOIN_RETENTION) -> DataFrame:
+def exam_questions(changes: DataFrame, database: str, retention: str = names.SHORT_JOIN_RETENTION, counted: str | None = None) -> DataFrame:
     """Answered questions with the score and duration of their exam."""
     answers = _timed(changes, database, "test_exam_question")
     taken = _timed(changes, database, "test_exam")
-    return change_join(answers, taken, "exam_id", "id", retention).select(
+    return change_join(answers, taken, "exam_id", "id", retention, counted).select(
         "id", "exam_id", "paper_id", "question_id", "user_id", "answer", "is_correct",
         F.col("score").alias("question_score"), F.col("r_score").alias("paper_score"),
         F.col("r_duration_sec").alias("duration_sec"), F.col("r_create_time").alias("create_time"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Static or cluster-wide settings; a cluster sets executors, memory and spark.checkpoint.dir itself.
@@ -38,6 +41,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one; in local mode without one, a temporary folder."""
+    if spark.sparkContext.master.startswith("local[") and not spark.conf.get("spark.checkpoint.dir", None):
+        return tempfile.mkdtemp(prefix="tidemark-")
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

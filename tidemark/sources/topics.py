@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import names, schemas
@@ -91,7 +92,24 @@ def page_rows(values: DataFrame) -> DataFrame:
     return documents.parse(values, schemas.PAGE_MAPS).withColumn("ts", documents.whole_number(F.col("ts")))
 
 
-def with_event_time(rows: DataFrame, time, lateness: str = names.LATENESS) -> DataFrame:
-    """Add the event time ``rt``; on a stream also the bound on out-of-order rows."""
+def with_event_time(rows: DataFrame, time: Column, lateness: str = names.LATENESS) -> DataFrame:
+    """Add the event time ``rt``, unless rows have it; on a stream also the bound on out-of-order rows."""
+    if "rt" in rows.columns:
+        return rows
     timed = rows.withColumn("rt", time.cast("timestamp"))
     return timed.withWatermark("rt", lateness) if rows.isStreaming else timed
+
+
+def event_time(rows: DataFrame) -> Column:
+    """The event time of parsed records: ``ts`` in milliseconds, else ``create_time``."""
+    return clock.ms_to_time(F.col("ts")) if "ts" in rows.columns else clock.text_to_time(F.col("create_time"))
+
+
+def once(rows: DataFrame, unique: Sequence[str]) -> DataFrame:
+    """Records without their repeats: the first of equal event time and ``unique`` columns stays. On a stream a record is
+    remembered as long as a repeat can come in time. Records without an event time go."""
+    timed = with_event_time(rows, event_time(rows)).filter(F.col("rt").isNotNull())
+    keys = {f"_u{i}": F.col(c) for i, c in enumerate(unique)}
+    keyed = timed.withColumns(keys)
+    kept = keyed.dropDuplicatesWithinWatermark([*keys, "rt"]) if rows.isStreaming else keyed.dropDuplicates([*keys, "rt"])
+    return kept.drop(*keys)

@@ -6,7 +6,7 @@ by default in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import partial
 
@@ -21,10 +21,11 @@ from tidemark.operators.logsplit import split_logs
 from tidemark.plans import facts, study, trade, traffic, users
 from tidemark.session import shared_folder
 from tidemark.sinks.batches import run_of
+from tidemark.sinks.changes import ChangeLog
 from tidemark.sinks.dims import DimStore
 from tidemark.sinks.results import ResultTable
 from tidemark.sinks.topics import TopicWriter, json_records
-from tidemark.sources.topics import TopicReader, change_rows, log_records, log_rows, page_rows
+from tidemark.sources.topics import TopicReader, change_rows, log_records, log_rows, once, page_rows
 from tidemark.streaming.state import BatchMemory, Versions
 
 # Reads a dimension by name with the columns wanted.
@@ -113,13 +114,17 @@ MEASURE_JOBS = {
 
 
 def start_measures(spark: SparkSession, name: str, reader: TopicReader, dims: DimReader, results: str,
-                   checkpoints: str | None = None, available_now: bool = False, **options) -> StreamingQuery:
+                   checkpoints: str | None = None, available_now: bool = False, unique: Sequence[str] = (), **options) -> StreamingQuery:
     """Start one window job into its result table.
 
+    ``unique`` names columns (as ``id``, or ``common.mid``) by which records that a topic holds more than once, as one
+    written again after a failure, are counted once; repeats must not be later than the bound on lateness.
     ``options`` go to the job's results, as ``retention`` for the logins, which else remember a user for ever.
     """
     job = MEASURE_JOBS[name]
     rows = job.parse(reader.stream(spark, job.topic, f"{name}_group"))
+    if unique:
+        rows = once(rows, unique)
     table = ResultTable(results, job.table)
     state = f"{_folder(spark, checkpoints)}/{name}-state"
 
@@ -142,27 +147,38 @@ def start_measures(spark: SparkSession, name: str, reader: TopicReader, dims: Di
     return _start(job.cells(rows), write, checkpoints, name, available_now)
 
 
-# Fact job: topic, plan over the change topic, key of the record (none for plain appends).
+def start_change_log(spark: SparkSession, reader: TopicReader, log: ChangeLog, checkpoints: str | None = None,
+                     available_now: bool = False) -> StreamingQuery:
+    """Start the job that parses the change topic once and keeps it by table, for any number of fact jobs."""
+    return _start(reader.stream(spark, names.CHANGE_TOPIC, "change_log_group"),
+                  lambda batch, batch_id: log.append(batch, batch_id, run_of(batch)) and None, checkpoints, "change_log", available_now)
+
+
+# Fact job: topic, plan over the change topic, key of the record (none for plain appends), tables it reads.
 FACT_JOBS = {
-    "cart_adds": (names.CART_ADD_TOPIC, facts.cart_adds, ()),
-    "order_details": (names.ORDER_DETAIL_TOPIC, facts.order_details, ("id",)),
-    "paid_details": (names.PAY_DETAIL_TOPIC, facts.paid_details, ("id",)),
-    "exams": (names.EXAM_TOPIC, facts.exams, ("id",)),
-    "exam_questions": (names.EXAM_QUESTION_TOPIC, facts.exam_questions, ()),
-    "course_reviews": (names.COURSE_REVIEW_TOPIC, facts.course_reviews, ()),
-    "chapter_comments": (names.CHAPTER_COMMENT_TOPIC, facts.chapter_comments, ()),
+    "cart_adds": (names.CART_ADD_TOPIC, facts.cart_adds, (), ("cart_info",)),
+    "order_details": (names.ORDER_DETAIL_TOPIC, facts.order_details, ("id",), ("order_detail", "order_info")),
+    "paid_details": (names.PAY_DETAIL_TOPIC, facts.paid_details, ("id",), ("order_detail", "payment_info")),
+    "exams": (names.EXAM_TOPIC, facts.exams, ("id",), ("test_exam", "test_exam_question")),
+    "exam_questions": (names.EXAM_QUESTION_TOPIC, facts.exam_questions, (), ("test_exam_question", "test_exam")),
+    "course_reviews": (names.COURSE_REVIEW_TOPIC, facts.course_reviews, (), ("review_info",)),
+    "chapter_comments": (names.CHAPTER_COMMENT_TOPIC, facts.chapter_comments, (), ("comment_info",)),
 }
 
 
-def start_facts(spark: SparkSession, name: str, reader: TopicReader, writer: TopicWriter, database: str,
+def start_facts(spark: SparkSession, name: str, reader: TopicReader | ChangeLog, writer: TopicWriter, database: str,
                 checkpoints: str | None = None, available_now: bool = False, retention: str | None = None) -> StreamingQuery:
-    """Start one fact job from the change topic into its fact topic.
+    """Start one fact job from the change topic, or from the parsed change log, into its fact topic.
 
-    ``retention`` sets how far apart in time a joining job's partners may be written.
+    ``retention`` sets how far apart in time a joining job's partners may be written. What finds no partner is
+    counted in the query's observed metrics (see ``streaming.drops``).
     """
-    topic, plan, keys = FACT_JOBS[name]
+    topic, plan, keys, tables = FACT_JOBS[name]
     options = {"retention": retention} if retention else {}
-    facts_rows = plan(reader.stream(spark, names.CHANGE_TOPIC, f"{name}_group"), database, **options)
+    if len(tables) > 1:
+        options["counted"] = name
+    changes = reader.stream(spark, *tables) if isinstance(reader, ChangeLog) else reader.stream(spark, names.CHANGE_TOPIC, f"{name}_group")
+    facts_rows = plan(changes, database, **options)
     return _start(json_records(facts_rows, keys),
                   lambda batch, batch_id: writer.write_batch(batch, topic, batch_id, run_of(batch)),
                   checkpoints, name, available_now)
