@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from tidemark import names
-from tidemark.bindings import DATABASE, Tables
+from tidemark.bindings import DATABASE, HAN, Tables
 from tidemark.operators import routing
 from tidemark.operators.latest import latest_by_key
 from tidemark.operators.logsplit import split_logs
@@ -72,6 +72,15 @@ def _routed(t: Tables) -> routing.Routed:
     return routing.route(t.routed_changes(), routing.fold_config(t.routing_feed()))
 
 
+def _routed_as_of(t: Tables) -> DataFrame:
+    """Every order line routed by the configuration of its ship date."""
+    routed = routing.route(t.part_changes(), routing.routes_over_time(routing.route_entries(t.order_config_feed())))
+    kinds = [d.select(F.lit(kind).alias("kind"), "sink_table", "table", "type", "xid", F.cardinality("data").alias("fields"))
+             for kind, d in ((routing.DIM, routed.dims), (routing.FACT, routed.facts))]
+    return kinds[0].unionByName(kinds[1]).unionByName(routed.unrouted.select(
+        F.lit("none").alias("kind"), F.lit(None).cast("string").alias("sink_table"), "table", "type", "xid", F.lit(0).alias("fields")))
+
+
 def _dim_rows(t: Tables) -> DataFrame:
     d = F.col("data")
     return _routed(t).dims.select(
@@ -106,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             routing.topic_records(_routed(t).facts).withColumn("value", F.to_json(F.struct("topic", "value"))),
             "topic string, value string")),
         "routing_unrouted": _rows(lambda t: _routed(t).unrouted.groupBy("table", "type").agg(F.count(F.lit(1)).alias("n"))),
+        "routing_as_of": _rows(_routed_as_of),
         # application log
         "new_flag_repair": _rows(lambda t: repair_new_flag(t.logs()).select(
             "ts", "mid", "is_new")),
@@ -122,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                 lambda d: d.select("common.*", "page.*", "err.*", "ts", "trace.id")),
         # traffic
         "keyword_counts": _windowed(lambda t: traffic.keyword_counts(t.searches())),
+        "han_keyword_counts": _windowed(lambda t: traffic.keyword_counts(t.han_searches(), "1 hour")),
         "page_keyword_counts": _windowed(lambda t: traffic.keyword_counts(t.pages(), "1 hour")),
         "page_visitors": _windowed(lambda t: traffic.page_visitors(t.pages())),
         "traffic_by_source": _windowed(lambda t: traffic.by_source(t.pages(), t.traffic_sources())),
@@ -324,6 +335,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT CASE WHEN dim THEN 'dim' ELSE 'dwd' END AS kind, route_table, route_type, sink_table, sink_columns, 'id' AS sink_pk,
               '' AS sink_extend FROM f QUALIFY row_number() OVER (PARTITION BY dim, route_table, route_type ORDER BY o_orderdate DESC, gone DESC,
               sink_table DESC, sink_columns DESC) = 1 AND NOT gone""",
+        "routing_as_of": """WITH f AS (SELECT o_orderstatus = 'F' AS gone, CASE WHEN o_custkey % 3 = 0 THEN 'dim' ELSE 'dwd' END AS kind, 'table_' || o_custkey % 200 AS t,
+              CASE WHEN o_custkey % 3 = 0 THEN '' WHEN o_custkey % 2 = 0 THEN 'insert' ELSE 'update' END AS y, 'sink_' || o_orderkey % 7 AS sink_table,
+              'id,' || o_orderpriority AS cols, o_orderdate AS low FROM orders
+              QUALIFY row_number() OVER (PARTITION BY kind, t, y, low ORDER BY gone DESC, sink_table DESC, cols DESC) = 1),
+            r AS (SELECT * FROM (SELECT *, lead(low) OVER (PARTITION BY kind, t, y ORDER BY low) AS high FROM f) WHERE NOT gone),
+            c AS (SELECT 'table_' || l_partkey % 200 AS "table", CASE WHEN l_linenumber % 2 = 0 THEN 'insert' ELSE 'update' END AS type,
+              l_shipdate AS x, l_orderkey * 10 + l_linenumber AS xid FROM lineitem),
+            j AS (SELECT kind, sink_table, "table", type, xid, CASE WHEN cols LIKE '%5-LOW%' THEN 2 ELSE 1 END AS fields
+              FROM c JOIN r ON "table" = t AND (kind = 'dim' OR type = y) AND x >= low AND (high IS NULL OR x < high))
+            SELECT * FROM j UNION ALL SELECT 'none', NULL, "table", type, xid, 0 FROM c
+              WHERE NOT EXISTS (SELECT 1 FROM r WHERE "table" = t AND (kind = 'dim' OR type = y) AND x >= low AND (high IS NULL OR x < high))""",
         "routing_dim_rows": f"WITH {_DIMS} SELECT * FROM d",
         "routing_dim_latest": f"""WITH {_DIMS} SELECT * FROM d
             QUALIFY row_number() OVER (PARTITION BY sink_table, pk ORDER BY ts DESC, xid DESC) = 1""",
@@ -354,6 +376,13 @@ def oracle_sql() -> dict[str, str]:
               unnest(regexp_extract_all(lower(text), '[a-z0-9]+') || CASE WHEN regexp_matches(text, '[一-鿿]') THEN ['?'] ELSE [] END) AS keyword FROM documents),
             h AS (SELECT {_w(ten)} AS w, keyword, count(*) AS keyword_count FROM x GROUP BY 1, 2)
             SELECT {_se(ten)}, keyword, keyword_count FROM h""",
+        "han_keyword_counts": f"""WITH d AS (SELECT make_timestamp((doc_id // 8 + 1704067200) * 1000000) AS rt,
+              translate(text, 'abcdefghijklmnopqrstuvwxyz', '{"".join(chr(HAN + i) for i in range(26))}') AS text FROM documents),
+            r AS (SELECT rt, unnest(regexp_extract_all(text, '[{chr(0x4E00)}-{chr(0x9FFF)}]+')) AS run FROM d),
+            x AS (SELECT rt, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS keyword FROM d
+              UNION ALL SELECT rt, unnest(CASE WHEN length(run) = 1 THEN [run] ELSE [substring(run, i, 2) for i in range(1, length(run))] END) FROM r),
+            h AS (SELECT {_w(hour)} AS w, keyword, count(*) AS keyword_count FROM x GROUP BY 1, 2)
+            SELECT {_se(hour)}, keyword, keyword_count FROM h""",
         "page_keyword_counts": f"""WITH {_P}, x AS (SELECT rt, unnest(regexp_extract_all(lower(item), '[a-z0-9]+')) AS keyword FROM p WHERE item_type = 'keyword'),
             h AS (SELECT {_w(hour)} AS w, keyword, count(*) AS keyword_count FROM x GROUP BY 1, 2)
             SELECT {_se(hour)}, keyword, keyword_count FROM h""",

@@ -281,6 +281,35 @@ def test_routing_job_updates_dimensions_and_topics(spark, tmp_path):
     assert json.loads(record.value) == {"id": 3, "stars": 5}
 
 
+def test_changes_are_routed_as_of_their_time(spark):
+    entries = [("r", config("t", "dim", "old", "id"), 0), ("u", config("t", "dim", "new", "id"), 5_000), ("d", config("t", "dim", "new", "id"), 9_000),
+               ("c", config("t", "dwd", "fact", "id", "insert"), 5_000), ("u", config("t", "dwd", "fact2", "id", "insert"), 5_000)]
+    routes = routing.routes_over_time(routing.route_entries(feed(spark, *entries)))
+    rows = change_rows(values(spark, [change("t", {"id": n}, ts=n) for n in (1, 4, 5, 8, 9, 20)]))
+    routed = routing.route(rows, routes)
+    assert sorted((r.pk, r.sink_table) for r in routed.dims.collect()) == [("1", "old"), ("4", "old"), ("5", "new"), ("8", "new")]
+    assert sorted((json.loads(r.value)["id"], r.topic) for r in routing.topic_records(routed.facts).collect()) == [(n, "fact2") for n in (5, 8, 9, 20)]
+    assert routed.unrouted.count() == 0
+
+
+def test_replay_after_a_configuration_change_routes_as_before(spark, tmp_path):
+    early, late = ROUTES[:1], [("u", config("user_info", "dim", "dim_renamed", "id,name"), 60_000)]
+
+    def run(place, rows, entries):
+        values(spark, rows).coalesce(1).write.mode("append").text(f"{tmp_path}/{place}/topics/{names.CHANGE_TOPIC}")
+        folder, store = f"{tmp_path}/{place}/topics", DimStore(f"{tmp_path}/{place}/dims")
+        query = jobs.start_routing(spark, TopicReader(folder=folder), TopicWriter(folder=folder), store, lambda: feed(spark, *entries),
+                                   f"{tmp_path}/{place}/ck", True, as_of=True)
+        assert query.awaitTermination(120) and query.exception() is None
+        return [sorted(tuple(r) for r in store.read(spark, t, "id,name").collect()) for t in ("dim_user_info", "dim_renamed")]
+
+    before, after = [change("user_info", {"id": 1, "name": "a"}, ts=10)], [change("user_info", {"id": 2, "name": "b"}, ts=70)]
+    run("live", before, early)
+    # The second run's feed holds the new entry alone; the first is in the folded feed.
+    live = run("live", after, late)
+    assert live == [[("1", "a")], [("2", "b")]] == run("replay", before + after, early + late)
+
+
 def test_routed_topic_feeds_its_window_job(spark, tmp_path):
     folder, stamp = str(tmp_path / "topics"), "2024-01-01 00:00:0"
     review = config("review_info", "dwd", names.REVIEW_ADD_TOPIC, "id,user_id,course_id,review_stars,create_time", "insert")

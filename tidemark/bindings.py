@@ -20,6 +20,8 @@ from tidemark.sinks.changes import ChangeLog
 from tidemark.sources.topics import change_rows, log_records
 
 DATABASE = "edu"
+#: The Han character that stands for the letter a; those of the other letters follow it.
+HAN = 0x4E00
 # Schema and number of splits per application and path: read from the files once, not for every query.
 _SHAPES: dict[tuple[str, str], tuple[T.StructType, int]] = {}
 LARGE_TABLES = ("lineitem", "orders", "events", "documents")
@@ -118,6 +120,13 @@ class Tables:
             ((F.floor(F.col("doc_id") / 8) + 1_704_067_200) * 1000).cast("bigint").alias("ts"),
         )
 
+    def han_searches(self) -> DataFrame:
+        """``searches`` with every lower-case letter as a Han character: the texts become Han runs and words of the rest."""
+        pages = self.searches()
+        letters = "".join(map(chr, range(ord("a"), ord("z") + 1)))
+        han = F.translate("page.item", letters, "".join(chr(HAN + i) for i in range(len(letters))))
+        return pages.withColumn("page", F.col("page").withField("item", han))
+
     def videos(self) -> DataFrame:
         return self.events().select(
             F.struct(_text("user_id").alias("uid")).alias("common"),
@@ -283,6 +292,14 @@ class Tables:
             F.when(gone, "d").otherwise("u").alias("op"),
             (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) * 1000).alias("ts_ms"))
 
+    def part_changes(self) -> DataFrame:
+        """Parsed changes of the tables that the long feed routes, one per order line."""
+        return self.read("lineitem").select(
+            F.lit(DATABASE).alias("database"), F.concat(F.lit("table_"), F.col("l_partkey") % 200).alias("table"),
+            F.when(F.col("l_linenumber") % 2 == 0, "insert").otherwise("update").alias("type"),
+            F.to_variant_object(F.struct(_text("l_orderkey").alias("id"), F.col("l_linenumber").alias("5-LOW"))).alias("data"),
+            F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("xid"))
+
     def routed_changes(self) -> DataFrame:
         parts = [change_rows(self.event_changes(t)) for t in ("user_info", "review_info", "comment_info", "cart_info")]
         out = parts[0]

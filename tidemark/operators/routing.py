@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import names
@@ -24,24 +24,53 @@ class Routed:
     unrouted: DataFrame
 
 
-def fold_config(feed: DataFrame) -> DataFrame:
-    """Current routing from its change feed: the last entry per route, without deleted routes.
+#: One change of a route, as ``route_entries`` gives it.
+ENTRY = ("kind string, route_table string, route_type string, sink_table string, sink_columns string, sink_pk string, "
+         "sink_extend string, deleted boolean, at bigint")
+_ROUTE = ["kind", "route_table", "route_type"]
+_LAST = ["at", "deleted", "sink_table", "sink_columns", "sink_pk", "sink_extend"]
+
+
+def route_entries(feed: DataFrame) -> DataFrame:
+    """Changes of routes from the change feed of the configuration.
 
     A dimension routes by table alone, a fact by table and change type.
     """
     deleted = F.col("op") == "d"
     entry = F.when(deleted, F.col("before")).otherwise(F.col("after"))
-    rows = feed.select(entry.alias("_c"), deleted.alias("_deleted"), F.coalesce("ts_ms", F.lit(0)).alias("_at")).select(
+    return feed.select(entry.alias("_c"), deleted.alias("deleted"), F.coalesce("ts_ms", F.lit(0)).alias("at")).select(
         F.when(F.col("_c.sink_type") == DIM, DIM).otherwise(FACT).alias("kind"),
         F.col("_c.source_table").alias("route_table"),
         F.when(F.col("_c.sink_type") == DIM, "").otherwise(F.col("_c.source_type")).alias("route_type"),
         F.col("_c.sink_table").alias("sink_table"), F.col("_c.sink_columns").alias("sink_columns"),
         F.coalesce("_c.sink_pk", F.lit("id")).alias("sink_pk"),
-        F.coalesce("_c.sink_extend", F.lit("")).alias("sink_extend"), "_deleted", "_at",
+        F.coalesce("_c.sink_extend", F.lit("")).alias("sink_extend"), "deleted", "at",
     )
-    order = ["_at", "_deleted", "sink_table", "sink_columns", "sink_pk", "sink_extend"]
-    last = latest_by_key(rows, ["kind", "route_table", "route_type"], order)
-    return last.filter(~F.col("_deleted")).drop("_deleted", "_at")
+
+
+def fold_config(feed: DataFrame) -> DataFrame:
+    """Current routing from its change feed: the last entry per route, without deleted routes."""
+    return latest_by_key(route_entries(feed), _ROUTE, _LAST).filter(~F.col("deleted")).drop("deleted", "at")
+
+
+def routes_over_time(entries: DataFrame) -> DataFrame:
+    """Routes with the time they hold: from ``valid_from`` to before ``valid_to`` (milliseconds; null: still).
+
+    Of entries of one route at one time the last one counts. A route that was read from the table at the start (time 0)
+    holds from the beginning. One window per route: it holds the changes of one line of the configuration.
+    """
+    once = latest_by_key(entries, [*_ROUTE, "at"], _LAST[1:])
+    until = F.lead("at").over(Window.partitionBy(*_ROUTE).orderBy("at"))
+    timed = once.withColumns({"valid_from": F.when(F.col("at") > 0, F.col("at")), "valid_to": until})
+    return timed.filter(~F.col("deleted")).drop("deleted", "at")
+
+
+def _holds(config: DataFrame) -> Column:
+    """Whether a route holds at the time of a change, if routes have times."""
+    if "valid_to" not in config.columns:
+        return F.lit(True)
+    at, low, high = F.col("ts") * 1000, F.col("valid_from"), F.col("valid_to")
+    return (low.isNull() | (at >= low)) & (high.isNull() | (at < high))
 
 
 def keep_columns(data: Column, columns: Column) -> Column:
@@ -53,14 +82,18 @@ def keep_columns(data: Column, columns: Column) -> Column:
 def route(changes: DataFrame, config: DataFrame) -> Routed:
     """Send each change to its dimension, its fact, both, or neither.
 
+    ``config`` is the routing as it is now (``fold_config``), or over time (``routes_over_time``): then a change is
+    routed as of its ``ts``, so that a replay after a change of the configuration gives what was given before.
+
     Both branches prune the original ``data``. Facts keep the types of its values; dimensions hold text, as
     their columns are text. Spark picks the joins by the configuration's measured size.
     """
     dim_config = config.filter(F.col("kind") == DIM).drop("kind", "route_type")
     fact_config = config.filter(F.col("kind") == FACT).drop("kind")
     dim_rows = changes.filter(F.col("type").isin(*names.DIM_CHANGE_TYPES))
-    same_table = F.col("table") == F.col("route_table")
+    same_table = (F.col("table") == F.col("route_table")) & _holds(config)
     same_change = same_table & (F.col("type") == F.col("route_type"))
+    times = [c for c in ("valid_from", "valid_to") if c in config.columns]
 
     text = F.try_variant_get("data", "$", "map<string,string>")
     tagged = ["sink_table", "table", "type", "ts", "xid"]
@@ -71,8 +104,8 @@ def route(changes: DataFrame, config: DataFrame) -> Routed:
 
     dim_change = F.col("type").isin(*names.DIM_CHANGE_TYPES)
     unrouted = (
-        changes.join(dim_config.select("route_table"), same_table & dim_change, "left_anti")
-        .join(fact_config.select("route_table", "route_type"), same_change, "left_anti")
+        changes.join(dim_config.select("route_table", *times), same_table & dim_change, "left_anti")
+        .join(fact_config.select("route_table", "route_type", *times), same_change, "left_anti")
     )
     return Routed(dims, facts, unrouted)
 

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark import names, schemas
 from tidemark.functions import clock, documents
 from tidemark.operators import routing, visitors
+from tidemark.operators.latest import latest_by_key
 from tidemark.operators.logsplit import split_logs
 from tidemark.plans import facts, study, trade, traffic, users
 from tidemark.session import shared_folder
@@ -197,16 +198,34 @@ def start_test_papers(spark: SparkSession, reader: TopicReader, writer: TopicWri
 
 
 def start_routing(spark: SparkSession, reader: TopicReader, writer: TopicWriter, store: DimStore,
-                  config: Callable[[], DataFrame], checkpoints: str | None = None, available_now: bool = False) -> StreamingQuery:
-    """Start the routing of the change topic; ``config`` gives the current feed at each micro-batch."""
+                  config: Callable[[], DataFrame], checkpoints: str | None = None, available_now: bool = False, as_of: bool = False) -> StreamingQuery:
+    """Start the routing of the change topic; ``config`` gives the current feed at each micro-batch.
+
+    With ``as_of`` a change is routed by the configuration at its time, not by the current one. The folded feed is kept:
+    a micro-batch folds what came to the feed since the one before, and needs no entry older than that from it.
+    """
     values = reader.stream(spark, names.CHANGE_TOPIC, "routing_group")
+    state = f"{_folder(spark, checkpoints)}/routing-state"
+
+    def entries(batch_id: int, run: str) -> tuple[DataFrame, Callable[[], None]]:
+        folded = Versions(f"{state}/routes", run, routing.ENTRY, ("kind", "route_table", "route_type", "at"))
+        known, new = folded.latest(spark, batch_id), routing.route_entries(config())
+        if known is not None:
+            low = known.agg(F.max("at")).first()[0]
+            new = new.where(F.col("at") >= (low or 0))
+        rows = new if known is None else known.unionByName(new)
+        return rows, lambda: folded.commit(latest_by_key(new, folded.keys, ["deleted", "sink_table", "sink_columns", "sink_pk", "sink_extend"]), batch_id)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        changes, routes, run = change_rows(batch).persist(), routing.fold_config(config()).persist(), run_of(batch)
+        run = run_of(batch)
+        rows, commit = entries(batch_id, run) if as_of else (None, lambda: None)
+        routes = (routing.routes_over_time(rows) if as_of else routing.fold_config(config())).persist()
+        changes = change_rows(batch).persist()
         try:
             routed = routing.route(changes, routes)
             store.upsert(routed.dims, batch_id, run)
             writer.write_routed(routing.topic_records(routed.facts), batch_id, run)
+            commit()
         finally:
             changes.unpersist()
             routes.unpersist()
