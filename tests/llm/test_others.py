@@ -1,6 +1,8 @@
 """Operators on conversations, vectors and pages."""
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -25,6 +27,15 @@ def test_chat_round_trip(spark):
     assert rows(chat.digests(chat.formatted(df.limit(0)))) == []
 
 
+@pytest.mark.parametrize("control", ["<|turn ", "|>", "<|and|>", "<|end|>", "\\", "\\|>", "\\\\|>", "|", "<|turn a|>b<|end|>", ">", "a|>b"])
+def test_chat_control_strings_in_roles_and_texts(spark, control):
+    turns = [(c, t, role, text) for c, (role, text) in enumerate([(control, "hi"), (f"a{control}", f"{control}hi"), (f"{control}b", f"hi{control}"), ("u", control * 3)])
+             for t in range(2)]
+    made = chat.formatted(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in rows(made.select("conv_id", chat.read_back(made.formatted).alias("turns")))}
+    assert got == {c: [(role, text)] * 2 for c, _, role, text in turns}
+
+
 def brute(ids, vectors, queries, k):
     out = {}
     for q in queries:
@@ -54,7 +65,9 @@ def test_top_k_on_odd_vectors(spark, monkeypatch):
     data = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (50, [-0.001, 2.0]), (7, []), (100, [1.0])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").selectExpr("*", "1 AS vec", "2 AS block", "3 AS score")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(topk.top_k(df, F.col("vec_id") % 50 == 0, 5))]
-    assert sorted(got) == [(0, 1, 1, 65536), (0, 2, 2, 32768), (0, 3, 50, -256), (50, 1, 2, 65408), (50, 2, 0, -256), (50, 3, 1, -256)]
+    # Every row counts, as in the query's SQL: both rows of id 0 ask, and both are candidates.
+    assert sorted(got) == [(0, 1, 1, 65536), (0, 2, 1, 65536), (0, 3, 2, 32768), (0, 4, 2, 32768), (0, 5, 50, -256),
+                           (50, 1, 2, 65408), (50, 2, 0, -256), (50, 3, 0, -256), (50, 4, 1, -256)]
     assert rows(topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0)) == []
 
 
@@ -101,3 +114,20 @@ def test_main_text_of_pages_and_unseen_layouts(spark):
     assert sum(a == b for a, b in pairs) > 0.97 * len(pairs)
     odd = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", ""), (2, None, "<p>" * 3000 + "x" * 100_000)], "page_id long, url string, html string").selectExpr("*", "1 AS text")
     assert len(rows(html_text.extracted(odd, labeller=own))) == 4 and rows(html_text.extracted(odd.limit(0))) == []
+
+
+def test_top_k_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 4)
+    data = [(1, [1.0, 0.0]), (1, [0.5, 0.0]), (0, [1.0, 0.0]), (2, [0.25, 0.0])] + [(7, [0.125, 0.0])] * 30
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = [(r["vec_id"], r["score"]) for r in rows(topk.top_k(df, F.col("vec_id") == 0, 5))]
+    assert sorted(got) == [(1, 32768), (1, 65536), (2, 16384), (7, 8192), (7, 8192)]
+    con = duckdb.connect()
+    embeddings = pa.table({"vec_id": [i for i, _ in data], "embedding": pa.array([v for _, v in data], pa.list_(pa.float32()))})  # noqa: F841
+    assert sorted((r[2], r[3]) for r in con.execute(topk.SQL).fetchall()) == sorted(got)
+
+
+def test_top_k_refuses_products_beyond_doubles(spark):
+    df = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="products"):
+        topk.top_k(df, F.col("vec_id") == 0, 5).collect()

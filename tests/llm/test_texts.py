@@ -288,3 +288,13 @@ def test_lexicon_takes_whole_levels_of_frequency(spark):
     assert chosen(5) == ["w0", "w1", "w2"]  # three words of 7 don't fit whole
     assert chosen(1) == []  # 100 and 99 share a level
     assert bpe.frequent_words(counted.limit(0), 5) == []
+
+
+def test_language_sample_is_bounded_whatever_the_ids(spark, documents, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
+    many = spark.range(3000).selectExpr("IF(id % 2 = 0, NULL, 7L) AS doc_id", "IF(id % 3 = 0, 'the very same text again and again', concat('words of their own ', uuid())) AS text",
+                                        "'en' AS lang").checkpoint()
+    seen = []
+    monkeypatch.setattr(langid, "letters", lambda text: seen.append(text) or text.encode())
+    langid.fit(many, F.lit(True))
+    assert 0 < len(seen) <= 20 and len(set(seen)) == len(seen)

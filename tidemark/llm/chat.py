@@ -1,7 +1,8 @@
 """Chat formatting with column expressions: sort, merge same-role turns, escape, concatenate, and read back.
 
 A conversation becomes ``<|turn ROLE|>text<|and|>text<|end|>`` blocks. Control strings begin with ``<|`` and
-end with ``|>``; inside roles and texts a backslash goes before every ``\\`` and ``|``, so none can occur there.
+end with ``|>``; inside roles and texts a backslash goes before every ``\\`` and ``|``, so ``<|`` can't occur there, and
+``|>`` only behind a backslash.
 """
 
 from __future__ import annotations
@@ -69,7 +70,8 @@ def read_back(formatted_text: Column) -> Column:
     blocks = F.slice(pieces, F.lit(2), F.size(pieces))
 
     def turns(block: Column) -> Column:
-        role = F.substring_index(block, NAMED, 1)
+        # Up to the first mark that isn't escaped: a role may hold the mark itself.
+        role = F.regexp_extract(block, r"(?s)^((?:[^\\|]++|\\.)*+)\|>", 1)
         body = F.regexp_replace(F.substr(block, F.length(role) + 3), r"<\|end\|>$", "")
         return F.transform(F.split(body, r"<\|and\|>", -1), lambda t: F.struct(unescaped(role).alias("role"), unescaped(t).alias("text")))
 

@@ -14,7 +14,7 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import prepare
@@ -45,25 +45,29 @@ class Model:
     samples: tuple[tuple[bytes, ...], ...]
 
 
-def fit(docs: DataFrame, learn_from: Column, label: str = "lang", id_column: str = "doc_id", text_column: str = "text") -> Model:
+def fit(docs: DataFrame, learn_from: Column, label: str = "lang", text_column: str = "text") -> Model:
     """Learns from rows for which ``learn_from`` holds and text and label aren't null.
 
-    Rows of each language are counted over the whole table. Then about ``SAMPLE_DOCS`` rows of each, by hash of
-    their ids, come to the driver: a bounded sample, whatever the table's size. Rows of middling length are preferred.
+    Rows of each language are counted over the whole table. Then ``SAMPLE_DOCS`` texts of each at most, by hash of the
+    text, come to the driver: a bounded sample, whatever the table's size. Texts of middling length are preferred; a
+    text that repeats counts once, so neither ids nor copies can swell the sample.
     """
     rows = docs.where(learn_from & F.col(text_column).isNotNull() & F.col(label).isNotNull()).select(
-        F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), F.col(label).cast("string").alias("label"))
+        F.col(text_column).cast("string").alias("text"), F.col(label).cast("string").alias("label"))
     counted = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
     if not counted:
         return Model((), (), ())
     share = F.create_map(*[x for r in counted for x in (F.lit(r.label), F.lit(4.0 * SAMPLE_DOCS / r["count"]))])
-    order = F.xxhash64("id")
-    chosen = rows.where(F.pmod(order, F.lit(1 << 30)) < share[F.col("label")] * (1 << 30)).select(
-        "label", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.length("text").alias("n"), order.alias("o")).collect()
+    order, n = F.xxhash64("text"), F.length("text")
+    found = rows.where(F.pmod(order, F.lit(1 << 30)) < share[F.col("label")] * (1 << 30)).select(
+        "label", order.alias("o"), n.alias("n"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    once = found.groupBy("label", "o", "n").agg(F.min("text").alias("text"))
+    best = Window.partitionBy("label").orderBy(F.when(F.col("n").between(200, SAMPLE_CHARS), 0).otherwise(1), "o", "text")
+    chosen = once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= SAMPLE_DOCS).collect()
     dictionaries, samples = [], []
     for language in (r.label for r in counted):
-        own = sorted((r for r in chosen if r.label == language), key=lambda r: (not 200 <= r.n <= SAMPLE_CHARS, r.o, r.text))
-        texts = list(dict.fromkeys(letters(r.text) for r in own[:SAMPLE_DOCS]))
+        own = sorted((r for r in chosen if r.label == language), key=lambda r: r["rank"])
+        texts = list(dict.fromkeys(letters(r.text) for r in own))
         content = b"".join(texts)
         dictionaries.append(content[:DICTIONARY])
         rest = content[DICTIONARY:] + content  # text beyond the dictionary first
@@ -150,6 +154,10 @@ def predictions(docs: DataFrame, label: str = "lang") -> DataFrame:
 
 
 def identified(docs: DataFrame, label: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language isn't rejected."""
+    """The rows of ``docs``, all columns, whose language isn't rejected; ``label`` is what it learns from.
+
+    Null texts and texts without a letter have no language and go; repeated rows go or stay together; a very long text
+    is read whole. Columns of any name are kept. If no row is labelled, none stays; an empty table gives no rows.
+    """
     model = fit(docs, ~held_out(), label)
     return docs.where(predictor(docs, model)(F.col("text"))["accepted"])

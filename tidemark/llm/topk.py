@@ -23,6 +23,8 @@ CANDIDATES, QUERIES = 4096, 1024
 #: Points that need no further division, and points scored at once.
 LEAF, CHUNK = 12, 256
 SCALE = 256
+#: Products below are whole numbers in doubles.
+EXACT = float(1 << 53)
 
 
 class CoverTree:
@@ -144,12 +146,12 @@ class Search:
 
 
 def quantised(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id, vec: floor(scale * x) of every component, one row per id; rows that can't be compared are left out."""
+    """vec_id, vec: floor(scale * x) of every component; rows that can't be compared are left out."""
     vector = F.col(vector_column).cast("array<double>")
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & ~bad & (F.size(vector) > 0))
     whole = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x).cast("double"))
-    return rows.select(F.col(id_column).cast("long").alias("vec_id"), whole.alias("vec")).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return rows.select(F.col(id_column).cast("long").alias("vec_id"), whole.alias("vec"))
 
 
 def _trees(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
@@ -159,11 +161,14 @@ def _trees(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
     def build(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         points = table.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        if (points**2).sum(axis=1).max() >= EXACT:
+            raise ValueError("products of these vectors aren't exact: they reach 2^53")
         order = np.argsort(ids)
         tree = pickle.dumps(CoverTree(ids[order], points[order]), protocol=5)
         return pa.table({"dim": table.column("dim")[:1], "block": table.column("block")[:1], "tree": pa.array([tree], pa.binary())})
 
-    dealt = vectors.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "vec")
+    # Dealt by row, not by id or vector: either may be on a third of all rows.
+    dealt = vectors.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), "vec_id", "vec")
     return dealt.groupBy("dim", "block").applyInArrow(build, "dim int, block int, tree binary"), blocks
 
 
@@ -171,9 +176,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
     """query_id, rank (from 1), vec_id, score: the k candidates of highest integer product of each query row, ties to the smaller id.
 
     ``is_query`` is a condition on vec_id. Every vector but the query's own is a candidate; fewer than k are
-    all returned. Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids. A
-    repeated id counts once, with its smallest vector. Only vectors of one length are compared with each other.
-    Products must be below 2^53. Other columns aren't read; an empty table gives no rows.
+    all returned. Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids. Every
+    row counts: rows that repeat an id are candidates each, but not of queries of that id, and query rows of one id
+    share its k results. Only vectors of one length are compared with each other. Vectors whose products reach 2^53
+    fail the job. Other columns aren't read; an empty table gives no rows.
     """
     prepare(vectors.sparkSession)
     rows = quantised(vectors, id_column, vector_column, scale).checkpoint()
