@@ -18,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from tidemark import names
 from tidemark.bindings import DATABASE, HAN, Tables
+from tidemark.functions import clock
 from tidemark.operators import routing
 from tidemark.operators.latest import latest_by_key
 from tidemark.operators.logsplit import split_logs
@@ -116,6 +117,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "topic string, value string")),
         "routing_unrouted": _rows(lambda t: _routed(t).unrouted.groupBy("table", "type").agg(F.count(F.lit(1)).alias("n"))),
         "routing_as_of": _rows(_routed_as_of),
+        # times as text
+        "time_texts": _rows(lambda t: t.order_time_texts().select(
+            "o_orderkey", clock.date_of_text(F.col("text")).alias("day"), clock.to_epoch_ms(clock.date_of_text(F.col("text"))).alias("day_ms"),
+            clock.to_epoch_ms(F.col("text"), full=True).alias("ms"), clock.ms_to_date(F.col("ms")).alias("date"),
+            clock.ms_to_stamp(F.col("ms") + 3_723_000).alias("stamp"))),
         # application log
         "new_flag_repair": _rows(lambda t: repair_new_flag(t.logs()).select(
             "ts", "mid", "is_new")),
@@ -335,6 +341,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT CASE WHEN dim THEN 'dim' ELSE 'dwd' END AS kind, route_table, route_type, sink_table, sink_columns, 'id' AS sink_pk,
               '' AS sink_extend FROM f QUALIFY row_number() OVER (PARTITION BY dim, route_table, route_type ORDER BY o_orderdate DESC, gone DESC,
               sink_table DESC, sink_columns DESC) = 1 AND NOT gone""",
+        "time_texts": """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, epoch_ms(date_trunc('day', o_orderdate)::TIMESTAMP) - 28800000 AS day_ms,
+            epoch_ms(o_orderdate) - 28800000 AS ms, strftime(o_orderdate, '%Y-%m-%d') AS date,
+            strftime(o_orderdate + INTERVAL 3723 SECOND, '%Y-%m-%d %H:%M:%S') AS stamp FROM orders""",
         "routing_as_of": """WITH f AS (SELECT o_orderstatus = 'F' AS gone, CASE WHEN o_custkey % 3 = 0 THEN 'dim' ELSE 'dwd' END AS kind, 'table_' || o_custkey % 200 AS t,
               CASE WHEN o_custkey % 3 = 0 THEN '' WHEN o_custkey % 2 = 0 THEN 'insert' ELSE 'update' END AS y, 'sink_' || o_orderkey % 7 AS sink_table,
               'id,' || o_orderpriority AS cols, o_orderdate AS low FROM orders

@@ -155,3 +155,13 @@ def test_repeated_records_are_counted_once(spark, tmp_path):
         assert query.awaitTermination(120) and query.exception() is None
         [row] = [r for r in ResultTable(str(tmp_path / name), "dws_trade_order_count_window").read(spark).collect() if r.stt < "2096"]
         assert (row.orderCount, row.userCount, float(row.totalAmount)) == (lines, 3, 2.0 * lines)
+
+
+def test_results_go_where_they_are_sent(spark, tmp_path):
+    write_rows(spark, str(tmp_path), names.USER_REGISTER_TOPIC, ['{"create_time": "2024-01-01 00:00:01"}', '{"create_time": "2024-01-01 00:00:02"}'],
+               ['{"create_time": "2030-01-01 00:00:00"}'])
+    sent = []
+    query = jobs.start_measures(spark, "user_registrations", TopicReader(folder=str(tmp_path)), None, lambda rows, table: sent.extend(
+        (table, r.registerCt) for r in sink_row(rows, table).collect()), str(tmp_path / "ck"), True)
+    assert query.awaitTermination(120) and query.exception() is None
+    assert sent == [("dws_user_user_register_window", 2)]

@@ -81,6 +81,11 @@ class Tables:
             _line_time().alias("create_time"), _text("c_nationkey").alias("province_id"),
         )
 
+    def order_time_texts(self) -> DataFrame:
+        """Order times as text, and in milliseconds."""
+        return self.read("orders").select("o_orderkey", clock.stamp(F.col("o_orderdate").cast("timestamp")).alias("text"),
+                                          F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms"))
+
     def carts(self) -> DataFrame:
         return self.events().filter(F.col("event_type") == "click").select(
             _text("event_id").alias("id"), _text("user_id").alias("user_id"), F.date_trunc("second", "ts").alias("create_time"))

@@ -26,7 +26,7 @@ from tidemark.sinks.changes import ChangeLog
 from tidemark.sinks.dims import DimStore
 from tidemark.sinks.results import ResultTable
 from tidemark.sinks.topics import TopicWriter, json_records
-from tidemark.sources.topics import TopicReader, change_rows, log_records, log_rows, once, page_rows
+from tidemark.sources.topics import TopicReader, change_rows, log_records, log_rows, once, page_maps
 from tidemark.streaming.state import BatchMemory, Versions
 
 # Reads a dimension by name with the columns wanted.
@@ -73,7 +73,7 @@ def _marked(windows: Callable[..., DataFrame], **fixed) -> Callable[..., DataFra
 
 
 MEASURE_JOBS = {
-    "keyword_counts": MeasureJob(names.PAGE_TOPIC, "dws_traffic_keyword_page_view_window", page_rows,
+    "keyword_counts": MeasureJob(names.PAGE_TOPIC, "dws_traffic_keyword_page_view_window", page_maps,
                                  traffic.keyword_counts),
     "page_visitors": MeasureJob(names.PAGE_TOPIC, "dws_traffic_page_view_window", log_rows, traffic.page_visitor_cells,
                                 _marked(traffic.page_visitor_windows)),
@@ -114,10 +114,12 @@ MEASURE_JOBS = {
 }
 
 
-def start_measures(spark: SparkSession, name: str, reader: TopicReader, dims: DimReader, results: str,
+def start_measures(spark: SparkSession, name: str, reader: TopicReader, dims: DimReader, results: str | Callable[[DataFrame, str], None],
                    checkpoints: str | None = None, available_now: bool = False, unique: Sequence[str] = (), **options) -> StreamingQuery:
     """Start one window job into its result table.
 
+    ``results`` is the folder of the result tables, or a function of rows and table name that puts them elsewhere, as
+    ``append_jdbc`` into a database; such rows may come again after a failure, with the same keys and a later ``ts``.
     ``unique`` names columns (as ``id``, or ``common.mid``) by which records that a topic holds more than once, as one
     written again after a failure, are counted once; repeats must not be later than the bound on lateness.
     ``options`` go to the job's results, as ``retention`` for the logins, which else remember a user for ever.
@@ -126,13 +128,19 @@ def start_measures(spark: SparkSession, name: str, reader: TopicReader, dims: Di
     rows = job.parse(reader.stream(spark, job.topic, f"{name}_group"))
     if unique:
         rows = once(rows, unique)
-    table = ResultTable(results, job.table)
+    table = ResultTable(results, job.table) if isinstance(results, str) else None
     state = f"{_folder(spark, checkpoints)}/{name}-state"
 
+    def put(rows: DataFrame, batch_id: int, run: str) -> None:
+        if table:
+            table.append(rows, batch_id, run)
+        else:
+            results(rows, job.table)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         run = run_of(batch)
         if "role" not in batch.columns:  # plain windows: nothing is read twice
-            table.append(job.results(batch, dims, None, **options), batch_id, run)
+            put(job.results(batch, dims, None, **options), batch_id, run)
             return
         # Several actions read the cells; unpersisted, the stream's own state would be run again for each.
         cells = batch.persist()
@@ -140,7 +148,7 @@ def start_measures(spark: SparkSession, name: str, reader: TopicReader, dims: Di
             low = cells.agg(F.unix_micros(F.min("first.at")).alias("low")).first()["low"]
             if low is not None:
                 memory = BatchMemory(state, run, batch_id, batch.sparkSession, low)
-                table.append(job.results(cells, dims, memory, **options), batch_id, run)
+                put(job.results(cells, dims, memory, **options), batch_id, run)
                 memory.commit()
         finally:
             cells.unpersist()
