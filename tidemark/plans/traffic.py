@@ -104,7 +104,11 @@ def by_time(pages: DataFrame, size: str = names.WINDOW, emit_ts: Column | None =
     return time_windows(time_cells(pages, size), size, emit_ts)
 
 
+def visitor_kind_windows(cells: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None, memory: Memory | None = None) -> DataFrame:
+    windows = source_windows(cells, size, memory, "is_new")
+    return stamped(windows, schemas.RESULT_COLUMNS["dws_traffic_visitor_kind_window"], emit_ts)
+
+
 def by_visitor_kind(pages: DataFrame, size: str = names.WINDOW, emit_ts: Column | None = None) -> DataFrame:
     """The measures of ``by_source`` split by the new-visitor flag."""
-    windows = source_windows(source_cells(pages, size, "is_new"), size, by="is_new")
-    return stamped(windows, ("stt", "edt", "is_new", "uvCt", "svCt", "pageCt", "pageOneCt", "durSum", "ts"), emit_ts)
+    return visitor_kind_windows(source_cells(pages, size, "is_new"), size, emit_ts)

@@ -71,6 +71,13 @@ RESULT_COLUMNS = {
                                       "startsUserCt", "ts"),
     "dws_video_info_window": ("stt", "edt", "chapterName", "videoPlayCt", "palySec", "userCt", "ts"),
 }
+# The same measures counted in another way (by user, by order line) have tables of their own.
+RESULT_COLUMNS |= {
+    "dws_traffic_visitor_kind_window": ("stt", "edt", "is_new", "uvCt", "svCt", "pageCt", "pageOneCt", "durSum", "ts"),
+    "dws_trade_order_user_count_window": RESULT_COLUMNS["dws_trade_order_count_window"],
+    "dws_trade_course_subject_detail_window": RESULT_COLUMNS["dws_trade_course_subject_order_window"],
+    "dws_course_review_user_window": RESULT_COLUMNS["dws_course_user_review_window"],
+}
 
 # Keys under which the row with the greatest ``ts`` replaces earlier ones.
 RESULT_KEYS = {
@@ -88,6 +95,10 @@ RESULT_KEYS = {
     "dws_test_paper_course_window": ("stt", "edt", "paperId", "courseId"),
     "dws_course_user_review_window": ("stt", "edt", "courseId"),
     "dws_video_info_window": ("stt", "edt", "chapterName"),
+    "dws_traffic_visitor_kind_window": ("stt", "edt", "is_new"),
+    "dws_trade_order_user_count_window": ("stt", "edt"),
+    "dws_trade_course_subject_detail_window": ("stt", "edt", "courseId", "subjectId"),
+    "dws_course_review_user_window": ("stt", "edt", "courseId"),
 }
 
 # Tables whose key is a looked-up name: several sources or chapters may share one name, or have none.

@@ -81,6 +81,8 @@ MEASURE_JOBS = {
                                     lambda c, dims, memory: traffic.name_sources(traffic.source_windows(c, memory=memory), dims(*SOURCE_DIM))),
     "traffic_by_time": MeasureJob(names.PAGE_TOPIC, "dws_traffic_time_window", log_rows, traffic.time_cells,
                                   _marked(traffic.time_windows)),
+    "traffic_by_visitor_kind": MeasureJob(names.PAGE_TOPIC, "dws_traffic_visitor_kind_window", log_rows,
+                                          partial(traffic.source_cells, by="is_new"), _marked(traffic.visitor_kind_windows)),
     "user_logins": MeasureJob(names.PAGE_TOPIC, "dws_user_user_login_window", log_rows, users.login_cells,
                               _marked(users.login_windows)),
     "user_registrations": MeasureJob(names.USER_REGISTER_TOPIC, "dws_user_user_register_window",
@@ -92,7 +94,7 @@ MEASURE_JOBS = {
                               partial(trade.user_cells, trade.ORDER_USERS), _marked(trade.order_user_windows)),
     "order_totals": MeasureJob(names.ORDER_DETAIL_TOPIC, "dws_trade_order_count_window", _rows(_DETAIL),
                                trade.order_cells, _marked(trade.order_total_windows)),
-    "order_totals_by_user": MeasureJob(names.ORDER_DETAIL_TOPIC, "dws_trade_order_count_window", _rows(_DETAIL),
+    "order_totals_by_user": MeasureJob(names.ORDER_DETAIL_TOPIC, "dws_trade_order_user_count_window", _rows(_DETAIL),
                                        partial(trade.order_cells, by_user=True), _marked(trade.order_total_windows, by_user=True)),
     "orders_by_province": MeasureJob(names.ORDER_DETAIL_TOPIC, "dws_trade_province_order_window", _rows(_DETAIL),
                                      partial(trade.line_cells, trade.LINES),
@@ -101,7 +103,7 @@ MEASURE_JOBS = {
                                            partial(trade.line_cells, trade.COURSE_LINES),
                                            lambda c, dims, memory: trade.course_windows(c, dims(*COURSE_DIM), dims(*SUBJECT_DIM), memory=memory)),
     "orders_by_course_subject_per_detail": MeasureJob(
-        names.ORDER_DETAIL_TOPIC, "dws_trade_course_subject_order_window", _rows(_DETAIL), partial(trade.line_cells, trade.DETAIL_LINES),
+        names.ORDER_DETAIL_TOPIC, "dws_trade_course_subject_detail_window", _rows(_DETAIL), partial(trade.line_cells, trade.DETAIL_LINES),
         lambda c, dims, memory: trade.course_windows(c, dims(*COURSE_DIM), dims(*SUBJECT_DIM), per_detail=True, memory=memory)),
     "papers_by_course": MeasureJob(names.TEST_PAPER_TOPIC, "dws_test_paper_course_window", _rows(_PAPER),
                                    study.paper_measures,
@@ -109,6 +111,9 @@ MEASURE_JOBS = {
     "course_reviews": MeasureJob(names.REVIEW_ADD_TOPIC, "dws_course_user_review_window", _rows(_REVIEW),
                                  study.review_measures,
                                  lambda w, dims, memory: study.name_reviews(w, dims(*COURSE_DIM))),
+    "course_reviews_by_user": MeasureJob(names.REVIEW_ADD_TOPIC, "dws_course_review_user_window", _rows(_REVIEW),
+                                         partial(study.review_measures, distinct_users=True),
+                                         lambda w, dims, memory: study.name_reviews(w, dims(*COURSE_DIM))),
     "video_plays": MeasureJob(names.VIDEO_TOPIC, "dws_video_info_window", log_rows, study.video_cells,
                               lambda c, dims, memory: study.name_chapters(study.video_windows(c, memory=memory), dims(*VIDEO_DIM), dims(*CHAPTER_DIM))),
 }
