@@ -128,10 +128,15 @@ def test_packing_keeps_every_token_once(spark, documents, odd, nothing):
             sequences[p.sequence_id].append(p)
         want = collections.defaultdict(list)
         for r in texts:
-            want[r.doc_id] += [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
-        for doc_id, ids in want.items():
-            assert sorted(x for p in pieces[doc_id] for x in np.frombuffer(p.ids, "<u4").tolist()) == sorted(ids)
-            assert all(p.length == len(p.ids) // 4 and p.start + p.length <= p.doc_tokens for p in pieces[doc_id])
+            want[r.doc_id].append([*library.encode(r.text or "", add_special_tokens=False).ids, 0])
+        for doc_id, copies in want.items():
+            # Each piece is the ids at its place; every place of every row of that id is in exactly one piece.
+            places = collections.Counter()
+            for p in pieces[doc_id]:
+                own = np.frombuffer(p.ids, "<u4").tolist()
+                assert p.length == len(own) and any(own == ids[p.start:p.start + p.length] and p.doc_tokens == len(ids) for ids in copies)
+                places.update((p.doc_tokens, p.start + i) for i in range(p.length))
+            assert places == collections.Counter((len(ids), i) for ids in copies for i in range(len(ids)))
         padding = total = 0
         for own in sequences.values():
             at = 0
@@ -141,6 +146,9 @@ def test_packing_keeps_every_token_once(spark, documents, odd, nothing):
             assert at <= 1024
             total, padding = total + at, padding + (0 if not at & (at - 1) else 1024 - at)
         assert df is odd or padding < 0.1 * total
+        made = packing.packed(df, BYTES)
+        crc = {(r.doc_id, r.start, r.length, r.sequence_id, r.offset): zlib.crc32(r.ids) for r in made.collect()}
+        assert {(r.doc_id, r.start, r.length, r.sequence_id, r.offset): r.ids_crc32 for r in packing.digests(made).collect()} == crc
     assert rows(packing.packed(nothing, BYTES)) == []
 
 
