@@ -254,6 +254,25 @@ def test_routing(spark):
         ("gone", "insert"), ("review_info", "delete"), ("user_info", "delete")]
 
 
+def test_changes_are_routed_where_they_are(spark, monkeypatch):
+    rows = change_rows(values(spark, [change("user_info", {"id": n, "name": "a"}) for n in range(50)] + [change("review_info", {"id": 3, "stars": 5})]))
+
+    def parts(folded):
+        routed = routing.route(rows, folded)
+        return routed.dims, routed.facts, routed.unrouted
+
+    folded = routing.fold_config(feed(spark, *ROUTES))
+    broadcast = parts(folded)
+    for part in broadcast:  # neither shuffled by the few names of tables nor broadcast themselves
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BuildLeft" not in plan and "hashpartitioning(table" not in plan
+    monkeypatch.setattr(routing, "SENT_ROUTES", 3)
+    for part, other in zip(broadcast, parts(folded)):  # a large configuration gives the same rows
+        names = [c for c in part.columns if c != "pt"]
+        text = [sorted(map(str, p.select(*[F.to_json(c).alias(c) if c in ("data", "old") else c for c in names]).collect())) for p in (part, other)]
+        assert text[0] == text[1]
+
+
 def test_config_snapshot_reads_as_feed(spark):
     table = spark.createDataFrame([tuple(config("t", "dim", "dim_t", "id").values())], schemas.CONFIG)
     [row] = routing.fold_config(config_snapshot(table)).collect()

@@ -13,6 +13,8 @@ from tidemark.operators.latest import latest_by_key
 
 DIM = "dim"
 FACT = "dwd"
+#: A configuration of so many routes is sent to every task; a larger one, as of many versions, is joined by a shuffle.
+SENT_ROUTES = 100_000
 
 
 @dataclass(frozen=True)
@@ -73,6 +75,10 @@ def _holds(config: DataFrame) -> Column:
     return (low.isNull() | (at >= low)) & (high.isNull() | (at < high))
 
 
+def _few(config: DataFrame) -> bool:
+    return config.limit(SENT_ROUTES + 1).count() <= SENT_ROUTES
+
+
 def keep_columns(data: Column, columns: Column) -> Column:
     """The map ``data`` reduced to the keys listed in comma-separated ``columns``."""
     wanted = F.split(columns, ",")
@@ -86,8 +92,10 @@ def route(changes: DataFrame, config: DataFrame) -> Routed:
     routed as of its ``ts``, so that a replay after a change of the configuration gives what was given before.
 
     Both branches prune the original ``data``. Facts keep the types of its values; dimensions hold text, as
-    their columns are text. Spark picks the joins by the configuration's measured size.
+    their columns are text. Changes name few tables, so a shuffle by table would gather most of them in a few tasks:
+    a configuration that was counted and is small is broadcast, and changes stay where they are.
     """
+    sent = F.broadcast if _few(config) else lambda part: part
     dim_config = config.filter(F.col("kind") == DIM).drop("kind", "route_type")
     fact_config = config.filter(F.col("kind") == FACT).drop("kind")
     dim_rows = changes.filter(F.col("type").isin(*names.DIM_CHANGE_TYPES))
@@ -97,15 +105,15 @@ def route(changes: DataFrame, config: DataFrame) -> Routed:
 
     text = F.try_variant_get("data", "$", "map<string,string>")
     tagged = ["sink_table", "table", "type", "ts", "xid"]
-    dims = dim_rows.join(dim_config, same_table, "inner").select(
+    dims = dim_rows.join(sent(dim_config), same_table, "inner").select(
         *tagged, text[F.col("sink_pk")].alias("pk"), keep_columns(text, F.col("sink_columns")).alias("data"))
-    facts = changes.join(fact_config, same_change, "inner").select(
+    facts = changes.join(sent(fact_config), same_change, "inner").select(
         *tagged, keep_columns(documents.fields_of(F.col("data")), F.col("sink_columns")).alias("data"))
 
     dim_change = F.col("type").isin(*names.DIM_CHANGE_TYPES)
     unrouted = (
-        changes.join(dim_config.select("route_table", *times), same_table & dim_change, "left_anti")
-        .join(fact_config.select("route_table", "route_type", *times), same_change, "left_anti")
+        changes.join(sent(dim_config.select("route_table", *times)), same_table & dim_change, "left_anti")
+        .join(sent(fact_config.select("route_table", "route_type", *times)), same_change, "left_anti")
     )
     return Routed(dims, facts, unrouted)
 
