@@ -291,3 +291,13 @@ def test_course_and_subject(spark):
     per_detail = trade.by_course_and_subject(details(spark, rows), courses, subjects, per_detail=True).collect()
     assert sorted((r.stt, r.courseId, r.courseOrderUserCt) for r in per_detail) == [
         (w1, "c", 2), (w1, "d", 1), (w1, "lost", 1), (w2, "c", 1)]
+
+
+def test_idle_marks_of_a_table_need_no_window(spark):
+    rows = frame(spark, [("a", at(s), "x") for s in (0, 4, 9, 13, 20, 86_399, 86_401)])
+    marks = [Mark("n", ("k",), "idle", "5 seconds"), Mark("d", ("k",), "day_or_idle", "5 seconds"), Mark("w", ("k",), "window")]
+    windows = count_marks(mark_cells(rows, marks, ahead=True), marks)
+    plan = windows._jdf.queryExecution().executedPlan().toString()
+    assert "Window [" not in plan and plan.count("Exchange") == 2  # cells, and windows
+    got = {r.window.start: (r.n, r.d, r.w) for r in windows.collect()}
+    assert got == {at(0): (2, 2, 1), at(10): (0, 0, 1), at(20): (1, 1, 1), at(86_390): (1, 1, 1), at(86_400): (0, 1, 1)}

@@ -70,9 +70,9 @@ class Tables:
     # --- order lines, as the order-detail topic holds them ---
 
     def order_lines(self) -> DataFrame:
-        lines, orders = self.read("lineitem"), self.read("orders")
-        joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        joined = joined.join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        # Customers go to the orders first: the lines, several times as many, are shuffled once.
+        orders = self.read("orders").join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        joined = self.read("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         return joined.select(
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), _text("l_partkey").alias("course_id"),
             F.concat(F.lit("course "), "l_partkey").alias("course_name"), _text("l_orderkey").alias("order_id"),

@@ -10,8 +10,11 @@ A row of a key is *first* under one of four resets, in event-time order (ties by
 Rows are read once, whatever is counted: each is spread to one role per mark and one for plain sums, and one
 aggregate, combined on the map side, makes *cells* of them, by role, key and time slot. Within a slot only the earliest
 row can be first.
-A cell is compared with the cell before it inside a chunk (a day, or sixteen slots); only the last slot of a chunk can matter to
-the next one, and is carried there. So no window holds more than the slots of a chunk, however long a key lives and
+A slot of the idle resets is as wide as the ``ttl``, so only rows of the slot before can be near enough to matter: if asked
+to look ``ahead``, in a table each row also leaves its time in the cell of the next slot (``_before``), and the same aggregate decides.
+
+Elsewhere a cell is compared with the cell before it inside a chunk (a day, or sixteen slots); only the last slot of a chunk can
+matter to the next one, and is carried there. So no window holds more than the slots of a chunk, however long a key lives and
 however many rows it has.
 
 On a stream the cells of a window are complete when it closes. Earlier cells then come as ``seen``, from the state
@@ -123,29 +126,36 @@ def _key(columns: Sequence[str]) -> Column:
 
 
 def mark_cells(df: DataFrame, marks: Sequence[Mark], by: Sequence[str] = (), sums: Mapping[str, Column] | None = None,
-               size: str = names.WINDOW) -> DataFrame:
+               size: str = names.WINDOW, ahead: bool = False) -> DataFrame:
     """Cells of rows with event time ``rt``, for ``firsts`` and ``count_marks``: one scan and one aggregate.
 
     ``sums`` are measures of all rows, ``by`` the columns that results are grouped by. On a stream the cells
     of a window come out when it closes. Without ``by`` and carried columns a cell is numbers, and Spark
-    aggregates by hash.
+    aggregates by hash. With ``ahead``, in a table, cells of marks that need no more than the slot before have
+    ``_before``, the time of the last row there; a cell with nothing but that has no ``first``.
     """
     sums, carried = sums or {}, _carried(marks, by)
     types = {c: df.schema[c].dataType for c in carried}
+    ahead = ahead and not df.isStreaming and any(m.idle for m in marks) and not any(m.returned for m in marks)
 
-    def role(number: int, keys: Sequence[str], carry: Sequence[str], values: bool) -> Column:
-        return F.struct(F.lit(number).alias("role"), _key(keys).alias("key"),
+    def role(number: int, keys: Sequence[str], carry: Sequence[str], values: bool, later: int = 0) -> Column:
+        return F.struct(F.lit(number).alias("role"), _key(keys).alias("key"), *([F.lit(later).cast("bigint").alias("_later")] if ahead else []),
                         *[(F.col(c) if c in carry else F.lit(None).cast(types[c])).alias(c) for c in carried],
                         *[(column if values else F.when(F.lit(False), column)).alias(f"_sum_{name}") for name, column in sums.items()])
 
     roles = [role(0, by, (), True)] if sums else []
     roles += [role(i, m.keys, m.carry, False) for i, m in enumerate(marks, 1)]
+    roles += [role(i, m.keys, (), False, m.ttl_us) for i, m in enumerate(marks, 1) if ahead and m.idle]
     rows = df.select("rt", *by, F.explode(F.array(*roles)).alias("_r")).select("rt", *by, "_r.*")
     timely = [F.window("rt", size).alias("window")] if df.isStreaming else []
     own = [*by, *carried]
-    first = F.min(F.struct(F.col("rt").alias("at"), *own)) if own else F.min("rt")
-    cells = _slotted(rows, "rt", marks, size).groupBy(*timely, "key", "role", "_slot", *_days(marks)).agg(
-        first.alias("first"), F.max("rt").alias("last"), *[F.sum(f"_sum_{m}").alias(f"_sum_{m}") for m in sums]).drop("window")
+    slotted, here = _slotted(rows, "rt", marks, size), lambda value: value
+    if ahead:
+        slotted, here = slotted.withColumn("_slot", F.col("_slot") + F.col("_later")), lambda value: F.when(F.col("_later") == 0, value)
+    first = F.min(here(F.struct(F.col("rt").alias("at"), *own) if own else F.col("rt")))
+    before = [F.max(F.when(F.col("_later") > 0, F.col("rt"))).alias("_before")] if ahead else []
+    cells = slotted.groupBy(*timely, "key", "role", "_slot", *_days(marks)).agg(
+        first.alias("first"), F.max(here(F.col("rt"))).alias("last"), *before, *[F.sum(f"_sum_{m}").alias(f"_sum_{m}") for m in sums]).drop("window")
     return cells if own else cells.withColumn("first", F.struct(F.col("first").alias("at")))
 
 
@@ -157,7 +167,10 @@ def firsts(cells: DataFrame, marks: Sequence[Mark], by: Sequence[str] = (), seen
     with each other and with what was ``seen``.
     """
     own, sums = [*by, *_carried(marks, by)], [c for c in cells.columns if c.startswith("_sum_")]
-    slots, first = cells, F.lit(True)
+    ahead = "_before" in cells.columns
+    if ahead and seen is not None:  # of the slot before, what was seen is known too: compare as on a stream
+        cells, ahead = cells.where("first.at IS NOT NULL").drop("_before"), False
+    slots, first = cells, F.col("first.at").isNotNull() if ahead else F.lit(True)
     if seen is not None:
         none = F.lit(None).cast(cells.schema["first"].dataType).alias("first")
         old = _slotted(seen, "last", marks, size).select("key", "role", "_slot", *_days(marks), none, "last", *[F.lit(None).cast(cells.schema[c].dataType).alias(c) for c in sums])
@@ -166,7 +179,11 @@ def firsts(cells: DataFrame, marks: Sequence[Mark], by: Sequence[str] = (), seen
             F.min("first").alias("first"), F.max("last").alias("last"), F.max("_old").alias("_old"), *[F.sum(c).alias(c) for c in sums])
         first = ~F.col("_old")
     away = F.lit(None).cast("bigint")
-    if any(m.idle or m.returned for m in marks):
+    gap = F.unix_micros("first.at") - F.unix_micros("_before")
+    late = _by_role(marks, lambda m: F.col("_before").isNull() | (gap >= m.ttl_us) if m.idle else None, F.lit(True))
+    if ahead:
+        first = first & late
+    elif any(m.idle or m.returned for m in marks):
         slot = F.col("_slot")
         chunk = _by_role(marks, lambda m: slot - F.pmod(slot, F.lit(m.chunk_us)) if m.idle else F.lit(0) if m.returned else None, slot)
         following = _by_role(marks, lambda m: F.when(F.pmod(slot + m.ttl_us, F.lit(m.chunk_us)) == 0, slot + m.ttl_us) if m.idle else None, F.lit(None).cast("bigint"))
@@ -174,8 +191,6 @@ def firsts(cells: DataFrame, marks: Sequence[Mark], by: Sequence[str] = (), seen
         placed = slots.select("*", F.posexplode(chunks).alias("_copy", "_chunk"))
         before = Window.partitionBy("key", "role", "_chunk", *_days(marks)).orderBy("_slot")
         slots = placed.withColumns({"_before": F.lag("last").over(before), "_before_slot": F.lag("_slot").over(before)})
-        gap = F.unix_micros("first.at") - F.unix_micros("_before")
-        late = _by_role(marks, lambda m: F.col("_before").isNull() | (gap >= m.ttl_us) if m.idle else None, F.lit(True))
         first = first & late & (F.col("_copy") == 0)
         away = _by_role(marks, lambda m: slot - F.col("_before_slot") if m.returned else None, away)
     return slots.where(first).select("role", F.col("first.at").alias("at"), *[F.col(f"first.{c}").alias(c) for c in own], away.alias("away"), *sums)

@@ -95,7 +95,7 @@ PROVINCE = (Mark("orderCount", ("province_id", "order_id"), "window"), Mark("use
 def line_cells(marks: tuple[Mark, ...], details: DataFrame, size: str = names.WINDOW) -> DataFrame:
     """Cells of order lines by what they are cleaned by."""
     columns = dict.fromkeys([*marks[0].keys, *marks[0].carry])
-    return mark_cells(_timed(details).select("rt", *[_amount().alias(c) if c == "amount" else F.col(c) for c in columns]), marks, size=size)
+    return mark_cells(_timed(details).select("rt", *[_amount().alias(c) if c == "amount" else F.col(c) for c in columns]), marks, size=size, ahead=True)
 
 
 def _clean_lines(cells: DataFrame, marks: tuple[Mark, ...], size: str, memory: Memory | None) -> DataFrame:
@@ -106,7 +106,7 @@ def _clean_lines(cells: DataFrame, marks: tuple[Mark, ...], size: str, memory: M
 def province_windows(cells: DataFrame, size: str = names.WINDOW, memory: Memory | None = None) -> DataFrame:
     """Distinct orders, first-seen users and amount per province, over lines cleaned of duplicates by id."""
     lines = _clean_lines(cells, LINES, size, memory)
-    users = mark_cells(lines, PROVINCE, ["province_id"], {"orderAmount": F.col("amount")}, size)
+    users = mark_cells(lines, PROVINCE, ["province_id"], {"orderAmount": F.col("amount")}, size, ahead=True)
     return count_marks(users, PROVINCE, ["province_id"], size, memory, "users")
 
 
