@@ -6,6 +6,7 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch between the JVM and Python; bounds the text held by a worker at once.
 BATCH_ROWS = 1024
+#: Bytes of text, about, that a worker takes apart at once; the arrays of its words or ids are some thirty times as large.
+SLICE = 1 << 19
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -92,6 +95,19 @@ def clean(column: pa.Array) -> pa.LargeStringArray:
         return pa.array([x.decode("utf-8", "replace") for x in column.to_pylist()], pa.large_string())
 
 
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs that have ``SLICE`` bytes in column ``text`` at most; a longer text is a run of its own.
+
+    The runs are copies: pyarrow's text functions misread an array that begins inside its buffer.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, "right")))
+        yield batch.take(pa.array(np.arange(a, b)))
+        a = b
+
+
 def flat(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts, one after another, and where each text begins (with the end)."""
     if not len(texts):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
-from tidemark.llm.common import clean, flat, gather, prepare, strings
+from tidemark.llm.common import clean, flat, gather, prepare, slices, strings
 
 WINDOW = 1024
 #: What a window end costs, in tokens of padding: at a sentence end inside a document, and inside a sentence.
@@ -31,13 +31,15 @@ SENTENCE_CUT, TOKEN_CUT = 2, 48
 SHORTEST, SHORT_WINDOW = 64, 4
 #: Tokens that are planned at once; bounds the memory of a task.
 SEGMENT = 1 << 17
-HELD_PIECES = 1 << 19
 #: Packed with each document's own end mark.
 END_ID = 0
 
 
 class ByteTokenizer:
-    """Byte-level BPE ids of whole batches: pieces are split in numpy, distinct ones merged once."""
+    """Byte-level BPE ids of whole batches: pieces are split in numpy, distinct ones merged once a batch.
+
+    No piece is remembered beyond its batch: merging it again takes no longer than looking it up among many.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -49,13 +51,6 @@ class ByteTokenizer:
         self.core = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens=self.special)
         self.sentence_end = np.zeros(max([*ranks.values(), *self.special.values()]) + 1, bool)
         self.sentence_end[[i for t, i in ranks.items() if t.rstrip()[-1:] in (b".", b"!", b"?") or b"\n" in t]] = True
-        self.known: dict[bytes, list[int]] = {}
-
-    def _piece(self, piece: bytes) -> list[int]:
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = self.known[piece] = self.core._encode_single_piece(piece)
-        return ids
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         texts = clean(column)
@@ -84,9 +79,7 @@ class ByteTokenizer:
         data, offsets = flat(texts)
         starts, _, first = tokens.split(data, offsets, keep_blank=True)
         coded = strings(data, starts).cast(pa.large_binary()).dictionary_encode()
-        if len(self.known) > HELD_PIECES:
-            self.known.clear()
-        own = [self._piece(p) for p in coded.dictionary.to_pylist()]
+        own = [self.core._encode_single_piece(p) for p in coded.dictionary.to_pylist()]
         size = np.fromiter(map(len, own), np.int64, len(own))
         values, codes = np.fromiter((i for x in own for i in x), np.int64), coded.indices.to_numpy()
         n = size[codes]
@@ -220,10 +213,11 @@ def packed(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
                                               ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            pieces = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
-                pieces += packer.add(doc_id, np.append(ids, END_ID))
-            yield out(pieces)
+            for part in slices(batch, 1):
+                pieces = []
+                for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1))):
+                    pieces += packer.add(doc_id, np.append(ids, END_ID))
+                yield out(pieces)
         yield out(list(packer.plan(last=True)))
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(pack, SCHEMA)
