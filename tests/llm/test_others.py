@@ -1,5 +1,7 @@
 """Operators on conversations, vectors and pages."""
 
+import pickle
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -131,3 +133,30 @@ def test_top_k_refuses_products_beyond_doubles(spark):
     df = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 2.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="products"):
         topk.top_k(df, F.col("vec_id") == 0, 5).collect()
+
+
+def test_points_far_apart_stay_together(spark):
+    # No centre covers another point here: a node per point would prune nothing.
+    r = np.random.default_rng(5)
+    points = r.normal(size=(3000, 64))
+    points = np.floor(256 * points / np.linalg.norm(points, axis=1)[:, None])
+    points[::3] = points[0]  # ties
+    ids = np.where(r.random(3000) < 0.1, 7, r.permutation(3000))  # and a repeated id
+    asked = np.arange(3000) % 50 == 1
+    tree, own = (pickle.loads(pickle.dumps(topk.CoverTree(i, p))) for i, p in ((ids, points), (ids[asked], points[asked])))
+    assert len(tree.radius) <= 3000 / topk.LEAF
+    found = topk.Search(own, tree, 5)
+    scores = own.points.astype(float) @ points.T
+    scores[own.ids[:, None] == ids] = -np.inf
+    for q, row in enumerate(scores):
+        best = np.lexsort((ids, -row))[:5]
+        assert found.found[q].tolist() == ids[best].tolist() and found.score[q].tolist() == row[best].tolist()
+
+
+def test_products_beyond_floats_are_exact(spark):
+    r = np.random.default_rng(6)
+    points = r.integers(-3000, 3000, (500, 30)).astype(float)
+    small = points // 1000
+    for q, p in ((points, points), (small, points), (points, small)):
+        found = topk.Search(topk.CoverTree(np.arange(500), q), topk.CoverTree(np.arange(500, 1000), p), 3)
+        assert np.array_equal(np.sort(found.score)[:, ::-1], np.sort(found.q.points.astype(float) @ p.T)[:, :-4:-1])

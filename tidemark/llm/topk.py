@@ -2,7 +2,8 @@
 
 Vectors are dealt to blocks of bounded size; each block becomes a cover tree, queries and candidates alike. A pair
 of nodes is pruned when even centres' product plus covering radii can't reach the worst kth score of the query
-node's group. Blocks of queries meet blocks of candidates by an equi-join on the block number.
+node's group. Points of a node that division would leave nearly alone stay together: leaves are large, and a pair of
+them is scored by one matrix product. Blocks of queries meet blocks of candidates by an equi-join on the block number.
 """
 
 from __future__ import annotations
@@ -16,56 +17,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import prepare
+from tidemark.llm.common import gather, prepare
 
 #: Vectors of a block, about: bounds what one task holds, and the work on a pair of blocks.
-CANDIDATES, QUERIES = 4096, 1024
-#: Points that need no further division, and points scored at once.
-LEAF, CHUNK = 12, 256
+CANDIDATES, QUERIES = 32768, 2048
+#: Components of a block's vectors, about.
+VALUES = 1 << 21
+#: Points of a child, on average, and children of a node: a node that can't be divided so is a leaf, however large.
+LEAF, CHILDREN = 64, 256
+#: Candidates scored at once: the first ones, after which twice as many are, and the most.
+FIRST, CHUNK = 256, 1024
 SCALE = 256
-#: Products below are whole numbers in doubles.
-EXACT = float(1 << 53)
+#: Products below are whole numbers in doubles, and in floats.
+EXACT, EXACT_FLOAT = float(1 << 53), float(1 << 24)
 
 
 class CoverTree:
     """Points in depth-first order; node i covers ``low[i]:high[i]`` within ``radius[i]`` of point ``centre[i]``.
 
     A node's children are centred on points farther apart than half its radius, its own centre among them, and
-    every point belongs to its nearest centre, within half the radius.
+    every point belongs to its nearest centre, within half the radius. ``short``: products with other such trees are
+    exact in floats.
     """
 
     def __init__(self, ids: np.ndarray, points: np.ndarray):
-        squares = np.einsum("ij,ij->i", points, points)
+        squares = np.einsum("ij,ij->i", points, points, dtype=np.float64)
+        # No sum of some of a product's terms is larger than the lengths' product.
+        self.short = bool(squares.max() < EXACT_FLOAT)
+        whole, points = points, points.astype(np.float32) if self.short else points
         nodes: list[list] = []  # centre, radius, low, high, first child, end of children
-        order: list[int] = []
-
-        def apart(rows: np.ndarray, at: int) -> np.ndarray:
-            return np.sqrt(np.maximum(squares[rows] + squares[at] - 2 * (points[rows] @ points[at]), 0))
+        order: list[np.ndarray] = []
+        placed = 0
 
         # A node is opened when it is reached, and numbered with its siblings so that children are a range.
-        whole = np.arange(len(ids))
-        todo = [(self._new(nodes), whole, 0, apart(whole, 0))]
+        todo = [(self._new(nodes), np.arange(len(ids)), 0, self._apart(points, squares, 0))]
         while todo:
             me, rows, at, gap = todo.pop()
             radius = float(gap.max())
-            low = len(order)
             node = nodes[me]
-            node[:4] = [int(rows[at]), radius * (1 + 1e-9), low, low + len(rows)]
-            if len(rows) <= LEAF or radius == 0:
-                order.extend(rows.tolist())
+            node[:4] = [int(rows[at]), radius * (1 + 1e-9), placed, placed + len(rows)]
+            divided = self._divided(points[rows], squares[rows], at, gap, radius) if radius else None
+            if divided is None:
+                order.append(rows)
+                placed += len(rows)
                 continue
-            centres, own = [at], np.zeros(len(rows), np.int64)
-            gap = gap.copy()
-            while True:
-                far = int(gap.argmax())
-                if gap[far] <= radius / 2:
-                    break
-                new = apart(rows, int(rows[far]))
-                nearer = new < gap
-                nearer[far] = True
-                own[nearer], gap[nearer] = len(centres), new[nearer]
-                gap[far] = 0
-                centres.append(far)
+            centres, own, gap = divided
             groups = np.split(np.argsort(own, kind="stable"), np.cumsum(np.bincount(own, minlength=len(centres)))[:-1])
             node[4] = len(nodes)
             children = [self._new(nodes) for _ in centres]
@@ -73,21 +69,54 @@ class CoverTree:
             # The last in is the next out, so points of a node stay together.
             for child, centre, group in reversed(list(zip(children, centres, groups))):
                 todo.append((child, rows[group], int(np.searchsorted(group, centre)), gap[group]))
-        order = np.array(order, np.int64)
+        order = np.concatenate(order)
         where = np.empty(len(order), np.int64)
         where[order] = np.arange(len(order))
-        self.ids, self.points = ids[order], points[order]
+        self.ids, self.points = ids[order], whole[order]
         self.centre = where[[n[0] for n in nodes]]
         self.radius = np.array([n[1] for n in nodes])
         self.low, self.high, self.child, self.end = (np.array([n[k] for n in nodes], np.int64) for k in (2, 3, 4, 5))
         self.leaf = self.child == self.end
-        self.length = np.sqrt(np.einsum("ij,ij->i", self.points, self.points)) * (1 + 1e-9)
+        self.length = np.sqrt(squares[order][self.centre]) * (1 + 1e-9)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | ({"points": self.points.astype(np.int16)} if self.short else {})
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.points = self.points.astype(np.float64, copy=False)
 
     @staticmethod
     def _new(nodes: list) -> int:
         nodes.append([0, 0.0, 0, 0, 0, 0])
         return len(nodes) - 1
 
+    @staticmethod
+    def _apart(points: np.ndarray, squares: np.ndarray, at: int) -> np.ndarray:
+        return np.sqrt(np.maximum(squares + squares[at] - 2 * (points @ points[at]).astype(np.float64), 0))
+
+    @classmethod
+    def _divided(cls, points: np.ndarray, squares: np.ndarray, at: int, gap: np.ndarray, radius: float) -> tuple | None:
+        """Centres of a node's children, each point's centre and distance to it; None if there are too many for its points.
+
+        It is given up as soon as the share of points that the centres so far cover says so.
+        """
+        most = min(CHILDREN, len(points) // LEAF)
+        centres, own, gap = [at], np.zeros(len(points), np.int64), gap.copy()
+        while True:
+            far = int(gap.argmax())
+            if gap[far] <= radius / 2:
+                return centres, own, gap
+            n = len(centres)
+            if n >= most or n >= 16 and not n & (n - 1) and n * len(points) > most * np.count_nonzero(gap <= radius / 2):
+                return None
+            new = cls._apart(points, squares, far)
+            nearer = new < gap
+            nearer[far] = True
+            own[nearer], gap[nearer] = n, new[nearer]
+            gap[far] = 0
+            centres.append(far)
+
     def below(self, node: int) -> np.ndarray:
         return np.array([node]) if self.leaf[node] else np.arange(self.child[node], self.end[node])
 
@@ -97,9 +126,11 @@ class Search:
 
     def __init__(self, queries: CoverTree, data: CoverTree, k: int):
         self.q, self.d, self.k = queries, data, k
-        n = len(queries.ids)
-        self.score = np.full((n, k), -np.inf)
+        kind, n = np.float32 if queries.short and data.short else np.float64, len(queries.ids)
+        self.queries, self.data = queries.points.astype(kind, copy=False), data.points.astype(kind, copy=False)
+        self.score = np.full((n, k), -np.inf, kind)
         self.found = np.full((n, k), np.iinfo(np.int64).max)
+        self.room = np.empty(n * CHUNK, kind)  # for products: new memory would take longer than they do
         todo = [(0, 0)]
         while todo:
             todo += self._visit(*todo.pop())
@@ -107,7 +138,7 @@ class Search:
     def _bounds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         q, d = self.q, self.d
         ca, cb, ra, rb = q.centre[a], d.centre[b], q.radius[a][:, None], d.radius[b][None]
-        reach = q.length[ca][:, None] * rb + d.length[cb][None] * ra + ra * rb
+        reach = q.length[a][:, None] * rb + d.length[b][None] * ra + ra * rb
         return q.points[ca] @ d.points[cb].T + reach * (1 + 1e-9) + np.where(reach > 0, 1e-6, 0)
 
     def _worst(self, node: int) -> float:
@@ -128,21 +159,40 @@ class Search:
         return later[::-1]
 
     def _score(self, node: int, leaves: np.ndarray, bounds: np.ndarray) -> None:
+        """Score the points of leaves, the best bounds first, in pieces that grow as the scores to beat do."""
         low, high, d = self.q.low[node], self.q.high[node], self.d
-        sizes = np.cumsum(d.high[leaves] - d.low[leaves])
-        at = 0
-        while at < len(leaves) and bounds[at] >= self._worst(node):
-            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK, "right")))
-            rows = np.concatenate([np.arange(d.low[x], d.high[x]) for x in leaves[at:stop]])
-            at = stop
-            scores = self.q.points[low:high] @ d.points[rows].T
-            ids = d.ids[rows]
-            for i, own in enumerate(scores, low):
-                useful = np.flatnonzero((own >= self.score[i, -1]) & (ids != self.q.ids[i]))
-                if len(useful):
-                    s, v = np.append(self.score[i], own[useful]), np.append(self.found[i], ids[useful])
-                    best = np.lexsort((v, -s))[:self.k]
-                    self.score[i], self.found[i] = s[best], v[best]
+        sizes = d.high[leaves] - d.low[leaves]
+        rows, bounds = gather(np.arange(len(d.ids)), d.low[leaves], sizes), np.repeat(bounds, sizes)
+        mine = self.queries[low:high]
+        at, size = 0, FIRST
+        while at < len(rows) and bounds[at] >= self._worst(node):
+            piece = rows[at:at + size]
+            scores = self.room[:len(mine) * len(piece)].reshape(len(mine), len(piece))
+            np.matmul(mine, self.data[piece].T, out=scores)
+            self._merge(low, high, scores, d.ids[piece])
+            at, size = at + size, min(2 * size, CHUNK)
+
+    def _merge(self, low: int, high: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take what is better than the kth score of a query, or as good under a smaller id."""
+        k, own, kth = self.k, self.q.ids[low:high], self.score[low:high, -1]
+        least = kth
+        if np.isneginf(kth).any() and len(ids) > k:  # the kth of these is to be beaten
+            scores[own[:, None] == ids] = -np.inf
+            least = np.maximum(kth, np.partition(scores, -k, axis=1)[:, -k])
+        some = np.flatnonzero(scores.max(axis=1) >= least)
+        i, j = np.nonzero(scores[some] >= least[some, None])
+        i = some[i]
+        s, v = scores[i, j], ids[j]
+        useful = (v != own[i]) & ((s > kth[i]) | (v < self.found[low + i, -1]))
+        if not useful.any():
+            return
+        i, s, v = i[useful], s[useful], v[useful]
+        changed = np.unique(i)
+        i = np.concatenate([np.repeat(changed, k), i])
+        s, v = np.append(self.score[low + changed], s), np.append(self.found[low + changed], v)
+        order = np.lexsort((v, -s, i))
+        best = order[np.searchsorted(i[order], changed)[:, None] + np.arange(k)]
+        self.score[low + changed], self.found[low + changed] = s[best], v[best]
 
 
 def quantised(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -156,7 +206,8 @@ def quantised(vectors: DataFrame, id_column: str = "vec_id", vector_column: str
 
 def _trees(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
     """One row per block and dimension: dim, block, tree; and the number of blocks."""
-    blocks = max(1, math.ceil(vectors.count() / size))
+    n, values = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / size), math.ceil(values / VALUES))
 
     def build(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
