@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import marks
 from tidemark.operators.marks import Mark, count_marks, first_rows, mark_cells
 from tidemark.operators.totals import last_totals, running_totals
 from tidemark.plans import trade, traffic, users
@@ -301,3 +302,45 @@ def test_idle_marks_of_a_table_need_no_window(spark):
     assert "Window [" not in plan and plan.count("Exchange") == 2  # cells, and windows
     got = {r.window.start: (r.n, r.d, r.w) for r in windows.collect()}
     assert got == {at(0): (2, 2, 1), at(10): (0, 0, 1), at(20): (1, 1, 1), at(86_390): (1, 1, 1), at(86_400): (0, 1, 1)}
+
+
+def test_rows_of_an_idle_mark_are_shuffled_once(spark):
+    rng = random.Random(8)
+    rows = frame(spark, [(rng.choice(["a", "b", None]), at(rng.randint(-2000, 2000)), f"x{i}") for i in range(900)])
+    mark = Mark(None, ("k",), "idle", "5 seconds", ("k", "c"))
+    cells = mark_cells(rows, [mark], ahead=True)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    # Only rows of the last of a chunk's slots go to two chunks, where all went to two slots before.
+    assert plan.count(" Exchange ") == 1 and cells.count() == 900
+    want, last = set(), {}
+    for r in sorted(rows.collect(), key=lambda r: (r.rt, r.c)):
+        if r.k not in last or r.rt - last[r.k] >= timedelta(seconds=5):
+            want.add((r.rt, r.k, r.c))
+        last[r.k] = r.rt
+    assert {(r["at"], r.k, r.c) for r in marks.firsts(cells, [mark]).collect()} == want
+
+
+@pytest.mark.parametrize("per_detail", [False, True])
+def test_subject_windows_are_shuffled_once(spark, per_detail):
+    rows = [detail(str(i), f"2024-01-01 0{i % 3}:00:{i % 60:02}", course=["c", "d", "lost"][i % 3]) for i in range(90)]
+    # Each row of a dimension gives a row, as a lookup after the windows does.
+    courses = spark.createDataFrame([("c", "s"), ("c", "s"), ("d", "t"), ("d", "u")], "id string, subject_id string")
+    subjects = spark.createDataFrame([("s", "Maths"), ("t", "Art"), ("t", "Art")], "id string, subject_name string")
+    result = trade.by_course_and_subject(details(spark, rows), courses, subjects, per_detail=per_detail)
+    got = result.collect()
+    plan = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # Lines by their key, and by subject and hour; chunk sums read these again (the third, reused).
+    assert plan.count("REPARTITION_BY_COL") == 3 and plan.count("ReusedExchange") == 1
+    windows = {(r.stt, r.courseId) for r in got}
+    count = {c: len({w for w in windows if w[1] == c}) for c in ("c", "d", "lost")}
+    assert sorted((r.courseId, r.subjectId or "", r.subjectName or "") for r in got) == sorted(
+        [("c", "s", "Maths")] * 2 * count["c"] + [("d", "t", "Art")] * 2 * count["d"] + [("d", "u", "")] * count["d"] + [("lost", "", "")] * count["lost"])
+    assert sorted(r.subOrderCt for r in got if r.subjectId == "s") == list(range(1, 2 * count["c"] + 1))
+    assert sum(r.courseOrderUserCt for r in got if r.courseId == "lost") == (30 if per_detail else count["lost"])
+
+
+def test_running_totals_skip_nulls_at_the_start_of_a_chunk(spark):
+    rows = [("a", at(0), "c0", None), ("a", at(10), "c1", 5), ("a", at(3600), "c2", None), ("a", at(3610), "c3", 2)]
+    df = spark.createDataFrame(rows, "k string, t timestamp, c string, n bigint")
+    got = {r.c: r.total for r in running_totals(df, ["k"], "t", ["c"], {"total": "n"}, starts="starts", ttl="5 seconds").collect()}
+    assert got == {"c0": None, "c1": 5, "c2": 5, "c3": 7}

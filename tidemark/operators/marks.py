@@ -12,6 +12,7 @@ aggregate, combined on the map side, makes *cells* of them, by role, key and tim
 row can be first.
 A slot of the idle resets is as wide as the ``ttl``, so only rows of the slot before can be near enough to matter: if asked
 to look ``ahead``, in a table each row also leaves its time in the cell of the next slot (``_before``), and the same aggregate decides.
+An idle mark alone has its rows dealt once, by key and a chunk of slots, and compared there.
 
 Elsewhere a cell is compared with the cell before it inside a chunk (a day, or sixteen slots); only the last slot of a chunk can
 matter to the next one, and is carried there. So no window holds more than the slots of a chunk, however long a key lives and
@@ -37,6 +38,8 @@ RESETS = ("window", "day", "idle", "day_or_idle")
 _DAY_US = clock.duration_us("1 day")
 #: Slots of a chunk, at least: one in as many is carried to the next chunk.
 CHUNK_SLOTS = 16
+#: Slots of a chunk of rows, as few as keep a hot key spread: one in as many is sent twice.
+NEAR_SLOTS = 64
 #: State of marks: the time of the last row of a key.
 SEEN = "role int, key string, last timestamp"
 
@@ -132,9 +135,12 @@ def mark_cells(df: DataFrame, marks: Sequence[Mark], by: Sequence[str] = (), sum
     ``sums`` are measures of all rows, ``by`` the columns that results are grouped by. On a stream the cells
     of a window come out when it closes. Without ``by`` and carried columns a cell is numbers, and Spark
     aggregates by hash. With ``ahead``, in a table, cells of marks that need no more than the slot before have
-    ``_before``, the time of the last row there; a cell with nothing but that has no ``first``.
+    ``_before``, the time of the last row there; a cell with nothing but that has no ``first``. Cells of an idle mark alone,
+    without sums, are single rows then.
     """
     sums, carried = sums or {}, _carried(marks, by)
+    if ahead and not df.isStreaming and not sums and [m.reset for m in marks] == ["idle"]:
+        return _row_cells(df, marks[0], [*by, *carried])
     types = {c: df.schema[c].dataType for c in carried}
     ahead = ahead and not df.isStreaming and any(m.idle for m in marks) and not any(m.returned for m in marks)
 
@@ -159,6 +165,23 @@ def mark_cells(df: DataFrame, marks: Sequence[Mark], by: Sequence[str] = (), sum
     return cells if own else cells.withColumn("first", F.struct(F.col("first").alias("at")))
 
 
+def _row_cells(df: DataFrame, mark: Mark, own: Sequence[str]) -> DataFrame:
+    """Cells of one row each with the time of the row before as ``_before``, for an idle mark alone.
+
+    A row is shuffled once, by key and chunk of slots; only one of a chunk's last slot also goes to the next chunk, for its time.
+    """
+    slot, width = clock.slot(F.col("rt"), mark.ttl_us), mark.ttl_us * NEAR_SLOTS
+    later = F.when(F.pmod(slot + mark.ttl_us, F.lit(width)) == 0, F.array(F.lit(0), F.lit(mark.ttl_us))).otherwise(F.array(F.lit(0)))
+    seen = slot + F.col("_later")
+    chunk = seen - F.pmod(seen, F.lit(width))
+    columns = dict.fromkeys(["rt", *mark.keys, *own])
+    rows = df.select(*columns, F.explode(later).alias("_later")).repartition(chunk, *mark.keys).withColumn("_chunk", chunk)
+    before = F.lag("rt").over(Window.partitionBy("_chunk", *mark.keys).orderBy("rt", *own))
+    return rows.withColumn("_before", before).where(F.col("_later") == 0).select(
+        _key(mark.keys).alias("key"), F.lit(1).alias("role"), slot.alias("_slot"), F.struct(F.col("rt").alias("at"), *own).alias("first"),
+        F.col("rt").alias("last"), "_before")
+
+
 def firsts(cells: DataFrame, marks: Sequence[Mark], by: Sequence[str] = (), seen: DataFrame | None = None, size: str = names.WINDOW) -> DataFrame:
     """First rows of ``cells``: ``role`` (from 1), ``at``, ``by`` and the carried columns, ``away`` (days since the day
     before), and for role 0 the sums of ``by`` and window.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tidemark import names, schemas
 from tidemark.functions import clock
 from tidemark.operators.lookup import enrich
 from tidemark.operators.marks import Mark, Memory, count_marks, firsts, mark_cells
-from tidemark.operators.totals import last_totals, running_totals
+from tidemark.operators.totals import dealt, last_totals, running_totals
 from tidemark.operators.windows import stamped, tumble
 from tidemark.sources.topics import with_event_time
 
@@ -127,23 +129,34 @@ SUBJECT_TOTALS = "subjectId string, at timestamp, subOrderCt bigint, subOrderAmo
 _TOTALS = {"subOrderCt": "one", "subOrderAmount": "courseOrderAmount"}
 
 
+def _course_subjects(courses: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Subject and its name of each course, and how often the dimensions hold them."""
+    named = enrich(courses.select(F.col("id").cast("string").alias("_course"), F.col("SUBJECT_ID").alias("subjectId")),
+                   subjects, "subjectId", {"subjectName": "SUBJECT_NAME"})
+    return named.groupBy("_course", "subjectId", "subjectName").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+
+
 def course_windows(cells: DataFrame, courses: DataFrame, subjects: DataFrame, size: str = names.WINDOW, per_detail: bool = False,
                    memory: Memory | None = None) -> DataFrame:
     """Results per course and window from the cells of lines; subject totals go on from those remembered."""
-    clean = _clean_lines(cells, DETAIL_LINES if per_detail else COURSE_LINES, size, memory)
-    windows = tumble(clean.withColumn("at", F.col("rt")), {
+    lines = _clean_lines(cells, DETAIL_LINES if per_detail else COURSE_LINES, size, memory)
+    # The subject is looked up first: lines dealt by it and by chunks of whole windows are aggregated and summed up where they are.
+    lines = lines.join(_course_subjects(courses, subjects), F.col("course_id") == F.col("_course"), "left")
+    width = clock.duration_us(size)
+    lines = dealt(lines, ["subjectId"], "rt", f"{width * math.ceil(clock.duration_us('1 hour') / width)} microseconds")
+    windows = tumble(lines.withColumn("at", F.col("rt")), {
         "courseOrderUserCt": F.count(F.lit(1)),
         "courseOrderAmount": F.sum("amount"),
         "_first": F.min(F.struct("at", "course_name")),
-    }, ["course_id"], size)
-    # The subject depends on the course alone, so it is looked up once per course and window.
-    windows = enrich(windows, courses, "course_id", {"subjectId": "SUBJECT_ID"})
-    windows = enrich(windows, subjects, "subjectId", {"subjectName": "SUBJECT_NAME"})
+        "_copies": F.max("_copies"),
+    }, ["_key", "_chunk", "course_id", "subjectName"], size)
     rows = windows.select(
         "window", F.col("course_id").alias("courseId"), F.col("_first.course_name").alias("courseName"),
-        "courseOrderUserCt", "courseOrderAmount", "subjectId", "subjectName",
-        F.col("_first.at").alias("at"), F.lit(1).cast("bigint").alias("one"),
-    )
+        "courseOrderUserCt", "courseOrderAmount", F.col("_key.subjectId").alias("subjectId"), "subjectName",
+        F.col("_first.at").alias("at"), F.lit(1).cast("bigint").alias("one"), "_key", "_chunk",
+        # A lookup gives a row for every row of the dimension.
+        F.explode(F.array_repeat(F.lit(1), F.coalesce("_copies", F.lit(1)))).alias("_copy"),
+    ).drop("_copy")
     before = memory.latest("subjects", SUBJECT_TOTALS, ("subjectId",)) if memory else None
     totals = running_totals(rows, ["subjectId"], "at", ["courseId"], _TOTALS, starts="subOrderUserCt", ttl=DUPLICATE_IDLE, before=before)
     if memory:
